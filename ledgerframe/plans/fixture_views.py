@@ -79,3 +79,41 @@ def views(spark: SparkSession, sf_dir: str) -> tuple[Tables, DataFrame, DataFram
     """(tables, companies_v, financial_metrics_v) for one data directory."""
     t = Tables(spark, sf_dir)
     return t, companies_v(t), financial_metrics_v(t)
+
+
+# --- fixed values -----------------------------------------------------------
+# Fixture mapping of event types to attempt outcomes (FIXTURES.md §3).
+EVENT_OUTCOME = {
+    "purchase": "success",
+    "error": "execution_error",
+    "view": "empty_result",
+    "click": "guard_rejected",
+    "signup": "unanswerable",
+}
+MAX_ATTEMPTS = 3
+# --- end of fixed values ----------------------------------------------------
+
+
+def attempt_log_v(t: Tables) -> DataFrame:
+    """Attempt log over events: request = (user_id, day); attempt_number = rank
+    by (ts, event_id) within the request, attempts above 3 dropped; outcome
+    from event_type; duration_ms = value x 100; split by user_id % 2.
+
+    ``row_number() <= 3`` lets Spark cut every request to 3 rows in each map
+    task before the shuffle (partial WindowGroupLimit), so a very busy user
+    does not move all of its events."""
+    from pyspark.sql import Window
+
+    from ledgerframe.functions.columns import lookup
+    e = t.events.select("event_id", "ts", "user_id", "event_type", "value", "props")
+    day = F.to_date("ts")
+    w = Window.partitionBy("user_id", day).orderBy("ts", "event_id")
+    ranked = e.withColumn("attempt_number", F.row_number().over(w)).where(F.col("attempt_number") <= MAX_ATTEMPTS)
+    outcome = lookup(EVENT_OUTCOME, F.col("event_type"))
+    return ranked.select(
+        F.format_string("%d-%s", F.col("user_id"), F.date_format("ts", "yyyy-MM-dd")).alias("request_id"),
+        "user_id", "event_id", "ts", "attempt_number", outcome.alias("outcome"),
+        F.when(outcome != "success", F.col("props")).alias("error_message"),
+        F.round(F.col("value") * 100).cast("long").alias("duration_ms"),
+        F.when(F.col("user_id") % 2 == 0, F.lit("dev")).otherwise(F.lit("holdout")).alias("split"),
+    )
