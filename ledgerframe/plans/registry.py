@@ -713,4 +713,4 @@ def _load_modules() -> None:
         importlib.import_module(mod)
 
 
-EXTRA_MODULES: list[str] = ["ledgerframe.plans.registry_events"]
+EXTRA_MODULES: list[str] = ["ledgerframe.plans.registry_events", "ledgerframe.plans.registry_questions"]
