@@ -22,15 +22,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerframe import domain
-from ledgerframe.functions.columns import lookup, normalize_form
+from ledgerframe.functions.columns import lookup
 
 PAYLOAD = ["tag", "form", "start_date", "end_date", "filed", "accn", "val"]
 
 
 # ---------------------------------------------------------------- E1, E2, E6
+# Filters are written so that every input expression occurs once: Catalyst
+# inlines the columns of the view below into each reference, and a condition
+# that repeats them produces generated code too large for the JIT.
+def base_form(form: Column) -> Column:
+    """Text before the first '/', trimmed ('10-K/A' -> '10-K')."""
+    return F.trim(F.substring_index(form, "/", 1))
+
+
 def normalize_forms(raw: DataFrame) -> DataFrame:
     """Fold amendments into 10-K / 10-Q and drop every other form."""
-    return raw.withColumn("form", normalize_form(F.col("form"))).where(F.col("form").isNotNull())
+    return raw.withColumn("form", base_form(F.col("form"))).where(F.col("form").isin(*domain.FORMS))
 
 
 def drop_incomplete(raw: DataFrame) -> DataFrame:
@@ -43,19 +51,22 @@ def fiscal_year_window(raw: DataFrame, fy_min: int, fy_max: int) -> DataFrame:
     return raw.where(F.col("fy").between(fy_min, fy_max))
 
 
+def _within(x: Column, bounds: tuple[int, int]) -> Column:
+    lo, hi = bounds
+    return F.abs(x * 2 - (lo + hi)) <= (hi - lo)
+
+
 def is_current_period(flow_metrics: Sequence[str] = domain.FLOW_METRICS) -> Column:
     """E7 eligibility: FY facts from a 10-K and Q1-Q3 facts from a 10-Q; flows
     also need a start and a duration inside the annual / quarterly window
     (this drops year-to-date figures and any Q4 flow)."""
     fp, form = F.col("fp"), F.col("form")
-    annual = (fp == "FY") & (form == "10-K")
-    quarterly = fp.isin(*domain.QUARTERS) & (form == "10-Q")
+    expected_form = F.when(fp == "FY", F.lit("10-K")).when(fp.isin(*domain.QUARTERS), F.lit("10-Q"))
     days = F.datediff(F.col("end_date"), F.col("start_date"))
-    a_lo, a_hi = domain.ANNUAL_DURATION_DAYS
-    q_lo, q_hi = domain.QUARTERLY_DURATION_DAYS
-    flow_ok = F.col("start_date").isNotNull() & (
-        (annual & days.between(a_lo, a_hi)) | (quarterly & days.between(q_lo, q_hi)))
-    return F.when(F.col("metric").isin(*flow_metrics), flow_ok).otherwise(annual | quarterly)
+    in_window = F.when(fp == "FY", _within(days, domain.ANNUAL_DURATION_DAYS)) \
+        .otherwise(_within(days, domain.QUARTERLY_DURATION_DAYS))
+    duration_ok = ~F.col("metric").isin(*flow_metrics) | F.coalesce(in_window, F.lit(False))
+    return (form == expected_form) & duration_ok
 
 
 def usable_facts(raw: DataFrame, fy_min: int, fy_max: int,
