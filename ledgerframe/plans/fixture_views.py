@@ -117,3 +117,16 @@ def attempt_log_v(t: Tables) -> DataFrame:
         F.round(F.col("value") * 100).cast("long").alias("duration_ms"),
         F.when(F.col("user_id") % 2 == 0, F.lit("dev")).otherwise(F.lit("holdout")).alias("split"),
     )
+
+
+def metrics_table(spark: SparkSession, sf_dir: str, fy_min: int = FIXTURE_FY_MIN,
+                  fy_max: int = FIXTURE_FY_MAX) -> DataFrame:
+    """The metrics table as the question operators read it: built once by the
+    ETL, written partitioned by metric and sorted by year / period."""
+    from ledgerframe.sources.store import materialized
+    from ledgerframe.sources.tables import table_path
+    t = Tables(spark, sf_dir)
+    inputs = [table_path(sf_dir, n) for n in ("lineitem", "orders", "part")]
+    return materialized(spark, f"financial_metrics_{fy_min}_{fy_max}",
+                        lambda: financial_metrics_v(t, fy_min, fy_max), inputs,
+                        partition_by=["metric"], sort_by=["fiscal_year", "fiscal_period", "company_id"])

@@ -43,10 +43,12 @@ FY_LO, FY_HI = fv.FIXTURE_FY_MIN, fv.FIXTURE_FY_MAX
 
 
 def _v(spark: SparkSession, sf_dir: str):
+    """(tables, companies, metrics table); the metrics table is the one the
+    ETL wrote (see fixture_views.metrics_table)."""
     from ledgerframe.session import prepare
     prepare(spark)
     t = Tables(spark, sf_dir)
-    return t, fv.companies_v(t), fv.financial_metrics_v(t)
+    return t, fv.companies_v(t), fv.metrics_table(spark, sf_dir)
 
 
 def _merged(t: Tables) -> DataFrame:
@@ -99,7 +101,8 @@ def q_missing(spark, sf_dir):
 
 @register("E12_financial_metrics", with_views("SELECT * FROM financial_metrics_v"))
 def q_fm(spark, sf_dir):
-    return _v(spark, sf_dir)[2]
+    t, _, _ = _v(spark, sf_dir)
+    return fv.financial_metrics_v(t)
 
 
 E9_SQL = with_views("""
@@ -557,7 +560,7 @@ def q_a8(spark, sf_dir):
 
 
 def _wide_fm(t: Tables) -> DataFrame:
-    return fv.financial_metrics_v(t, fv.FIXTURE_WIDE_FY_MIN, fv.FIXTURE_WIDE_FY_MAX)
+    return fv.metrics_table(t.spark, t.sf_dir, fv.FIXTURE_WIDE_FY_MIN, fv.FIXTURE_WIDE_FY_MAX)
 
 
 def _wide_sql(body: str) -> str:
