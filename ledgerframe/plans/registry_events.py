@@ -282,3 +282,20 @@ def q_t2(spark, sf_dir):
 @register("T2_sliding_rollup")
 def q_t2s(spark, sf_dir):
     return attempts.windowed_rollup(_log(spark, sf_dir), "2 hours", "1 hour")
+
+
+@register("T1_admission")
+def q_t1(spark, sf_dir):
+    """Batch twin of the sliding-window admission stream: limit 3 per user per
+    1-day window (FIXTURES.md §3). No SQL oracle: the rule is a recurrence;
+    tests/test_streaming.py checks it against a brute-force replay."""
+    from ledgerframe.streaming import admission
+    e = _t(spark, sf_dir).events.select("event_id", "user_id", "ts")
+    return admission.admission_batch(e, key="user_id", ts="ts", limit=3, window_seconds=86400)
+
+
+@register("T2_session_rollup")
+def q_t2sess(spark, sf_dir):
+    from ledgerframe.streaming import attempt_windows
+    ev = _t(spark, sf_dir).events
+    return attempt_windows.session_rollup(attempt_windows.events_as_attempts(ev), "30 minutes", watermark=None)
