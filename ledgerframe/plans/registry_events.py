@@ -279,7 +279,13 @@ def q_t2(spark, sf_dir):
     return attempts.windowed_rollup(_log(spark, sf_dir), "1 hour")
 
 
-@register("T2_sliding_rollup")
+@register("T2_sliding_rollup", with_views("""
+SELECT window_start, window_start + INTERVAL 2 HOUR AS window_end, count(*) AS attempts,
+       count(*) FILTER (WHERE outcome = 'success') AS successes, ROUND(avg(duration_ms), 6) AS avg_duration_ms
+FROM (SELECT date_trunc('hour', ts) AS window_start, outcome, duration_ms FROM attempt_log_v
+      UNION ALL
+      SELECT date_trunc('hour', ts) - INTERVAL 1 HOUR, outcome, duration_ms FROM attempt_log_v) w
+GROUP BY window_start"""))
 def q_t2s(spark, sf_dir):
     return attempts.windowed_rollup(_log(spark, sf_dir), "2 hours", "1 hour")
 

@@ -28,11 +28,21 @@ from pyspark.sql import types as T
 def hits_in_window(events: DataFrame, key: str = "user_id", ts: str = "ts",
                    window_seconds: int = 60) -> DataFrame:
     """For each hit, the hits of its key in [ts - window, ts] (all hits,
-    admitted or not), by a range frame over epoch microseconds."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = (Window.partitionBy(key).orderBy(micros)
-         .rangeBetween(-window_seconds * 1_000_000, Window.currentRow))
-    return events.withColumn("hits", F.count("*").over(w))
+    admitted or not).
+
+    Skew-safe: time is cut into window-sized buckets and the range frame is
+    partitioned by (key, bucket). Everything a hit can see lies in its own
+    bucket or the one before, so each bucket also receives a copy of its
+    predecessor's hits as context rows. A key with a third of all hits is
+    spread over as many tasks as it has buckets (at twice the rows)."""
+    w_us = window_seconds * 1_000_000
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    base = events.withColumn("_us", us).withColumn("_bucket", F.floor(F.col("_us") / F.lit(w_us)))
+    own = base.withColumn("_ctx", F.lit(False))
+    ctx = base.withColumn("_bucket", F.col("_bucket") + 1).withColumn("_ctx", F.lit(True))
+    w = Window.partitionBy(key, "_bucket").orderBy("_us").rangeBetween(-w_us, Window.currentRow)
+    return (own.unionByName(ctx).withColumn("hits", F.count("*").over(w))
+            .where(~F.col("_ctx")).drop("_us", "_bucket", "_ctx"))
 
 
 def admit_sequence(times_us: np.ndarray, limit: int, window_us: int,
