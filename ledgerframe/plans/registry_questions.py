@@ -5,16 +5,18 @@ answering (N3), outcome classification (N4), row-set match (V1), verdicts
 The batch is derived from the companies table by Spark (so it grows with
 it); the item set keeps the questions whose reference answer - computed from
 the parameters the question was generated from - has rows, plus the questions
-that are expected to fail, as a golden set would. Planning a dozen branches
-over the ETL is kept small by checkpointing the shared inputs once per run."""
+that are expected to fail, as a golden set would."""
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerframe.operators import evaluate, questions
 from ledgerframe.plans import fixture_views as fv
+from ledgerframe.plans.oracle_views import with_views
 from ledgerframe.plans.registry import register
 from ledgerframe.session import checkpoint_dir, prepare
 from ledgerframe.sources.tables import Tables
@@ -24,41 +26,123 @@ OUT_OF_RANGE_YEAR = 1990
 
 
 class QA:
-    """The lazily built frames of one evaluation run."""
+    """The frames of one evaluation run, each built on first use."""
 
     def __init__(self, spark, sf_dir):
         prepare(spark)
         checkpoint_dir(spark)
-        t = Tables(spark, sf_dir)
-        self.co = fv.companies_v(t)
-        # The metrics table (written once by the ETL) and the linked batch feed
-        # a dozen branches each; the batch gets a reliable checkpoint in the
-        # shared checkpoint folder, which cuts lineage so planning stays small
-        # and a lost executor does not recompute it.
-        self.fm = fv.metrics_table(spark, sf_dir)
-        self.batch = questions.question_batch(self.co, YEARS, OUT_OF_RANGE_YEAR).checkpoint()
-        self.linked = questions.link_entities(self.batch.select("item_id", "question"), self.co).checkpoint()
-        self.answers = questions.answer_batch(self.linked, self.fm, self.co)
+        self.spark, self.sf_dir = spark, sf_dir
+        self.co = fv.companies_v(Tables(spark, sf_dir))
+
+    @cached_property
+    def fm(self) -> DataFrame:
+        return fv.metrics_table(self.spark, self.sf_dir)  # written once by the ETL
+
+    @cached_property
+    def batch(self) -> DataFrame:
+        return questions.question_batch(self.co, YEARS, OUT_OF_RANGE_YEAR)
+
+    @cached_property
+    def linked(self) -> DataFrame:
+        return questions.link_entities(self.batch.select("item_id", "question"), self.co)
+
+    @cached_property
+    def _linked_cut(self) -> DataFrame:
+        # The batch and its links feed a dozen branches each; a reliable
+        # checkpoint in the shared checkpoint folder cuts their lineage, so
+        # planning stays small and a lost executor does not recompute them.
+        return self.linked.checkpoint()
+
+    @cached_property
+    def _batch_cut(self) -> DataFrame:
+        return self.batch.checkpoint()
+
+    @cached_property
+    def answers(self) -> DataFrame:
+        return questions.answer_batch(self._linked_cut, self.fm, self.co)
+
+    @cached_property
+    def outcomes(self) -> DataFrame:
         ymin = self.fm.agg(F.min("fiscal_year")).scalar()
         ymax = self.fm.agg(F.max("fiscal_year")).scalar()
-        self.outcomes = questions.classify_outcomes(self.linked, self.answers, ymin, ymax)
-        truth = self.batch.where(~F.col("expect_failure")).select("item_id", *questions.TRUTH_COLS)
-        self.expected = questions.answer_batch(truth, self.fm, self.co)
+        return questions.classify_outcomes(self._linked_cut, self.answers, ymin, ymax)
+
+    @cached_property
+    def expected(self) -> DataFrame:
+        truth = self._batch_cut.where(~F.col("expect_failure")).select("item_id", *questions.TRUTH_COLS)
+        return questions.answer_batch(truth, self.fm, self.co)
+
+    @cached_property
+    def items(self) -> DataFrame:
         # A reference answer must hold a non-NULL value: a row of NULLs is not an answer.
         answered = self.expected.where(F.col("value").isNotNull()).select("item_id").distinct()
-        has_ref = self.batch.join(answered, "item_id", "left_semi")
-        self.items = has_ref.unionByName(self.batch.where(F.col("expect_failure"))).select(
+        has_ref = self._batch_cut.join(answered, "item_id", "left_semi")
+        return has_ref.unionByName(self._batch_cut.where(F.col("expect_failure"))).select(
             "item_id", "split", "question", "check", "expect_failure")
+
+    @cached_property
+    def matches(self) -> DataFrame:
         succeeded = self.outcomes.where(F.col("success")).select("item_id")
         actual = self.answers.join(succeeded, "item_id", "left_semi")
         exp = self.expected.join(self.items.select("item_id", "check"), "item_id")
-        self.matches = evaluate.rowset_match(exp, actual, by="item_id", check="check",
-                                             expected_cols=["label", "value"], actual_cols=["label", "value"])
-        self.verdicts = evaluate.verdicts(self.items, self.outcomes, self.matches)
-        self.board = evaluate.scoreboard(self.items, self.verdicts)
-
-
-@register("N2_link_entities")
+        return evaluate.rowset_match(exp, actual, by="item_id", check="check",
+                                     expected_cols=["label", "value"], actual_cols=["label", "value"])
+
+    @cached_property
+    def verdicts(self) -> DataFrame:
+        return evaluate.verdicts(self.items, self.outcomes, self.matches)
+
+    @cached_property
+    def board(self) -> DataFrame:
+        return evaluate.scoreboard(self.items, self.verdicts)
+
+
+# What linking must recover: the parameters each templated question was
+# generated from, written independently in SQL over the same companies.
+N2_SQL = with_views("""SELECT * FROM (
+WITH c AS (SELECT company_id AS cid, sic_description FROM companies_v),
+per_company AS (
+  SELECT 'lookup_annual-' || cid AS item_id, 'lookup' AS intent, 'desc' AS direction, cid AS company_id,
+         CAST(NULL AS BIGINT) AS company2_id,
+         ['revenue','net_income','total_assets','total_liabilities','eps_diluted'][cid % 5 + 1] AS metric,
+         CAST(NULL AS VARCHAR) AS num_metric, CAST(NULL AS VARCHAR) AS den_metric, CAST(NULL AS VARCHAR) AS sector,
+         1996 + cid % 5 AS year_from, 1996 + cid % 5 AS fiscal_year, 'FY' AS fiscal_period FROM c
+  UNION ALL SELECT 'lookup_quarter-' || cid, 'lookup', 'desc', cid, NULL, 'revenue', NULL, NULL, NULL,
+         1996 + cid % 5, 1996 + cid % 5, 'Q' || (cid % 4 + 1) FROM c
+  UNION ALL SELECT 'ratio-' || cid, 'ratio', 'desc', cid, NULL, NULL,
+         ['net_income','total_liabilities','net_income'][cid % 3 + 1],
+         ['revenue','total_assets','total_assets'][cid % 3 + 1], NULL, 1996 + cid % 5, 1996 + cid % 5, 'FY' FROM c
+  UNION ALL SELECT 'growth-' || cid, 'growth', 'desc', cid, NULL, 'revenue', NULL, NULL, NULL,
+         1997 + cid % 4, 1997 + cid % 4, 'FY' FROM c
+  UNION ALL SELECT 'difference-' || cid, 'difference', 'desc', cid, NULL, 'net_income', NULL, NULL, NULL,
+         1996 + cid % 3, 1998 + cid % 3, 'FY' FROM c
+  UNION ALL SELECT 'latest-' || cid, 'latest', 'desc', cid, NULL, 'revenue', NULL, NULL, NULL, NULL, NULL, 'FY' FROM c
+  UNION ALL SELECT 'no_metric-' || cid, 'lookup', 'desc', cid, NULL, NULL, NULL, NULL, NULL,
+         1996 + cid % 5, 1996 + cid % 5, 'FY' FROM c
+  UNION ALL SELECT 'no_year-' || cid, 'lookup', 'desc', cid, NULL, 'revenue', NULL, NULL, NULL, 1990, 1990, 'FY' FROM c
+  UNION ALL SELECT 'comparison-' || a.cid, 'comparison', 'desc', a.cid, b.cid, 'revenue', NULL, NULL, NULL,
+         1996 + a.cid % 5, 1996 + a.cid % 5, 'FY' FROM c a JOIN c b ON b.cid = a.cid + 1
+  UNION ALL SELECT 'sector_total-' || min(cid), 'sector_total', 'desc', NULL, NULL, 'revenue', NULL, NULL,
+         lower(sic_description), 1996 + min(cid) % 5, 1996 + min(cid) % 5, 'FY'
+         FROM c WHERE sic_description IS NOT NULL GROUP BY sic_description),
+years(y) AS (SELECT * FROM range(1996, 2001)),
+per_year AS (
+  SELECT 'top_revenue-' || y AS item_id, 'superlative' AS intent, 'desc' AS direction,
+         CAST(NULL AS BIGINT) AS company_id, CAST(NULL AS BIGINT) AS company2_id, 'revenue' AS metric,
+         CAST(NULL AS VARCHAR) AS num_metric, CAST(NULL AS VARCHAR) AS den_metric, CAST(NULL AS VARCHAR) AS sector,
+         y AS year_from, y AS fiscal_year, 'FY' AS fiscal_period FROM years
+  UNION ALL SELECT 'low_net_income-' || y, 'superlative', 'asc', NULL, NULL, 'net_income', NULL, NULL, NULL, y, y, 'FY'
+         FROM years
+  UNION ALL SELECT 'top_margin-' || y, 'superlative', 'desc', NULL, NULL, NULL, 'net_income', 'revenue', NULL, y, y, 'FY'
+         FROM years)
+SELECT item_id, intent, direction, company_id, company2_id, metric, num_metric, den_metric, sector,
+       CAST(year_from AS INT) AS year_from, CAST(fiscal_year AS INT) AS fiscal_year, fiscal_period
+FROM per_company UNION ALL
+SELECT item_id, intent, direction, company_id, company2_id, metric, num_metric, den_metric, sector,
+       CAST(year_from AS INT), CAST(fiscal_year AS INT), fiscal_period FROM per_year) q""")
+
+
+@register("N2_link_entities", N2_SQL)
 def q_n2(spark, sf_dir):
     return QA(spark, sf_dir).linked.drop("question")
 
