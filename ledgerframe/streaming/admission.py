@@ -88,17 +88,18 @@ STATE_SCHEMA = T.StructType([T.StructField("admitted_us", T.ArrayType(T.LongType
 
 
 def admission_stream(events: DataFrame, key: str = "user_id", ts: str = "ts", order: str = "event_id",
-                     limit: int = 3, window_seconds: int = 60, idle_timeout: str = "1 hour") -> DataFrame:
+                     limit: int = 3, window_seconds: int = 60, idle_timeout: str | None = "1 hour") -> DataFrame:
     """T1 on a stream: the same recurrence with ``applyInPandasWithState``; the
     state per key is the admitted times still inside the window (at most
     ``limit``). Hits of one key are ordered by (ts, order) within each
-    micro-batch; keys idle for ``idle_timeout`` lose their state."""
+    micro-batch; keys idle for ``idle_timeout`` lose their state (``None``:
+    state is kept until the query ends)."""
     from pyspark.sql.streaming.state import GroupStateTimeout
     window_us = window_seconds * 1_000_000
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     e = events.select(F.col(order).alias("event_id"), F.col(key).alias("key"), F.col(ts).alias("ts"),
                       micros.alias("us"))
-    timeout_ms = _duration_ms(idle_timeout)
+    timeout_ms = _duration_ms(idle_timeout) if idle_timeout else None
 
     def run(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -108,12 +109,14 @@ def admission_stream(events: DataFrame, key: str = "user_id", ts: str = "ts", or
         prior = deque(state.get[0]) if state.exists else deque()
         ok, kept = admit_sequence(pdf["us"].to_numpy(), limit, window_us, prior)
         state.update((list(kept),))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms is not None:
+            state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "key": pdf["key"].to_numpy(),
                             "ts": pdf["ts"].to_numpy(), "admitted": ok})
 
     return e.groupBy("key").applyInPandasWithState(
-        run, ADMIT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        run, ADMIT_SCHEMA, STATE_SCHEMA, "append",
+        GroupStateTimeout.ProcessingTimeTimeout if timeout_ms is not None else GroupStateTimeout.NoTimeout)
 
 
 def _duration_ms(text: str) -> int:

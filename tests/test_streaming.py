@@ -54,10 +54,11 @@ def test_admission_stream_agrees_with_batch(spark, tmp_path):
     ev_dir = _event_dir(tmp_path)
     schema = spark.read.parquet(ev_dir).schema
     stream = spark.readStream.schema(schema).parquet(ev_dir)
-    out = admission.admission_stream(stream.select("event_id", "user_id", "ts"), limit=3, window_seconds=86400)
+    out = admission.admission_stream(stream.select("event_id", "user_id", "ts"), limit=3, window_seconds=86400,
+                                     idle_timeout=None)
     q = (out.writeStream.outputMode("append").format("memory").queryName("admitted_t")
          .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
-    q.awaitTermination(300)
+    assert q.awaitTermination(300)
     streamed = {r["event_id"]: r["admitted"] for r in spark.sql("SELECT * FROM admitted_t").collect()}
     batch = {r["event_id"]: r["admitted"] for r in admission.admission_batch(
         spark.read.parquet(ev_dir).select("event_id", "user_id", "ts"), limit=3, window_seconds=86400).collect()}
