@@ -11,9 +11,6 @@ from pyspark.sql import SparkSession
 # library, the tests and the benchmark agree with the DuckDB oracle.
 RESULT_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
-    # Stages whose generated method exceeds the JIT's 8000-byte limit would
-    # run interpreted; fall back to per-operator codegen instead.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
