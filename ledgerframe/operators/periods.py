@@ -141,7 +141,7 @@ def _by_period(df: DataFrame, value_cols: Sequence[str], order: Column | None =
     return out
 
 
-def _q4_from(fy: Column, q1: Column, q2: Column, q3: Column) -> Column:
+def _q4_from(fy: Column, q1: Column, q2: Column, q3: Column, extra: Sequence[str] = ("form", "filed")) -> Column:
     """Q4 = FY - (Q1 + Q2 + Q3), from Q3's end + 1 day to FY's end, on FY's filing."""
     complete = fy.isNotNull() & q1.isNotNull() & q2.isNotNull() & q3.isNotNull()
     value = (fy["val"] - (q1["val"] + q2["val"] + q3["val"])).cast(domain.VALUE_TYPE)
@@ -149,7 +149,7 @@ def _q4_from(fy: Column, q1: Column, q2: Column, q3: Column) -> Column:
         F.lit("Q4").alias("fp"), value.alias("val"),
         F.date_add(q3["end_date"], 1).alias("start_date"),
         fy["end_date"].alias("end_date"), fy["accn"].alias("accn"),
-        fy["form"].alias("form"), fy["filed"].alias("filed")))
+        *[fy[c].alias(c) for c in extra]))
 
 
 def derive_q4(merged: DataFrame, flow_metrics: Sequence[str] = domain.FLOW_METRICS) -> DataFrame:
@@ -193,10 +193,11 @@ def build_metrics(raw: DataFrame, fy_min: int, fy_max: int,
     facts = usable_facts(raw, fy_min, fy_max, flow_metrics)
     facts = facts.withColumn("prio", tag_priority(metric_tags)).where(F.col("prio").isNotNull())
     order = F.struct(F.col("prio"), recency_key(tiebreak))
-    cols = ["val", "start_date", "end_date", "accn", "form", "filed"]
+    # Only what the metrics table keeps travels through the aggregation buffers.
+    cols = ["val", "start_date", "end_date", "accn"]
     per_year = facts.groupBy("company_id", "metric", "fy").agg(*_by_period(facts, cols, order))
     q4 = F.when(F.col("metric").isin(*flow_metrics),
-                _q4_from(F.col("p_FY"), F.col("p_Q1"), F.col("p_Q2"), F.col("p_Q3")))
+                _q4_from(F.col("p_FY"), F.col("p_Q1"), F.col("p_Q2"), F.col("p_Q3"), extra=()))
     periods = [F.when(F.col(f"p_{p}").isNotNull(),
                       F.struct(F.lit(p).alias("fp"), *[F.col(f"p_{p}")[c].alias(c) for c in cols]))
                for p in ["FY", *domain.QUARTERS]]
