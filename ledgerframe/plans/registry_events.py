@@ -300,7 +300,13 @@ def q_t1(spark, sf_dir):
     return admission.admission_batch(e, key="user_id", ts="ts", limit=3, window_seconds=86400)
 
 
-@register("T2_session_rollup")
+@register("T2_session_rollup", """
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end,
+       count(*) AS attempts, count(*) FILTER (WHERE event_type = 'purchase') AS successes
+FROM (SELECT *, sum(CASE WHEN prev IS NULL OR ts - prev >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid
+      FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) e) s
+GROUP BY user_id, sid""")
 def q_t2sess(spark, sf_dir):
     from ledgerframe.streaming import attempt_windows
     ev = _t(spark, sf_dir).events
