@@ -103,3 +103,17 @@ def test_incremental_ingest_upserts_touched_companies(spark, tmp_path):
     second = {r["company_id"]: float(r["value"]) for r in ingest.current_metrics(spark, store).collect()}
     assert second == {"0000000001": 120.0, "0000000002": 70.0}
     assert len(os.listdir(os.path.join(store, "facts"))) >= 2
+
+
+def test_hits_in_window_across_buckets_matches_brute_force(spark):
+    import datetime as dt
+    base = dt.datetime(2024, 1, 1, 0, 0, 0)
+    secs = [0, 30, 59, 60, 61, 119, 120, 120, 150, 185, 400]   # bucket edges at 60 s multiples
+    rows = [(i, 7, base + dt.timedelta(seconds=s)) for i, s in enumerate(secs)]
+    rows.append((99, 8, base + dt.timedelta(seconds=60)))
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz")
+    got = {r["event_id"]: r["hits"] for r in admission.hits_in_window(df, window_seconds=60).collect()}
+    expect = {}
+    for i, k, t in rows:
+        expect[i] = sum(1 for _, k2, t2 in rows if k2 == k and t - dt.timedelta(seconds=60) <= t2 <= t)
+    assert got == expect
