@@ -1,7 +1,7 @@
 """Domain vocabulary of the filing-fact model and the schemas built on it.
 
 The constants below are fixed values: they must equal the source data's own
-vocabulary (EDGAR us-gaap tag names, form codes, period labels, units) and the
+vocabulary (SEC us-gaap tag names, form codes, period labels, units) and the
 documented selection windows, or results differ.
 """
 
