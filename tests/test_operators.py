@@ -149,3 +149,16 @@ def test_validate_questions(spark):
     df = spark.createDataFrame([(1, "hi"), (2, "abc"), (3, "x" * 1001), (4, None)], "id long, text string")
     got = {r["id"]: r["reject_reason"] for r in questions.validate_questions(df).collect()}
     assert got == {1: "too_short", 2: None, 3: "too_long", 4: "missing"}
+
+
+def test_broad_coverage_threshold_and_fallback(spark):
+    from ledgerframe.operators import coverage
+    rows = [(c, "revenue", y, "FY") for y, n in [(2021, 10), (2022, 9), (2023, 4)] for c in range(n)]
+    rows += [(0, "revenue", 2024, "Q1")]
+    fm = spark.createDataFrame(rows, "company_id long, metric string, fiscal_year int, fiscal_period string")
+    r = coverage.broad_coverage(fm, threshold=0.5).first()
+    assert (r["peak_fy_companies"], r["last_broad_year"]) == (10, 2022)
+    only_q = fm.where("fiscal_period <> 'FY'")
+    r = coverage.broad_coverage(only_q, threshold=0.5).first()
+    assert (r["peak_fy_companies"], r["last_broad_year"]) == (0, 2024)
+    assert coverage.companies_with_latest_fy(fm).first()["n_with_fy_latest"] == 0
