@@ -13,10 +13,11 @@ from functools import lru_cache
 import numpy as np
 
 #: Chunks kept per generation and the longest chunk that is kept.
-MEMO_CHUNKS, MEMO_CHARS = 300_000, 48
+MEMO_CHUNKS, MEMO_CHARS = 500_000, 48
 #: A character that stands alone between two unknown chunks; chunks that hold it
 #: go to the library one by one.
 SEPARATOR = "\x01"
+MARKS = ".,;:!?#$%&*|-"
 
 
 def default_vocabulary() -> str:
@@ -32,6 +33,10 @@ class TokenIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        # A word's last token, and no other, ends with the word-end mark.
+        vocabulary_size = self.tokenizer.get_vocab_size()
+        self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>")
+                                for i in range(vocabulary_size)])
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.mark = self._encode(SEPARATOR)
@@ -44,45 +49,59 @@ class TokenIds:
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of chunks that are not kept yet."""
-        plain = [c for c in chunks if SEPARATOR not in c]
+        letters = [c for c in chunks if c.isalpha()]
+        plain = [c for c in chunks if not c.isalpha() and SEPARATOR not in c]
         out = {c: np.array(self._encode(c), "<u4").tobytes() for c in chunks if SEPARATOR in c}
+        for at in range(0, len(letters), 4096):
+            some = letters[at:at + 4096]
+            ids = np.array(self._encode(" ".join(some)), "<u4")
+            last = np.flatnonzero(self.closes[ids]) + 1
+            if len(last) == len(some):  # else some chunk is more than one word
+                ends = (4 * last).tolist()
+                flat = ids.tobytes()
+                out.update(zip(some, [flat[a:b] for a, b in zip([0, *ends], ends)]))
+            else:
+                plain += some
         for at in range(0, len(plain), 4096):
             some = plain[at:at + 4096]
             ids = np.array(self._encode(f" {SEPARATOR} ".join(some)), "<u4")
-            cuts = np.flatnonzero(ids == self.mark[0])
-            flat, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
-            begins = [0, *(4 * cuts + 4).tolist()]
+            cuts = 4 * np.flatnonzero(ids == self.mark[0])
+            flat, ends = ids.tobytes(), [*cuts.tolist(), 4 * len(ids)]
+            begins = [0, *(cuts + 4).tolist()]
             out.update(zip(some, [flat[a:b] for a, b in zip(begins, ends)], strict=True))
         return out
 
     def ids(self, text: str) -> bytes:
         if not self.splits:
             return np.array(self._encode(text), "<u4").tobytes()
+        if len(self.young) >= MEMO_CHUNKS:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
         chunks = text.replace("\n", " ").split(" ")
-        rest: dict[str, bytes] = {}
-        young = self.young
         unknown = [c for c in set(chunks) if c not in young]
         if unknown:
-            ask = []
-            for c in unknown:
-                if (known := self.old.get(c)) is not None:
-                    self._keep(c, known)
-                    rest[c] = known
-                else:
-                    ask.append(c)
-            for c, got in self._learn(ask).items():
-                rest[c] = got
-                if len(c) <= MEMO_CHARS:
-                    self._keep(c, got)
-            young = self.young
-            return b"".join([rest[c] if c in rest else young[c] if c in young else self.old[c]
-                             for c in chunks])
-        return b"".join(map(self.young.__getitem__, chunks))
-
-    def _keep(self, chunk: str, ids: bytes) -> None:
-        if len(self.young) >= MEMO_CHUNKS:
-            self.old, self.young = self.young, {}
-        self.young[chunk] = ids
+            roots = {c: self._root(c) for c in unknown if c not in old}
+            parts = {part for pair in roots.values() for part in pair}
+            known = {c: old[c] for c in unknown if c in old}
+            known.update((c, young[c] if c in young else old[c]) for c in parts if c in young or c in old)
+            known.update(self._learn([c for c in parts if c not in known]))
+            known.update((c, known[root] + known[point]) for c, (root, point) in roots.items())
+            young.update(known)
+        out = b"".join(map(young.__getitem__, chunks))
+        for c in unknown:
+            if len(c) > MEMO_CHARS:
+                for part in {c, *roots.get(c, ())}:
+                    young.pop(part, None)
+        return out
+
+    @staticmethod
+    def _root(chunk: str) -> tuple[str, str]:
+        """A chunk that is met more often, and the punctuation that follows it:
+        ASCII capitals are lowered, marks after letters are a word of their own."""
+        root = chunk.rstrip(MARKS)
+        if root == chunk or not root.isalpha():
+            root = chunk
+        return (root.lower() if root.isascii() else root), chunk[len(root):]
 
 
 @lru_cache(maxsize=2)
