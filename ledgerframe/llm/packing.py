@@ -94,8 +94,8 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
         tokens, part, seen = token_ids(vocabulary), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                ids, doc = tokens.ids(text) + end, None if pd.isna(doc) else int(doc)
+            for doc, ids in zip(batch["doc_id"], tokens.ids_of(batch["text"])):
+                ids, doc = ids + end, None if pd.isna(doc) else int(doc)
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     some = ids[at:at + 4 * capacity]
                     length = len(some) // 4

@@ -135,10 +135,10 @@ def token_files(docs: DataFrame, vocabulary: str | None = None, kind: str = "byt
                                 ).astype({"first_doc": "Int64"})
 
         for batch in batches:
-            for doc, text, shard in zip(batch["doc_id"], batch["text"], batch["shard"]):
-                ids = tokens.ids(text) + end
-                held.append((None if pd.isna(doc) else int(doc), ids))
-                size += len(ids)
+            for doc, ids, shard in zip(batch["doc_id"], tokens.ids_of(batch["text"]),
+                                       batch["shard"]):
+                held.append((None if pd.isna(doc) else int(doc), ids + end))
+                size += len(ids) + len(end)
                 if size >= 4 * file_ids:
                     yield flush()
                     held, size, file = [], 0, file + 1

@@ -8,6 +8,7 @@ library for the others, many at a time.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -17,6 +18,8 @@ MEMO_CHUNKS, MEMO_CHARS = 500_000, 48
 #: A character that stands alone between two unknown chunks; chunks that hold it
 #: go to the library one by one.
 SEPARATOR = "\x01"
+#: Characters of the texts that are looked up together.
+GROUP_CHARS = 400_000
 MARKS = ".,;:!?#$%&*|-"
 
 
@@ -72,22 +75,37 @@ class TokenIds:
         return out
 
     def ids(self, text: str) -> bytes:
+        return self._ids_together([text])[0]
+
+    def ids_of(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """``ids`` of each text, for groups of texts of bounded size at a time."""
+        group, size = [], 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size > GROUP_CHARS:
+                yield from self._ids_together(group)
+                group, size = [], 0
+        yield from self._ids_together(group)
+
+    def _ids_together(self, texts: list[str]) -> list[bytes]:
         if not self.splits:
-            return np.array(self._encode(text), "<u4").tobytes()
+            return [np.array(self._encode(t), "<u4").tobytes() for t in texts]
         if len(self.young) >= MEMO_CHUNKS:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        chunks = text.replace("\n", " ").split(" ")
-        unknown = [c for c in set(chunks) if c not in young]
+        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        unknown = [c for c in set().union(*cut) if c not in young]
         if unknown:
             roots = {c: self._root(c) for c in unknown if c not in old}
             parts = {part for pair in roots.values() for part in pair}
             known = {c: old[c] for c in unknown if c in old}
-            known.update((c, young[c] if c in young else old[c]) for c in parts if c in young or c in old)
+            known.update((c, young[c] if c in young else old[c])
+                         for c in parts if c in young or c in old)
             known.update(self._learn([c for c in parts if c not in known]))
             known.update((c, known[root] + known[point]) for c, (root, point) in roots.items())
             young.update(known)
-        out = b"".join(map(young.__getitem__, chunks))
+        out = [b"".join(map(young.__getitem__, chunks)) for chunks in cut]
         for c in unknown:
             if len(c) > MEMO_CHARS:
                 for part in {c, *roots.get(c, ())}:
