@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -76,13 +76,16 @@ def count_grams(texts: DataFrame) -> DataFrame:
     """``(gram, n)`` of the highest order over all of ``texts(text)``."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(GRAMS, np.int64)
+        held, size = [], 0
         for batch in batches:
             for text in batch["text"]:
-                if text:
-                    total += np.bincount(gram_codes(text), minlength=GRAMS) if len(text) > GRAMS // 16 \
-                        else 0
-                    if len(text) <= GRAMS // 16:
-                        np.add.at(total, gram_codes(text), 1)
+                held.append(gram_codes(text))
+                size += len(text)
+                if size > GRAMS:
+                    total += np.bincount(np.concatenate(held), minlength=GRAMS)
+                    held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=GRAMS)
         got = np.flatnonzero(total)
         yield pd.DataFrame({"gram": got.astype(np.int64), "n": total[got]})
 
