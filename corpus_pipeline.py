@@ -1,33 +1,60 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Every stage calls one operator of ``ledgerframe.llm`` on all that the stage before it
+kept; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerframe.llm import packing, simhash
+from ledgerframe.llm import packing, pii, quality_lm, simhash, toxicity
 from ledgerframe.llm.common import stored, table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorization machine does not predict toxic."""
+    return toxicity.kept(docs, table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents within their language's perplexity threshold."""
+    return quality_lm.kept(docs, table(spark, sf_dir, "labels"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays (3-word shingles, 2 bits)."""
+    """One document of each SimHash group (3-word shingles, 2 bits)."""
     return simhash.keep_one(docs, shingle=3, distance=2)
 
 
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences."""
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with a tag for each span of personal data; ``n_chars`` follows the new text."""
+    clean = pii.redacted(docs)
+    if "n_chars" not in clean.columns:
+        return clean
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequences of at most 4096 tokens."""
     return packing.pack(docs, capacity=4096, end_id=1)
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality_classifier", drop_low_quality),
     ("simhash_near_dedup", near_duplicates),
-    ("best_fit_packing", packed),
+    ("pii", redact),
+    ("best_fit_packing", pack),
 ]
 
+#: Learned models, SimHash and the tokenizer have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table ``documents``; each is written before the next."""
+    """All stages over the table ``documents``; each is written before the next reads it."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")

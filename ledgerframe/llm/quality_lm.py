@@ -25,7 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerframe.llm.common import stored, text_or_empty
@@ -144,21 +144,29 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id", label_col: str = "qua
                                                          ).where("good > 0").select("doc_id")
 
 
-def perplexities(docs: DataFrame, model: np.ndarray | None, id_col: str = "doc_id",
-                 text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``(doc_id, lang, symbols, bits)``: micro-nats of each whole text under the model."""
-    def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def costs(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text",
+          lang_col: str = "lang", keep: list[str] = ()) -> DataFrame:
+    """``(doc_id, lang, symbols, cost)`` of every row, the cost in micro-nats of the whole
+    text under the model, and the columns ``keep`` as a struct ``kept``."""
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"),
+                        F.col(lang_col).cast("string").alias("lang"),
+                        text_or_empty(text_col).alias("text"),
+                        *[F.struct(*keep).alias("kept")] * bool(keep))
+
+    def rate(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         for batch in batches:
-            cost = [int(model[gram_codes(t)].sum()) if t and model is not None else 0
-                    for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang": batch["lang"],
-                                "symbols": [len(t) for t in batch["text"]], "cost": cost}
-                               ).astype({"doc_id": "Int64"})
+            texts = batch.column("text").to_pylist()
+            cost = [int(model[gram_codes(t)].sum(dtype=np.int64)) if t else 0 for t in texts]
+            rated = {"symbols": pa.array([len(t) for t in texts], pa.int64()),
+                     "cost": pa.array(cost, pa.int64())}
+            yield pa.RecordBatch.from_arrays(
+                [rated[n] if n in rated else batch.column(n) for n in names], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"),
-                       F.col(lang_col).cast("string").alias("lang"),
-                       text_or_empty(text_col).alias("text")
-                       ).mapInPandas(rate, "doc_id long, lang string, symbols long, cost long")
+    names = [c for c in given.columns if c != "text"] + ["symbols", "cost"]
+    schema = ", ".join(f"`{c}` {t}" for c, t in given.drop("text").dtypes)
+    return given.mapInArrow(rate, f"{schema}, symbols long, cost long")
 
 
 def _quantiles(bins: DataFrame, quantile: float, by: list[str]) -> DataFrame:
@@ -171,45 +179,80 @@ def _quantiles(bins: DataFrame, quantile: float, by: list[str]) -> DataFrame:
                                              ).groupBy(*by).agg(F.min("bin").alias("bin"))
 
 
-def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE,
-            margin: float = MARGIN, prior: int = PRIOR_SYMBOLS, id_col: str = "doc_id",
-            text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``(doc_id, lang, perplexity, threshold, keep)`` for every row of ``docs``.
+class Quality:
+    """A fitted model: micro-nats per 4-gram, the trusted mean, thresholds in nats."""
 
-    ``keep`` is ``perplexity <= threshold`` of the row's language; a language
-    without trusted documents (a null one too) uses the threshold of all
-    languages. Without any trusted text every row is kept, with a null
-    perplexity and threshold. Empty and null texts have the trusted mean
-    perplexity and are kept. Repeated rows get equal results."""
+    def __init__(self, model: np.ndarray, mean: float, prior: int, by_lang: DataFrame, overall: float):
+        self.model, self.mean, self.prior = model, mean, prior
+        self.by_lang, self.overall = by_lang, overall
+
+    def nats(self) -> Column:
+        return (F.col("cost") + self.mean * self.prior) / (F.col("symbols") + self.prior) / 1e6
+
+
+def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN,
+        prior: int = PRIOR_SYMBOLS, id_col: str = "doc_id", text_col: str = "text",
+        lang_col: str = "lang") -> Quality | None:
+    """The model and thresholds of all trusted documents among ``docs``; None without any text."""
     good = stored(trusted_ids(labels, id_col), "quality-trusted")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                         text_or_empty(text_col).alias("text"))
-    trusted = texts.join(good, "doc_id", "left_semi").select("text")
-    counts = stored(count_grams(trusted), "quality-counts")
+    counts = stored(count_grams(texts.join(good, "doc_id", "left_semi").select("text")),
+                    "quality-counts")
     if counts.isEmpty():
-        return docs.select(F.col(id_col).cast("long").alias("doc_id"),
-                           F.col(lang_col).cast("string").alias("lang"),
-                           F.lit(None).cast("double").alias("perplexity"),
-                           F.lit(None).cast("double").alias("threshold"),
-                           F.lit(True).alias("keep"))
+        return None
     table = kneser_ney(counts).toPandas()  # GRAMS rows, always
     model = np.zeros(GRAMS, np.int32)
     model[table["gram"]] = np.rint(-1e6 * np.log(table["p"]))
-
-    rated = stored(perplexities(docs, model, id_col, text_col, lang_col), "quality-costs")
-    known = rated.join(good, "doc_id", "left_semi")
-    mean = known.agg(F.sum("cost") / F.sum("symbols")).first()[0] or 0.0
-    nats = (F.col("cost") + mean * prior) / (F.col("symbols") + prior) / 1e6
-    bins = known.select("lang", F.floor(nats / BIN).alias("bin"))
+    known = stored(costs(docs, model, id_col, text_col, lang_col)
+                   .join(good, "doc_id", "left_semi"), "quality-costs")
+    mean = known.agg(F.sum("cost") / F.sum("symbols")).first()[0]
+    fitted = Quality(model, mean, prior, None, 0.0)
+    bins = known.select("lang", F.floor(fitted.nats() / BIN).alias("bin"))
     limit = (F.col("bin") + 1) * BIN + margin
-    by_lang = _quantiles(bins.where("lang is not null"), quantile, ["lang"]).select(
-        F.col("lang").alias("of_lang"), limit.alias("own"))
-    overall = _quantiles(bins.select(F.lit(1).alias("one"), "bin"), quantile, ["one"]).select(
-        limit.alias("any")).first()[0]
-    # The language of a hot source is a join key of few values: adaptive execution splits it.
-    judged = rated.withColumn("nats", nats).join(
-        stored(by_lang, "quality-thresholds"), F.col("lang") == F.col("of_lang"), "left"
-    ).withColumn("limit", F.coalesce("own", F.lit(float(overall))))
+    fitted.by_lang = stored(_quantiles(bins.where("lang is not null"), quantile, ["lang"]).select(
+        F.col("lang").alias("of_lang"), limit.alias("own")), "quality-thresholds")
+    fitted.overall = float(_quantiles(bins.select(F.lit(1).alias("one"), "bin"), quantile, ["one"])
+                           .select(limit).first()[0])
+    return fitted
+
+
+def judge(docs: DataFrame, fitted: Quality | None, id_col: str = "doc_id", text_col: str = "text",
+          lang_col: str = "lang", keep: list[str] = ()) -> DataFrame:
+    """``(doc_id, lang, perplexity, threshold, keep)`` of every row, and ``kept``."""
+    more = ["kept"] * bool(keep)
+    if fitted is None:
+        return docs.select(F.col(id_col).cast("long").alias("doc_id"),
+                           F.col(lang_col).cast("string").alias("lang"),
+                           F.lit(None).cast("double").alias("perplexity"),
+                           F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("keep"),
+                           *[F.struct(*keep).alias("kept")] * bool(keep))
+    rated = costs(docs, fitted.model, id_col, text_col, lang_col, keep)
+    judged = rated.join(fitted.by_lang, F.col("lang") == F.col("of_lang"), "left").select(
+        "doc_id", "lang", fitted.nats().alias("nats"),
+        F.coalesce("own", F.lit(fitted.overall)).alias("limit"), *more)
     return judged.select("doc_id", "lang", F.exp("nats").alias("perplexity"),
                          F.exp("limit").alias("threshold"),
-                         (F.col("nats") <= F.col("limit")).alias("keep"))
+                         (F.col("nats") <= F.col("limit")).alias("keep"), *more)
+
+
+def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE,
+            margin: float = MARGIN, prior: int = PRIOR_SYMBOLS, id_col: str = "doc_id",
+            text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``(doc_id, lang, perplexity, threshold, keep)`` for every row of ``docs``.
+
+    ``keep`` is ``perplexity <= threshold`` of the row's language; a language
+    without trusted documents (a null one too) uses the threshold of all
+    languages. Without any trusted text every row is kept, with a null
+    perplexity and threshold. Empty and null texts have the trusted mean
+    perplexity. Repeated rows get equal results; other columns are not read."""
+    fitted = fit(docs, labels, quantile, margin, prior, id_col, text_col, lang_col)
+    return judge(docs, fitted, id_col, text_col, lang_col)
+
+
+def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+         lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs``, all columns, that :func:`quality` keeps."""
+    judged = judge(docs, fit(docs, labels, id_col=id_col, text_col=text_col, lang_col=lang_col),
+                   id_col, text_col, lang_col, docs.columns)
+    return judged.where("keep").select("kept.*")

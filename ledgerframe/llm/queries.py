@@ -7,11 +7,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerframe.llm import embedding_dedup, packing, simhash, token_files
+from ledgerframe.llm import (chat, embedding_dedup, mtree, packing, pii, quality_lm,
+                             sentencepiece_fst, simhash, token_files, toxicity)
+from ledgerframe.llm.oracles import ORACLE  # noqa: F401
 from ledgerframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -37,3 +38,39 @@ def op5_simhash_near_dedup(spark, sf_dir):
 @query
 def op6_token_files(spark, sf_dir):
     return token_files.round_trip(table(spark, sf_dir, "documents"), kind="byte", end_id=1)
+
+
+@query
+def op2_sentencepiece_fst(spark, sf_dir):
+    return sentencepiece_fst.digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_quality_kneser_ney(spark, sf_dir):
+    return quality_lm.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_toxicity_fm(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                             threshold=0.7)
+
+
+@query
+def op8_pii_boosted(spark, sf_dir):
+    return pii.digests(pii.find(table(spark, sf_dir, "documents")))
+
+
+@query
+def op9_chat_formatting(spark, sf_dir):
+    probe = spark.createDataFrame(
+        [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")],
+        "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").selectExpr(
+        "cast(conv_id as long) conv_id", "cast(turn as long) turn", "role", "text")
+    return chat.digests(chat.format_conversations(rows.unionByName(probe)))
+
+
+@query
+def op10_mtree_top_k(spark, sf_dir):
+    return mtree.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", k=10, scale=1024)

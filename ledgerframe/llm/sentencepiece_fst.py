@@ -36,6 +36,7 @@ META = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MEMO_WORDS, MEMO_CHARS, MEMO_PAIRS = 600_000, 48, 1_000_000
+MARKS = ".,;:!?#$%&*|"
 #: Cost of an unknown character, above any path of pieces over it.
 UNKNOWN_COST = 1e12
 
@@ -75,15 +76,25 @@ class Transducers:
             for mark in name:
                 state = state.setdefault(mark, {})
             state[""] = i
+        if self.kind == BPE and any(c not in self.ids for n in self.ids for c in n):
+            raise ValueError("a character of some piece has no piece of its own")
         # Pieces never cross from other text into the meta symbol; line ends that no longer
         # piece holds are borders as well.
         long = [n for n in self.ids if len(n) > 1]
         self.splits_words = not any(META in n.lstrip(META) for n in long)
         self.splits_lines = not any("\n" in n for n in long)
+        self.surface = [self._surface(i) for i in range(len(self.names))]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.alone: dict[int, bool] = {}
+        self.pairs: dict[int, bool] = {}
+
+    def _surface(self, i: int) -> bytes:
+        """What a piece decodes to."""
+        if self.types[i] == BYTE:
+            return bytes([int(self.names[i][3:5], 16)])
+        if self.types[i] == UNKNOWN:
+            return " ⁇ ".encode()
+        return b"" if self.types[i] == CONTROL else self.names[i].replace(META, " ").encode()
 
     def normalise(self, text: str) -> str:
         """The normaliser's output string; without text there is none."""
@@ -109,70 +120,94 @@ class Transducers:
 
     def follows(self, left: int, right: int) -> bool:
         """Whether ``right`` may come after ``left`` (-1: start, or after a byte fallback)."""
-        if left < 0:
-            known = self.alone.get(right)
-            if known is None:
-                known = self.alone[right] = self.merged(self.names[right]) == [self.names[right]]
-            return known
-        known = self.pairs.get((left, right))
+        key = left << 20 | right
+        known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= MEMO_PAIRS:
                 self.pairs.clear()
-            a, b = self.names[left], self.names[right]
-            known = self.pairs[left, right] = self.merged(a + b) == [a, b]
+            names = [self.names[i] for i in (left, right) if i >= 0]
+            known = self.pairs[key] = self.merged("".join(names)) == names
         return known
 
-    def shortest_path(self, marks: str) -> list[int]:
-        """Ids along the shortest path of the composition with one normalised string.
+    def _arcs(self, marks: str, p: int) -> list[tuple[int, int]]:
+        """``(end, piece)`` of the pieces that begin at ``p``, short ones first. A character
+        without a piece has one arc, its byte fallback, named -1."""
+        arcs, q, node, size = [], p, self.trie, len(marks)
+        while q < size and (node := node.get(marks[q])) is not None:
+            q += 1
+            if (piece := node.get("")) is not None:
+                arcs.append((q, piece))
+        return arcs or [(p + 1, -1)]
+
+    def _fallback(self, mark: str) -> list[int]:
+        if not self.bytes:
+            return [self.unknown]
+        return [self.bytes[b] for b in mark.encode("utf-8", "surrogatepass")]
 
-        ``open[p]`` maps each state at position ``p`` to its cost and the arc it came by."""
+    def shortest_path(self, marks: str) -> list[int]:
+        """Ids along the shortest path of the composition with one normalised string."""
+        path = self._only_path(marks) if self.kind == BPE else self._cheapest_path(marks)
+        return [i for p, piece in path for i in ([piece] if piece >= 0 else self._fallback(marks[p]))]
+
+    def _only_path(self, marks: str) -> list[tuple[int, int]]:
+        """The accepting path of a BPE model. There is one, so the first found is the
+        shortest: depth first, long pieces first, states without a way on remembered."""
+        size, dead, follows = len(marks), set(), self.pairs.get
+        p, last, arcs = 0, -1, self._arcs(marks, 0)
+        trail = []
+        while True:
+            while arcs:
+                q, piece = arcs.pop()
+                if piece >= 0:
+                    known = follows(last << 20 | piece)
+                    if not (self.follows(last, piece) if known is None else known):
+                        continue
+                if (q, piece) in dead:
+                    continue
+                trail.append((p, last, arcs, piece))
+                if q == size:
+                    return [(at, out) for at, _, _, out in trail]
+                p, last, arcs = q, piece, self._arcs(marks, q)
+            dead.add((p, last))
+            p, last, arcs, _ = trail.pop()
+
+    def _cheapest_path(self, marks: str) -> list[tuple[int, int]]:
+        """The path of least cost of a unigram model; states are positions in order."""
         size = len(marks)
-        reached: list[dict | None] = [None] * (size + 1)
-        reached[0] = {-1: (0.0, None, None)}
-        paired = self.kind == BPE
+        cost, back = [0.0] + [np.inf] * size, [None] * (size + 1)
         for p in range(size):
-            states = reached[p]
-            if not states:
-                continue
-            here, q, node, any_piece = reached, p, self.trie, False
-            while q < size and (node := node.get(marks[q])) is not None:
-                q += 1
-                piece = node.get("")
-                if piece is None:
-                    continue
-                any_piece = any_piece or q == p + 1
-                cost = -self.scores[piece]
-                for last, (so_far, _, _) in states.items():
-                    if paired and not self.follows(last, piece):
-                        continue
-                    arrive = here[q]
-                    if arrive is None:
-                        arrive = here[q] = {}
-                    state = piece if paired else 0
-                    if state not in arrive or so_far + cost < arrive[state][0]:
-                        arrive[state] = (so_far + cost, p, (last, (piece,)))
-            if not any_piece:  # no piece for the character alone: byte fallback or unknown
-                code = marks[p].encode("utf-8", "surrogatepass")
-                out = tuple(self.bytes[b] for b in code) if self.bytes else (self.unknown,)
-                last, (so_far, _, _) = min(states.items(), key=lambda x: x[1][0])
-                arrive = reached[p + 1] = reached[p + 1] or {}
-                state = -1 if paired else 0
-                if state not in arrive or so_far + UNKNOWN_COST < arrive[state][0]:
-                    arrive[state] = (so_far + UNKNOWN_COST, p, (last, out))
-        state = min(reached[size], key=lambda s: reached[size][s][0])
+            for q, piece in self._arcs(marks, p):
+                weight = cost[p] + (UNKNOWN_COST if piece < 0 else -self.scores[piece])
+                if weight < cost[q]:
+                    cost[q], back[q] = weight, (p, piece)
+            if back[p + 1] is None:  # pieces begin here but none is the character alone
+                cost[p + 1], back[p + 1] = cost[p] + UNKNOWN_COST, (p, -1)
         path, at = [], size
         while at:
-            _, before, (last, out) = reached[at][state]
-            path.append(out)
-            at, state = before, last if paired else (0 if before else -1)
-        return [i for out in reversed(path) for i in out]
+            path.append(back[at])
+            at = back[at][0]
+        return path[::-1]
 
     def _segments(self, marks: str) -> list[str]:
         """Parts of a normalised string whose paths are independent."""
         if not self.splits_words or self.kind != BPE:
-            return [marks]
-        parts = _SEGMENT_LINES.findall(marks) if self.splits_lines else _SEGMENT.findall(marks)
-        return parts
+            return [marks] if marks else []
+        return _SEGMENT_LINES.findall(marks) if self.splits_lines else _SEGMENT.findall(marks)
+
+    def _ids_of(self, part: str) -> bytes:
+        """The ids of a part. Marks at its end continue the path of what stands before
+        them if the two pieces that meet there may follow one another."""
+        known = self.young.get(part) or self.old.get(part)
+        if known is not None:
+            return known
+        root = part.rstrip(MARKS)
+        if root and root != part and self.kind == BPE and len(part) <= MEMO_CHARS:
+            before, after = self._ids_of(root), self._ids_of(part[len(root):])
+            self.young[root] = before
+            left, right = int.from_bytes(before[-4:], "little"), int.from_bytes(after[:4], "little")
+            if BYTE not in (self.types[left], self.types[right]) and self.follows(left, right):
+                return before + after
+        return np.array(self.shortest_path(part), "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit bytes."""
@@ -182,10 +217,7 @@ class Transducers:
         young, long = self.young, []
         for part in set(parts):
             if part not in young:
-                known = self.old.get(part)
-                if known is None:
-                    known = np.array(self.shortest_path(part), "<u4").tobytes()
-                young[part] = known
+                young[part] = self._ids_of(part)
                 if len(part) > MEMO_CHARS:
                     long.append(part)
         out = b"".join(map(young.__getitem__, parts))
@@ -196,15 +228,7 @@ class Transducers:
     def decode(self, ids: list[int]) -> str:
         """The text of some ids: pieces joined, byte runs decoded, the meta symbol a blank,
         the dummy prefix taken off; control pieces are silent, unknown ones ``⁇``."""
-        parts: list[bytes] = []
-        for i in ids:
-            if self.types[i] == BYTE:
-                parts.append(bytes([int(self.names[i][3:5], 16)]))
-            elif self.types[i] == UNKNOWN:
-                parts.append(" ⁇ ".encode())
-            elif self.types[i] != CONTROL:
-                parts.append(self.names[i].encode("utf-8", "surrogatepass"))
-        text = b"".join(parts).decode("utf-8", "replace").replace(META, " ")
+        text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 

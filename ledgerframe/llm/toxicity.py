@@ -177,14 +177,13 @@ def fit_model(docs: DataFrame, labels: DataFrame, allowed: Column | None = None,
 
 def score(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD,
           id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
-    """``(doc_id, score double, predicted int)`` and the columns ``keep`` of every row.
-
-    A null text is scored as the empty text, by the intercept alone; without a
-    model every score is 0."""
-    names = {c: f"__keep_{k}" for k, c in enumerate(keep)}
+    """``(doc_id, score double, predicted int)`` of every row, and the columns ``keep`` as a
+    struct ``kept``. A null text is scored as the empty text, by the intercept alone;
+    without a model every score is 0."""
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                         text_or_empty(text_col).alias("text"),
-                        *[F.col(c).alias(n) for c, n in names.items()])
+                        *[F.struct(*keep).alias("kept")] * bool(keep))
+    names = [c for c in given.columns if c != "text"] + ["score"]
 
     def rate(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -204,13 +203,19 @@ def score(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD,
                     margin = bias + weight[row].sum() + 0.5 * (total @ total - (v * v).sum())
                     out[k] = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out) if n == "score" else batch.column(n) for n in columns], columns)
+                [pa.array(out) if n == "score" else batch.column(n) for n in names], names)
 
     schema = ", ".join(f"`{c}` {t}" for c, t in given.drop("text").dtypes)
-    columns = [c for c in given.columns if c != "text"] + ["score"]
-    rated = given.mapInArrow(rate, f"{schema}, score double")
-    return rated.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"),
-                        *[F.col(n).alias(c) for c, n in names.items()])
+    return given.mapInArrow(rate, f"{schema}, score double").withColumn(
+        "predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
+         text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that the model does not predict toxic."""
+    model = fit_model(docs, labels, ~held_out(), id_col=id_col, text_col=text_col)
+    return score(docs, model, threshold, id_col, text_col, docs.columns).where(
+        "predicted = 0").select("kept.*")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
