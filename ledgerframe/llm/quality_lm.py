@@ -179,6 +179,19 @@ def _quantiles(bins: DataFrame, quantile: float, by: list[str]) -> DataFrame:
                                              ).groupBy(*by).agg(F.min("bin").alias("bin"))
 
 
+def cost_array(table: DataFrame) -> np.ndarray:
+    """The micro-nats of every n-gram, gathered as one packed row per shard of contexts
+    (always GRAMS numbers of 4 bytes)."""
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        cost = np.rint(-1e6 * np.log(group.sort_values("gram")["p"].to_numpy()))
+        return pd.DataFrame([{"shard": group["shard"].iloc[0], "cost": cost.astype("<i4").tobytes()}])
+
+    shards = table.withColumn("shard", F.shiftright("gram", ALPHABET_BITS * (ORDER - 1)).cast("int")
+                              ).groupBy("shard").applyInPandas(pack, "shard int, cost binary")
+    return np.concatenate([np.frombuffer(r["cost"], "<i4") for r in
+                           sorted(shards.collect(), key=lambda r: r["shard"])])
+
+
 class Quality:
     """A fitted model: micro-nats per 4-gram, the trusted mean, thresholds in nats."""
 
@@ -201,9 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin:
                     "quality-counts")
     if counts.isEmpty():
         return None
-    table = kneser_ney(counts).toPandas()  # GRAMS rows, always
-    model = np.zeros(GRAMS, np.int32)
-    model[table["gram"]] = np.rint(-1e6 * np.log(table["p"]))
+    model = cost_array(kneser_ney(counts))
     known = stored(costs(docs, model, id_col, text_col, lang_col)
                    .join(good, "doc_id", "left_semi"), "quality-costs")
     mean = known.agg(F.sum("cost") / F.sum("symbols")).first()[0]
