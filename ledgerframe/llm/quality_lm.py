@@ -210,8 +210,9 @@ def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin:
     good = stored(trusted_ids(labels, id_col), "quality-trusted")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                         text_or_empty(text_col).alias("text"))
-    counts = stored(count_grams(texts.join(good, "doc_id", "left_semi").select("text")),
-                    "quality-counts")
+    # Ids grow with the corpus: one shuffle of the texts at every size, never a broadcast.
+    trusted = texts.join(good.hint("shuffle_merge"), "doc_id", "left_semi").select("text")
+    counts = stored(count_grams(trusted), "quality-counts")
     if counts.isEmpty():
         return None
     model = cost_array(kneser_ney(counts))
