@@ -60,7 +60,7 @@ def join_planes(planes: list[bytes], count: int, kind: str) -> np.ndarray:
 
 
 def write_file(docs: list[tuple[int | None, bytes]], kind: str = "byte",
-               block_ids: int = BLOCK_IDS, level: int = 3) -> bytes:
+               block_ids: int = BLOCK_IDS, level: int = 1) -> bytes:
     """A whole file for ``(doc_id, ids as u32 bytes)`` in the order given."""
     import zstandard
 

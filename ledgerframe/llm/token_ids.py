@@ -8,6 +8,8 @@ library for the others, many at a time.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -29,6 +31,10 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Marks that can be composed with a letter before them.
+COMBINING = re.compile("[\u0300-\u036f]")
+
+
 class TokenIds:
     """``ids(text)``: the text's ids as little-endian unsigned 32-bit bytes."""
 
@@ -94,8 +100,9 @@ class TokenIds:
         if len(self.young) >= MEMO_CHUNKS:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        unknown = [c for c in set().union(*cut) if c not in young]
+        cut = [_lowered(t).replace("\n", " ").split(" ") for t in texts]
+        got = [list(map(young.get, chunks)) for chunks in cut]
+        unknown = {c for chunks, row in zip(cut, got) for c, ids in zip(chunks, row) if ids is None}
         if unknown:
             roots = {c: self._root(c) for c in unknown if c not in old}
             parts = {part for pair in roots.values() for part in pair}
@@ -105,7 +112,8 @@ class TokenIds:
             known.update(self._learn([c for c in parts if c not in known]))
             known.update((c, known[root] + known[point]) for c, (root, point) in roots.items())
             young.update(known)
-        out = [b"".join(map(young.__getitem__, chunks)) for chunks in cut]
+        out = [b"".join([young[c] if ids is None else ids for c, ids in zip(chunks, row)])
+               for chunks, row in zip(cut, got)]
         for c in unknown:
             if len(c) > MEMO_CHARS:
                 for part in {c, *roots.get(c, ())}:
@@ -117,9 +125,22 @@ class TokenIds:
         """A chunk that is met more often, and the punctuation that follows it:
         ASCII capitals are lowered, marks after letters are a word of their own."""
         root = chunk.rstrip(MARKS)
-        if root == chunk or not root.isalpha():
-            root = chunk
-        return (root.lower() if root.isascii() else root), chunk[len(root):]
+        if not (root.isascii() or unicodedata.normalize("NFC", root).lower().isalpha()) \
+                or not root.isalpha():
+            root = chunk  # its last word could reach into the marks
+        return _lowered(root), chunk[len(root):]
+
+
+def _lowered(text: str) -> str:
+    """The text with ASCII capitals lowered, where that cannot change its ids: the
+    tokenizer lowers case itself, but after composing marks and finding special tokens."""
+    if "<" in text:
+        return text
+    if text.isascii():
+        return text.lower()
+    if COMBINING.search(text):
+        return text
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 @lru_cache(maxsize=2)
