@@ -114,7 +114,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         tail = F.col("gram").bitwiseAND((1 << (bits * order)) - 1)
         orders[order] = stored(orders[order + 1].select(tail.alias("gram")).groupBy("gram")
                                .agg(F.count("*").alias("n")), f"kn-order-{order}")
-    lower = spark.range(1).select(F.lit(0).cast("long").alias("tail"), F.lit(1 / SYMBOLS).alias("p_tail"))
+    lower = None
     for order in range(1, ORDER + 1):
         seen = orders[order]
         d1, d2, d3 = _discounts(seen)
@@ -125,8 +125,9 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         grid = spark.range(0, size, 1, 8).select(
             F.col("id").alias("gram"), F.shiftright("id", bits).alias("context"),
             F.col("id").bitwiseAND((size >> bits) - 1).alias("tail"))
-        joined = (grid.join(seen, "gram", "left").join(contexts, "context", "left")
-                  .join(lower, "tail"))
+        joined = grid.join(seen, "gram", "left").join(contexts, "context", "left")
+        joined = (joined.join(lower, "tail") if lower is not None
+                  else joined.withColumn("p_tail", F.lit(1 / SYMBOLS)))
         kept = F.coalesce(F.greatest(F.col("n") - off, F.lit(0.0)), F.lit(0.0))
         p = F.when(F.col("total").isNull(), F.col("p_tail")).otherwise(
             (kept + F.col("spare") * F.col("p_tail")) / F.col("total"))

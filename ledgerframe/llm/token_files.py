@@ -100,17 +100,14 @@ class TokenFile:
                            count, at["kind"])
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """``(doc_id, place of its first id in the file, ids)`` in file order."""
-        size, start, held, have = self.index["block_ids"], 0, {}, -1
+        """``(doc_id, place of its first id in the file, ids)`` in file order; a file's ids
+        are in memory together."""
+        blocks = -(-self.index["n_ids"] // self.index["block_ids"])
+        ids = np.concatenate([self.block(k) for k in range(blocks)])
+        start = 0
         for doc, length in zip(self.index["docs"], self.index["lengths"]):
-            first, last = start // size, (start + length - 1) // size
-            for k in range(max(have + 1, first), last + 1):
-                held[k], have = self.block(k), k
-            ids = np.concatenate([held[k] for k in range(first, last + 1)])
-            yield doc, start, ids[start - first * size:start - first * size + length]
+            yield doc, start, ids[start:start + length]
             start += length
-            for k in [k for k in held if k < start // size]:
-                del held[k]
 
 
 def token_files(docs: DataFrame, vocabulary: str | None = None, kind: str = "byte",
@@ -169,7 +166,7 @@ def _documents(files: DataFrame, last: str, of_ids) -> DataFrame:
             for shard, file, data in zip(batch["shard"], batch["file"], batch["data"]):
                 rows, size = [], 0
                 for doc, place, ids in TokenFile(data).documents():
-                    rows.append((shard, file, doc, place, *of_ids(ids.astype("<u4").tobytes())))
+                    rows.append((shard, file, doc, place, *of_ids(ids.tobytes())))
                     size += len(ids)
                     if size > 1 << 20:
                         yield frame(rows)
