@@ -186,7 +186,7 @@ def _filtered_sum(metric: str) -> Column:
 
 
 def ratio(fm: DataFrame, co: DataFrame, num_metric: str, den_metric: str, fiscal_year: int,
-          fiscal_period: str = "FY", name: str = "ratio", guard: bool = True) -> DataFrame:
+          fiscal_period: str = "FY", name: str = "ratio", guard: bool = True, rounded: bool = True) -> DataFrame:
     """A1 / A2 / A3: SUM(v) FILTER(num) / NULLIF(SUM(v) FILTER(den), 0) per
     company in one aggregate (one scan, one shuffle). With ``guard`` (A7) a
     company is kept only if the numerator exists and the denominator is > 0."""
@@ -195,9 +195,12 @@ def ratio(fm: DataFrame, co: DataFrame, num_metric: str, den_metric: str, fiscal
                                          _filtered_sum(den_metric).alias("den"))
     if guard:
         agg = agg.where(F.col("num").isNotNull() & (F.col("den") > 0))
-    return _with_company(agg, co, ["ticker"]).select(
-        "ticker", F.round(safe_ratio(F.col("num"), F.col("den")), 6).alias(name),
-        F.round(safe_ratio(F.col("num"), F.col("den")) * 100.0, 4).alias(f"{name}_pct"))
+    exact = _with_company(agg, co, ["ticker"]).select("ticker", safe_ratio(F.col("num"), F.col("den")).alias(name))
+    return exact if not rounded else _rounded_ratio(exact, name)
+
+
+def _rounded_ratio(exact: DataFrame, name: str) -> DataFrame:
+    return exact.select("ticker", F.round(name, 6).alias(name), F.round(F.col(name) * 100.0, 4).alias(f"{name}_pct"))
 
 
 def equity(fm: DataFrame, co: DataFrame, fiscal_year: int, fiscal_period: str = "FY") -> DataFrame:
@@ -235,9 +238,10 @@ def ranked(df: DataFrame, key: str, n: int = 1, highest: bool = True, tie: str =
 
 def top_ratio(fm: DataFrame, co: DataFrame, num_metric: str, den_metric: str, fiscal_year: int,
               fiscal_period: str = "FY", n: int = 1, highest: bool = True, name: str = "ratio") -> DataFrame:
-    """A7 + W3: the guarded ratio ranking (incomplete companies cannot win)."""
-    return ranked(ratio(fm, co, num_metric, den_metric, fiscal_year, fiscal_period, name, guard=True),
-                  name, n, highest)
+    """A7 + W3: the guarded ratio ranking (incomplete companies cannot win), ranked on the
+    exact ratio and rounded afterwards."""
+    exact = ratio(fm, co, num_metric, den_metric, fiscal_year, fiscal_period, name, guard=True, rounded=False)
+    return _rounded_ratio(ranked(exact, name, n, highest), name)
 
 
 def ttm(fm: DataFrame, co: DataFrame, metric: str) -> DataFrame:
@@ -280,7 +284,8 @@ def fastest_growing(fm: DataFrame, co: DataFrame, metric: str, fiscal_year: int,
     """W3 on growth: guarded (positive prior) YoY growth, top-n."""
     g = yoy_growth(fm, co, metric, fiscal_year, fiscal_period)
     g = g.where((F.col("prior_value") > 0) & F.col("current_value").isNotNull())
-    return ranked(g, "yoy_growth_pct", n, True)
+    exact = growth_pct(F.col("current_value"), F.col("prior_value"))
+    return ranked(g.withColumn("_exact", exact), "_exact", n, True).drop("_exact")
 
 
 def latest_fy_rows(fm: DataFrame, co: DataFrame, metric: str) -> DataFrame:

@@ -45,9 +45,10 @@ RATIO_SYNONYMS = {
     "return on assets": ("net_income", "total_assets"), "roa": ("net_income", "total_assets"),
 }
 QUARTER_WORDS = {"first": "Q1", "second": "Q2", "third": "Q3", "fourth": "Q4"}
-MAX_NGRAM = 4
 # --- end of fixed values ----------------------------------------------------
 
+VOCABULARY_WORDS = max(len(p.split()) for p in [*METRIC_SYNONYMS, *RATIO_SYNONYMS])
+
 INTENT_RULES = [  # first match wins
     ("comparison", r"(?i)\bcompare\b"),
     ("superlative", r"(?i)\b(highest|largest|biggest|most|lowest|smallest|least)\b"),
@@ -58,11 +59,15 @@ INTENT_RULES = [  # first match wins
 ]
 
 
-def _ngrams(questions: DataFrame) -> DataFrame:
-    """(item_id, pos, n, gram): word n-grams of the lower-cased question."""
+def _tokens(questions: DataFrame) -> DataFrame:
+    """(item_id, toks): words of the lower-cased question without outer punctuation."""
     text = F.regexp_replace(F.lower(F.col("question")), r"'s\b", "")
     toks = F.transform(F.split(text, r"\s+"), lambda t: F.regexp_replace(t, r"^[\"(]+|[.,;:!?\")]+$", ""))
-    t = questions.select("item_id", toks.alias("toks"))
+    return questions.select("item_id", toks.alias("toks"))
+
+
+def _ngrams(tokens: DataFrame) -> DataFrame:
+    """(item_id, pos, n, gram): word n-grams, as long as the fixed vocabulary's phrases."""
     def grams_of(n: int) -> F.Column:
         # positions 0 .. size - n (none when the question is shorter than n words)
         idx = F.filter(F.sequence(F.lit(0), F.greatest(F.size("toks") - n, F.lit(0))),
@@ -70,8 +75,19 @@ def _ngrams(questions: DataFrame) -> DataFrame:
         return F.transform(idx, lambda i: F.struct(
             i.alias("pos"), F.lit(n).alias("n"), F.array_join(F.slice(F.col("toks"), i + 1, n), " ").alias("gram")))
 
-    grams = [grams_of(n) for n in range(1, MAX_NGRAM + 1)]
-    return t.select("item_id", F.explode(F.flatten(F.array(*grams))).alias("g")).select("item_id", "g.*")
+    grams = [grams_of(n) for n in range(1, VOCABULARY_WORDS + 1)]
+    return tokens.select("item_id", F.explode(F.flatten(F.array(*grams))).alias("g")).select("item_id", "g.*")
+
+
+def _alias_hits(tokens: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Where an alias of any length stands in a question: a join on its first word, then
+    the words that follow are compared. ``aliases`` has ``alias`` and more columns."""
+    named = aliases.where(F.col("alias") != "").withColumn("words", F.split("alias", r"\s+")).withColumn(
+        "word", F.col("words")[0])
+    places = tokens.select("item_id", "toks", F.posexplode("toks").alias("pos", "word"))
+    n = F.size("words")
+    return places.join(named, "word").where(
+        F.slice("toks", F.col("pos") + 1, n) == F.col("words")).withColumn("n", n).drop("toks", "words", "word")
 
 
 def _vocab(spark, mapping: dict, value_cols: list[str]) -> DataFrame:
@@ -80,8 +96,8 @@ def _vocab(spark, mapping: dict, value_cols: list[str]) -> DataFrame:
 
 
 def link_entities(questions: DataFrame, companies: DataFrame) -> DataFrame:
-    """Per question - up to two companies (by name or ticker, earliest
-    first; a longer alias beats a shorter one at the same place), the metric
+    """Per question - its companies (by name or ticker, earliest
+    first, as ``company_ids``, the first two also by themselves; a longer alias beats a shorter one at the same place), the metric
     or ratio (longest phrase wins), the fiscal years named ('fiscal NNNN'),
     the period ('Qn' / 'third quarter', default FY), a sector (an industry
     label followed by 'companies') and the intent.
@@ -90,13 +106,15 @@ def link_entities(questions: DataFrame, companies: DataFrame) -> DataFrame:
     tables, so it scales with the batch and the company list; the vocabulary
     tables are fixed and small (broadcast)."""
     spark = questions.sparkSession
-    grams = _ngrams(questions)
-    aliases = (companies.select("company_id", F.lower("name").alias("gram"))
-               .union(companies.select("company_id", F.lower("ticker").alias("gram"))).distinct())
-    hits = grams.join(aliases, "gram")
+    tokens = _tokens(questions)
+    grams = _ngrams(tokens)
+    aliases = (companies.select("company_id", F.lower("name").alias("alias"))
+               .union(companies.select("company_id", F.lower("ticker").alias("alias"))).distinct())
+    hits = _alias_hits(tokens, aliases)
     comp = hits.groupBy("item_id", "company_id").agg(F.min(F.struct("pos", (-F.col("n")).alias("neg_n"))).alias("at"))
     comps = comp.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("at", "company_id"))).alias("cs")).select(
-        "item_id", F.try_element_at("cs", F.lit(1))["company_id"].alias("company_id"),
+        "item_id", F.transform("cs", lambda c: c["company_id"]).alias("company_ids"),
+        F.try_element_at("cs", F.lit(1))["company_id"].alias("company_id"),
         F.try_element_at("cs", F.lit(2))["company_id"].alias("company2_id"))
     metric_v = F.broadcast(_vocab(spark, METRIC_SYNONYMS, ["metric"]))
     ratio_v = F.broadcast(_vocab(spark, RATIO_SYNONYMS, ["num_metric", "den_metric"]))
@@ -107,9 +125,9 @@ def link_entities(questions: DataFrame, companies: DataFrame) -> DataFrame:
                                                               F.col("den_metric").alias("den"))))
     best_metric = mhits.groupBy("item_id").agg(F.min_by(F.struct("metric", "num", "den"),
                                                         F.struct((-F.col("n")).alias("neg_n"), "pos")).alias("m"))
-    sectors = companies.select(F.lower("sic_description").alias("gram")).where(F.col("gram").isNotNull()).distinct()
-    sector = (grams.join(sectors, "gram").groupBy("item_id")
-              .agg(F.min_by("gram", F.struct((-F.col("n")).alias("neg_n"), "pos")).alias("sector")))
+    sectors = companies.select(F.lower("sic_description").alias("alias")).where(F.col("alias").isNotNull()).distinct()
+    sector = (_alias_hits(tokens, sectors).groupBy("item_id")
+              .agg(F.min_by("alias", F.struct((-F.col("n")).alias("neg_n"), "pos")).alias("sector")))
     q = F.col("question")
     years = F.transform(F.regexp_extract_all(q, F.lit(r"(?i)\bfiscal (\d{4})\b"), 1), lambda y: y.cast("int"))
     qword = F.lower(F.regexp_extract(q, r"(?i)\b(first|second|third|fourth) quarter\b", 1))
@@ -127,8 +145,12 @@ def link_entities(questions: DataFrame, companies: DataFrame) -> DataFrame:
         period.alias("fiscal_period"))
     j = (base.join(comps, "item_id", "left").join(best_metric, "item_id", "left").join(sector, "item_id", "left"))
     is_ratio = F.col("m.num").isNotNull()
-    intent_final = F.when((F.col("intent0") == "lookup") & is_ratio, F.lit("ratio")).otherwise(F.col("intent0"))
+    several = F.coalesce(F.size("company_ids"), F.lit(0)) > 1
+    intent_final = (F.when((F.col("intent0") == "lookup") & is_ratio, F.lit("ratio"))
+                    .when((F.col("intent0") == "lookup") & several, F.lit("comparison"))
+                    .otherwise(F.col("intent0")))
     return j.select("item_id", "question", intent_final.alias("intent"), "direction", "company_id", "company2_id",
+                    "company_ids",
                     F.col("m.metric").alias("metric"), F.col("m.num").alias("num_metric"),
                     F.col("m.den").alias("den_metric"), "sector", "year_from", "fiscal_year", "fiscal_period")
 
@@ -269,7 +291,9 @@ def answer_batch(linked: DataFrame, fm: DataFrame, companies: DataFrame) -> Data
     # growth and difference: equi-join on the shifted year (a gap year gives no row)
     for name in ("growth", "difference"):
         g = by_intent(name)
-        prev_year = F.col("fiscal_year") - 1 if name == "growth" else F.col("year_from")
+        # A growth question that names one year compares with the year before it.
+        prev_year = F.when(F.col("year_from") < F.col("fiscal_year"), F.col("year_from")).otherwise(
+            F.col("fiscal_year") - 1) if name == "growth" else F.col("year_from")
         g = g.select("item_id", "company_id", "metric", "fiscal_year", "fiscal_period", prev_year.alias("prev_year"))
         cur = g.join(facts, ["company_id", "metric", "fiscal_year", "fiscal_period"]).withColumnRenamed("v", "cur")
         prev = facts.select("company_id", "metric", F.col("fiscal_year").alias("prev_year"), "fiscal_period",
@@ -279,9 +303,9 @@ def answer_batch(linked: DataFrame, fm: DataFrame, companies: DataFrame) -> Data
         out.append(gj.join(co, "company_id").select("item_id", F.col("ticker").alias("label"), val.alias("value")))
     # comparison: one row per named company
     cm = by_intent("comparison")
-    both = (cm.select("item_id", "company_id", "metric", "fiscal_year", "fiscal_period")
-            .unionByName(cm.select("item_id", F.col("company2_id").alias("company_id"), "metric", "fiscal_year",
-                                   "fiscal_period")).where(F.col("company_id").isNotNull()))
+    named = (F.col("company_ids") if "company_ids" in cm.columns
+             else F.array_compact(F.array("company_id", "company2_id")))
+    both = cm.select("item_id", F.explode(named).alias("company_id"), "metric", "fiscal_year", "fiscal_period")
     out.append(both.join(facts, ["company_id", "metric", "fiscal_year", "fiscal_period"]).join(co, "company_id")
                .select("item_id", F.col("ticker").alias("label"), F.col("v").alias("value")))
     # superlatives: on a stored value, or on a ratio with the ranking guard
@@ -298,7 +322,7 @@ def answer_batch(linked: DataFrame, fm: DataFrame, companies: DataFrame) -> Data
                F.sum(F.when(F.col("metric") == F.col("den_metric"), F.col("v"))).alias("den"))
            .where(F.col("num").isNotNull() & (F.col("den") > 0)))
     sr = sr0.join(co, "company_id").select("item_id", "direction", "ticker",
-                                           F.round(safe_ratio(F.col("num"), F.col("den")), 6).alias("key"),
+                                           safe_ratio(F.col("num"), F.col("den")).alias("key"),
                                            safe_ratio(F.col("num"), F.col("den")).alias("value"))
     from pyspark.sql import Window
     cand = sv.unionByName(sr)

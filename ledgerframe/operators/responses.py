@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------
 REFUSAL_MARKER = "CANNOT_ANSWER:"
-REFUSAL_RE = r"(?md)^\s*CANNOT_ANSWER:\s*(.+)$"
-SQL_FENCE_RE = r"(?is)```sql\s*(.+?)```"
-ANY_FENCE_RE = r"(?s)```\s*(.+?)```"
+REFUSAL_RE = r"(?mdU)^\s*CANNOT_ANSWER:\s*(.+)$"
+SQL_FENCE_RE = r"(?isU)```sql\s*(.+?)```"
+ANY_FENCE_RE = r"(?sU)```\s*(.+?)```"
 LANG_TAG_RE = r"[A-Za-z][\p{L}\p{N}_+-]*"
 BARE_RE = r"(?isU)\b((?:select|with)\b.*)"
 # --- end of fixed values ----------------------------------------------------
@@ -25,7 +25,7 @@ BARE_RE = r"(?isU)\b((?:select|with)\b.*)"
 
 def strip_ws(c: Column) -> Column:
     """Python-style strip(): remove leading and trailing whitespace (not only spaces)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def _found(text: Column, pattern: str) -> Column:

@@ -23,9 +23,8 @@ from pyspark.sql import types as T
 
 from ledgerframe import domain
 
-# Upper bound on the broadcast query matrix (bytes, float64); larger query
-# sets are processed in slices of at most this size.
-MAX_QUERY_BROADCAST_BYTES = 64 * 1024 * 1024
+# Rows of a block of queries and of documents: one pair of blocks is one group.
+QUERY_BLOCK_ROWS, DOC_BLOCK_ROWS = 1024, 8192
 
 TOPK_SCHEMA = T.StructType([
     T.StructField("query_id", T.LongType()),
@@ -33,6 +32,10 @@ TOPK_SCHEMA = T.StructType([
     T.StructField("similarity", T.DoubleType()),
 ])
 
+RANKED_SCHEMA = T.StructType([*TOPK_SCHEMA.fields, T.StructField("rank", T.IntegerType())])
+# Documents scored at a time: bounds the score block to queries x this many rows.
+SCORE_ROWS = 512
+
 
 # ------------------------------------------------------------------ R1
 def _hashing_encoder(df: DataFrame, text_col: str, dim: int) -> DataFrame:
@@ -74,66 +77,62 @@ def embed_documents(df: DataFrame, text_col: str = "text", dim: int = 64,
 
 
 # ------------------------------------------------------------------ R2
-def _local_topk(bq, k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, qmat, qnorm = bq.value
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            docs = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["vec"]])
-            dnorm = np.sqrt((docs * docs).sum(axis=1))
-            keep = dnorm > 0
-            if not keep.any():
-                continue
-            docs, dnorm = docs[keep], dnorm[keep]
-            dids = pdf["doc_id"].to_numpy()[keep]
-            sim = (qmat @ docs.T) / (qnorm[:, None] * dnorm[None, :])
-            kk = min(k, sim.shape[1])
-            # order: similarity desc, doc id asc; take k per query row
-            order = np.lexsort((np.broadcast_to(dids, sim.shape), -sim), axis=1)[:, :kk]
-            rows = np.repeat(np.arange(sim.shape[0]), kk)
-            cols = order.reshape(-1)
-            yield pd.DataFrame({"query_id": qids[rows].astype("int64"),
-                                "doc_id": dids[cols].astype("int64"),
-                                "similarity": sim[rows, cols]})
+def _local_topk(k: int):
+    """One block of queries against one block of documents: k rows per query leave."""
+    def run(queries: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
+        names = ["query_id", "doc_id", "similarity"]
+        if not len(queries) or not len(docs):
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "doc_id": pd.Series(dtype="int64"),
+                                 "similarity": pd.Series(dtype="float64")})
+        q = np.array(queries["vec"].tolist(), np.float64)
+        q /= np.linalg.norm(q, axis=1)[:, None]
+        docs = docs.sort_values("doc_id")
+        dids, qids = docs["doc_id"].to_numpy(), queries["query_id"].to_numpy()
+        best_sim, best_id = np.empty((len(q), 0)), np.empty((len(q), 0), np.int64)
+        for at in range(0, len(docs), SCORE_ROWS):
+            d = np.array(docs["vec"].iloc[at:at + SCORE_ROWS].tolist(), np.float64)
+            sim = q @ (d / np.linalg.norm(d, axis=1)[:, None]).T
+            sim = np.hstack([best_sim, sim])
+            ids = np.hstack([best_id, np.broadcast_to(dids[at:at + SCORE_ROWS], (len(q), len(d)))])
+            top = np.argsort(-sim, axis=1, kind="stable")[:, :k]  # ids rise, so ties keep the smaller
+            best_sim, best_id = np.take_along_axis(sim, top, 1), np.take_along_axis(ids, top, 1)
+        width = best_id.shape[1]
+        return pd.DataFrame(dict(zip(names, (np.repeat(qids, width), best_id.ravel(), best_sim.ravel()))))
     return run
 
 
 def topk_cosine(queries: DataFrame, docs: DataFrame, k: int = domain.RETRIEVAL_TOP_K,
                 query_id: str = "query_id", doc_id: str = "doc_id", vec: str = "embedding",
-                max_broadcast_bytes: int = MAX_QUERY_BROADCAST_BYTES) -> DataFrame:
+                query_rows: int = QUERY_BLOCK_ROWS, doc_rows: int = DOC_BLOCK_ROWS) -> DataFrame:
     """R2: exact top-k by cosine similarity (= 1 - cosine distance) per query:
-    (query_id, doc_id, similarity, rank), similarity descending, doc id
-    ascending on ties. Zero-norm vectors have no similarity and are excluded."""
-    spark = docs.sparkSession
-    q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vec).alias("vec"))
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(vec).alias("vec"))
-    dim_row = q.select(F.size("vec").alias("n")).agg(F.max("n"), F.count("*")).first()
-    dim, n_queries = int(dim_row[0] or 0), int(dim_row[1])
-    if n_queries == 0:
-        return spark.createDataFrame([], TOPK_SCHEMA.add("rank", T.IntegerType()))
-    per_query = max(dim, 1) * 8
-    slices = max(1, -(-n_queries * per_query // max_broadcast_bytes))
-    parts = []
-    for s in range(slices):
-        part = q if slices == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == s)
-        # Bounded by the check above: at most max_broadcast_bytes of query vectors.
-        pdf = part.toPandas()
-        if pdf.empty:
-            continue
-        qmat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["vec"]])
-        qnorm = np.sqrt((qmat * qmat).sum(axis=1))
-        ok = qnorm > 0
-        qids, qmat, qnorm = pdf["query_id"].to_numpy()[ok], qmat[ok], qnorm[ok]
-        if len(qids) == 0:
-            continue
-        bq = spark.sparkContext.broadcast((qids, qmat, qnorm))
-        parts.append(d.mapInPandas(_local_topk(bq, k), TOPK_SCHEMA))
-    if not parts:
-        return spark.createDataFrame([], TOPK_SCHEMA.add("rank", T.IntegerType()))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+    (query_id, doc_id, similarity, rank), similarity descending, doc id ascending on
+    ties. NULL, empty and zero vectors and vectors with NULL or non-finite components
+    have no similarity and are excluded; vectors of different lengths never meet.
+
+    Queries and documents are dealt into blocks of bounded size by hash; each pair of
+    blocks meets in one task and returns k rows per query. Only block counts per vector
+    length reach the plan, as a join; nothing passes through the driver."""
+    def usable(df: DataFrame, key: str, name: str) -> DataFrame:
+        v = F.col(vec).cast("array<double>")
+        return df.select(F.col(key).cast("long").alias(name), v.alias("vec")).where(
+            "vec is not null and exists(vec, x -> x <> 0) and "
+            "forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
+        ).withColumn("dim", F.size("vec"))
+
+    def blocks(df: DataFrame, rows: int, name: str) -> DataFrame:
+        return df.groupBy("dim").agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
+
+    q, d = usable(queries, query_id, "query_id"), usable(docs, doc_id, "doc_id")
+    sizes = blocks(q, query_rows, "q_blocks").join(blocks(d, doc_rows, "d_blocks"), "dim")
+
+    def dealt(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64(key), F.col(own).cast("long")).cast("int").alias(own[0])
+        return df.join(sizes, "dim").select(
+            "dim", key, "vec", mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other[0]))
+
+    keys = ["dim", "q", "d"]
+    cand = dealt(q, "query_id", "q_blocks", "d_blocks").groupBy(*keys).cogroup(
+        dealt(d, "doc_id", "d_blocks", "q_blocks").groupBy(*keys)).applyInPandas(_local_topk(k), TOPK_SCHEMA)
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("doc_id").asc())
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

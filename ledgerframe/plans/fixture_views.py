@@ -95,23 +95,26 @@ MAX_ATTEMPTS = 3
 
 
 def attempt_log_v(t: Tables) -> DataFrame:
-    """Attempt log over events: request = (user_id, day); attempt_number = rank
-    by (ts, event_id) within the request, attempts above 3 dropped; outcome
-    from event_type; duration_ms = value x 100; split by user_id % 2.
+    """Attempt log over events: the events of a user and day by (ts, event_id) are
+    attempts, and a new request opens after every third (request = user, day, block;
+    attempt_number = place in the block), so every event is an attempt; outcome from
+    event_type; duration_ms = value x 100; split by user_id % 2.
 
-    ``row_number() <= 3`` lets Spark cut every request to 3 rows in each map
-    task before the shuffle (partial WindowGroupLimit), so a very busy user
-    does not move all of its events."""
+    Numbering needs the events of one user and day in order: the window sorts (and
+    spills) them, it does not hold them; its size is one user's events of one day."""
     from pyspark.sql import Window
 
     from ledgerframe.functions.columns import lookup
     e = t.events.select("event_id", "ts", "user_id", "event_type", "value", "props")
-    day = F.to_date("ts")
-    w = Window.partitionBy("user_id", day).orderBy("ts", "event_id")
-    ranked = e.withColumn("attempt_number", F.row_number().over(w)).where(F.col("attempt_number") <= MAX_ATTEMPTS)
+    w = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id")
+    place = F.row_number().over(w) - 1
+    ranked = e.withColumn("place", place).withColumn(
+        "block", F.floor(F.col("place") / MAX_ATTEMPTS)).withColumn(
+        "attempt_number", (F.col("place") % MAX_ATTEMPTS + 1).cast("int"))
     outcome = lookup(EVENT_OUTCOME, F.col("event_type"))
     return ranked.select(
-        F.format_string("%d-%s", F.col("user_id"), F.date_format("ts", "yyyy-MM-dd")).alias("request_id"),
+        F.format_string("%d-%s-%d", F.col("user_id"), F.date_format("ts", "yyyy-MM-dd"),
+                        F.col("block")).alias("request_id"),
         "user_id", "event_id", "ts", "attempt_number", outcome.alias("outcome"),
         F.when(outcome != "success", F.col("props")).alias("error_message"),
         F.round(F.col("value") * 100).cast("long").alias("duration_ms"),
@@ -129,4 +132,5 @@ def metrics_table(spark: SparkSession, sf_dir: str, fy_min: int = FIXTURE_FY_MIN
     inputs = [table_path(sf_dir, n) for n in ("lineitem", "orders", "part")]
     return materialized(spark, f"financial_metrics_{fy_min}_{fy_max}",
                         lambda: financial_metrics_v(t, fy_min, fy_max), inputs,
-                        partition_by=["metric"], sort_by=["fiscal_year", "fiscal_period", "company_id"])
+                        partition_by=["metric"], sort_by=["fiscal_year", "fiscal_period", "company_id"],
+                        spread_by=["fiscal_year", "company_id"])

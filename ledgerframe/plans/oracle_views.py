@@ -72,16 +72,16 @@ VIEW_CTES = {
          CASE WHEN metric = 'eps_diluted' THEN 'USD/share' ELSE 'USD' END, start_date, end_date, accn
   FROM q4_facts""",
     "attempt_log_v": """
-  SELECT printf('%d-%s', user_id, strftime(ts, '%Y-%m-%d')) AS request_id, user_id, event_id, ts, attempt_number,
+  SELECT printf('%d-%s-%d', user_id, strftime(ts, '%Y-%m-%d'), place // 3) AS request_id, user_id, event_id, ts,
+         CAST(place % 3 + 1 AS INTEGER) AS attempt_number,
          outcome, CASE WHEN outcome <> 'success' THEN props END AS error_message,
          CAST(round(value * 100) AS BIGINT) AS duration_ms,
          CASE WHEN user_id % 2 = 0 THEN 'dev' ELSE 'holdout' END AS split
-  FROM (SELECT *, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS attempt_number,
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) - 1 AS place,
                CASE event_type WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'execution_error'
                  WHEN 'view' THEN 'empty_result' WHEN 'click' THEN 'guard_rejected'
                  WHEN 'signup' THEN 'unanswerable' END AS outcome
-        FROM events) e
-  WHERE attempt_number <= 3""",
+        FROM events) e""",
 }
 
 

@@ -51,6 +51,13 @@ def _v(spark: SparkSession, sf_dir: str):
     return t, fv.companies_v(t), fv.metrics_table(spark, sf_dir)
 
 
+def _tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """The tables alone, for queries that do not read the metrics table."""
+    from ledgerframe.session import prepare
+    prepare(spark)
+    return Tables(spark, sf_dir)
+
+
 def _merged(t: Tables) -> DataFrame:
     usable = periods.usable_facts(fv.raw_facts(t), FY_LO, FY_HI)
     return periods.merge_tags(periods.select_periods(usable), fv.FIXTURE_METRIC_TAGS)
@@ -63,25 +70,25 @@ def _filings(t: Tables) -> DataFrame:
 # ============================================================ ETL (E, S)
 @register("E1_E2_E6_usable_facts", with_views("SELECT * EXCLUDE (prio) FROM usable_facts"))
 def q_usable(spark, sf_dir):
-    t, _, _ = _v(spark, sf_dir)
+    t = _tables(spark, sf_dir)
     return periods.usable_facts(fv.raw_facts(t), FY_LO, FY_HI)
 
 
 @register("E7_select_periods", with_views("SELECT * EXCLUDE (prio) FROM selected_facts"))
 def q_select(spark, sf_dir):
-    t, _, _ = _v(spark, sf_dir)
+    t = _tables(spark, sf_dir)
     return periods.select_periods(periods.usable_facts(fv.raw_facts(t), FY_LO, FY_HI))
 
 
 @register("E8_merge_tags", with_views("SELECT * EXCLUDE (prio) FROM merged_facts"))
 def q_merge(spark, sf_dir):
-    t, _, _ = _v(spark, sf_dir)
+    t = _tables(spark, sf_dir)
     return _merged(t)
 
 
 @register("E10_derive_q4", with_views("SELECT * FROM q4_facts"))
 def q_q4(spark, sf_dir):
-    t, _, _ = _v(spark, sf_dir)
+    t = _tables(spark, sf_dir)
     return periods.derive_q4(_merged(t))
 
 
@@ -95,13 +102,13 @@ LEFT JOIN merged_facts q2 ON q2.company_id = f.company_id AND q2.metric = f.metr
 LEFT JOIN merged_facts q3 ON q3.company_id = f.company_id AND q3.metric = f.metric AND q3.fy = f.fy AND q3.fp = 'Q3'
 WHERE f.fp = 'FY' AND f.metric IN {FLOWS} AND (q1.fy IS NULL OR q2.fy IS NULL OR q3.fy IS NULL)"""))
 def q_missing(spark, sf_dir):
-    t, _, _ = _v(spark, sf_dir)
+    t = _tables(spark, sf_dir)
     return periods.missing_quarters(_merged(t))
 
 
 @register("E12_financial_metrics", with_views("SELECT * FROM financial_metrics_v"))
 def q_fm(spark, sf_dir):
-    t, _, _ = _v(spark, sf_dir)
+    t = _tables(spark, sf_dir)
     return fv.financial_metrics_v(t)
 
 
@@ -140,7 +147,7 @@ SELECT accn, company_id, form, filed, fy AS fiscal_year, fp AS fiscal_period FRO
                   WHEN 'total_liabilities' THEN 3 ELSE 4 END, fy, fp, company_id) AS rn
   FROM merged_facts) x WHERE rn = 1"""))
 def q_filings(spark, sf_dir):
-    t, _, _ = _v(spark, sf_dir)
+    t = _tables(spark, sf_dir)
     return _filings(t)
 
 
@@ -183,7 +190,7 @@ SELECT rank, cik, ticker, title FROM (
          s_name AS title, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS rn
   FROM supplier) x WHERE rn = 1 ORDER BY rank LIMIT 20""")
 def q_topn(spark, sf_dir):
-    t, _, _ = _v(spark, sf_dir)
+    t = _tables(spark, sf_dir)
     return universe.top_n_universe(ticker_map_v(t), 20)
 
 
@@ -198,7 +205,7 @@ m AS (SELECT upper(s_name) AS ticker, lpad(CAST(s_nationkey AS VARCHAR), 10, '0'
 SELECT req.ticker, m.ticker IS NOT NULL AS found, m.cik, m.title
 FROM req LEFT JOIN m ON m.ticker = req.ticker AND m.rn = 1""")
 def q_resolve(spark, sf_dir):
-    t, _, _ = _v(spark, sf_dir)
+    t = _tables(spark, sf_dir)
     return universe.resolve_universe(universe.requested_tickers(spark, E5_REQUEST), ticker_map_v(t))
 
 
@@ -329,7 +336,7 @@ def q_q1q(spark, sf_dir):
 @register("Q2_name_ilike", with_views("""
 SELECT company_id, ticker, name, sic_description FROM companies_v WHERE name ILIKE '%plier#00000000%'"""))
 def q_q2(spark, sf_dir):
-    _, co, _ = _v(spark, sf_dir)
+    co = fv.companies_v(_tables(spark, sf_dir))
     return metrics.companies_like(co, "%plier#00000000%")
 
 
@@ -469,7 +476,7 @@ def q_j4(spark, sf_dir):
 SELECT company_id, ticker, sic_description FROM companies_v
 WHERE sic_description ILIKE '%nation_1%' OR sic_description ILIKE '%nation_2%'"""))
 def q_j5(spark, sf_dir):
-    _, co, _ = _v(spark, sf_dir)
+    co = fv.companies_v(_tables(spark, sf_dir))
     return metrics.sector_members(co, SECTORS)
 
 
@@ -540,7 +547,7 @@ def q_a6(spark, sf_dir):
 
 
 @register("A7_guarded_top_margin", _ratio_sql("net_income", "revenue", "net_margin", guard=True,
-                                               order="ORDER BY net_margin DESC NULLS LAST, c.ticker LIMIT 1"))
+                                               order="ORDER BY CAST(num AS DOUBLE) / NULLIF(CAST(den AS DOUBLE), 0) DESC NULLS LAST, c.ticker LIMIT 1"))
 def q_a7(spark, sf_dir):
     _, co, fm = _v(spark, sf_dir)
     return metrics.top_ratio(fm, co, "net_income", "revenue", YEAR, "FY", n=1, name="net_margin")
@@ -573,7 +580,8 @@ SELECT (SELECT count(*) FROM companies_v) AS n_companies,
        min(fiscal_year) AS year_min, max(fiscal_year) AS year_max, count(*) AS n_rows
 FROM financial_metrics_v"""))
 def q_a9(spark, sf_dir):
-    t, co, _ = _v(spark, sf_dir)
+    t = _tables(spark, sf_dir)
+    co = fv.companies_v(t)
     return coverage.coverage_stats(_wide_fm(t), co)
 
 
@@ -582,7 +590,7 @@ SELECT count(DISTINCT company_id) AS n_with_fy_latest FROM financial_metrics_v
 WHERE fiscal_period = 'FY' AND metric = 'revenue'
   AND fiscal_year = (SELECT max(fiscal_year) FROM financial_metrics_v)"""))
 def q_a10(spark, sf_dir):
-    t, _, _ = _v(spark, sf_dir)
+    t = _tables(spark, sf_dir)
     return coverage.companies_with_latest_fy(_wide_fm(t), metric="revenue")
 
 
@@ -595,7 +603,7 @@ SELECT (SELECT max(n) FROM per_year) AS peak_fy_companies,
     per_year="""SELECT fiscal_year, count(DISTINCT company_id) AS n FROM financial_metrics_v
                 WHERE fiscal_period = 'FY' AND metric = 'revenue' GROUP BY fiscal_year"""))
 def q_a11(spark, sf_dir):
-    t, _, _ = _v(spark, sf_dir)
+    t = _tables(spark, sf_dir)
     return coverage.broad_coverage(_wide_fm(t), threshold=0.8, metric="revenue")
 
 
@@ -623,7 +631,8 @@ FROM (SELECT (SELECT count(*) FROM companies_v) AS n_companies,
     per_year="""SELECT fiscal_year, count(DISTINCT company_id) AS n FROM financial_metrics_v
                 WHERE fiscal_period = 'FY' AND metric = 'revenue' GROUP BY fiscal_year"""))
 def q_a12(spark, sf_dir):
-    t, co, _ = _v(spark, sf_dir)
+    t = _tables(spark, sf_dir)
+    co = fv.companies_v(t)
     return coverage.coverage_document(_wide_fm(t), co, threshold=0.8, metric="revenue")
 
 
@@ -663,14 +672,14 @@ SELECT c.ticker, cur.value AS current_value, prev.value AS prior_value,
        ROUND({GROWTH_SQL}, 6) AS yoy_growth_pct
 {GROWTH_JOIN.format(back=1)}
 WHERE {_pin_sql('revenue', alias='cur')} AND prev.value > 0
-ORDER BY yoy_growth_pct DESC NULLS LAST, c.ticker LIMIT 3"""))
+ORDER BY {GROWTH_SQL} DESC NULLS LAST, c.ticker LIMIT 3"""))
 def q_w3(spark, sf_dir):
     _, co, fm = _v(spark, sf_dir)
     return metrics.fastest_growing(fm, co, "revenue", YEAR, n=3)
 
 
 @register("W3_most_leveraged", _ratio_sql("total_liabilities", "total_assets", "debt_ratio", guard=True,
-                                           order="ORDER BY debt_ratio DESC NULLS LAST, c.ticker LIMIT 1"))
+                                           order="ORDER BY CAST(num AS DOUBLE) / NULLIF(CAST(den AS DOUBLE), 0) DESC NULLS LAST, c.ticker LIMIT 1"))
 def q_w3b(spark, sf_dir):
     _, co, fm = _v(spark, sf_dir)
     return metrics.top_ratio(fm, co, "total_liabilities", "total_assets", YEAR, "FY", n=1, name="debt_ratio")

@@ -14,7 +14,7 @@ from ledgerframe.plans.registry import register
 from ledgerframe.session import prepare
 from ledgerframe.sources.tables import Tables
 
-N_QUERY_VECTORS = 20  # FIXTURES.md §3: vec_id < 20 are queries, the rest documents
+QUERY_SHARE = 25  # FIXTURES.md §3: vec_id % 25 = 0 are queries, the rest documents
 K = 8
 
 
@@ -25,8 +25,8 @@ def _t(spark, sf_dir) -> Tables:
 
 def _split_vectors(t: Tables) -> tuple[DataFrame, DataFrame]:
     e = t.embeddings.select("vec_id", "embedding", "label")
-    q = e.where(F.col("vec_id") < N_QUERY_VECTORS).select(F.col("vec_id").alias("query_id"), "embedding")
-    d = e.where(F.col("vec_id") >= N_QUERY_VECTORS).select(F.col("vec_id").alias("doc_id"), "embedding", "label")
+    q = e.where(F.col("vec_id") % QUERY_SHARE == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    d = e.where(F.col("vec_id") % QUERY_SHARE != 0).select(F.col("vec_id").alias("doc_id"), "embedding", "label")
     return q, d
 
 
@@ -35,7 +35,7 @@ SELECT query_id, doc_id, ROUND(sim, 6) AS similarity, rank FROM (
   SELECT query_id, doc_id, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS rank
   FROM (SELECT q.vec_id AS query_id, d.vec_id AS doc_id,
                list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])) AS sim
-        FROM embeddings q, embeddings d WHERE q.vec_id < {N_QUERY_VECTORS} AND d.vec_id >= {N_QUERY_VECTORS}) p
+        FROM embeddings q, embeddings d WHERE q.vec_id % {QUERY_SHARE} = 0 AND d.vec_id % {QUERY_SHARE} <> 0) p
   WHERE sim IS NOT NULL AND NOT isnan(sim)) r
 WHERE rank <= {K}"""
 
@@ -47,21 +47,23 @@ def q_r2(spark, sf_dir):
     return top.select("query_id", "doc_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
-def _doc_texts(d: DataFrame) -> DataFrame:
-    return d.select("doc_id", F.format_string("label_%d", F.col("label")).alias("doc_type"),
-                    F.format_string("vector %d", F.col("doc_id")).alias("title"),
-                    F.format_string("document %d with label %d", F.col("doc_id"), F.col("label")).alias("content"))
+def _doc_texts(t: Tables) -> DataFrame:
+    """The texts behind the vectors: document ``doc_id`` of the table ``documents``."""
+    return t.documents.select("doc_id", F.col("source").alias("doc_type"),
+                              F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("title"),
+                              F.col("text").alias("content"))
 
 
 @register("R4_context_pack", f"""
 WITH top AS ({TOPK_SQL})
 SELECT top.query_id,
-       string_agg(printf('[label_%d] vector %d' || chr(10) || 'document %d with label %d',
-                         e.label, e.vec_id, e.vec_id, e.label), chr(10) || chr(10) ORDER BY top.rank) AS context
-FROM top JOIN embeddings e ON e.vec_id = top.doc_id GROUP BY top.query_id""")
+       string_agg('[' || d.source || '] document ' || d.doc_id || chr(10) || d.text,
+                  chr(10) || chr(10) ORDER BY top.rank) AS context
+FROM top JOIN documents d ON d.doc_id = top.doc_id GROUP BY top.query_id""")
 def q_r4(spark, sf_dir):
-    q, d = _split_vectors(_t(spark, sf_dir))
-    return retrieval.context_pack(retrieval.topk_cosine(q, d, K), _doc_texts(d))
+    t = _t(spark, sf_dir)
+    q, d = _split_vectors(t)
+    return retrieval.context_pack(retrieval.topk_cosine(q, d, K), _doc_texts(t))
 
 
 @register("R3_topk_approx")

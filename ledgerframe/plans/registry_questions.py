@@ -74,11 +74,8 @@ class QA:
 
     @cached_property
     def items(self) -> DataFrame:
-        # A reference answer must hold a non-NULL value: a row of NULLs is not an answer.
-        answered = self.expected.where(F.col("value").isNotNull()).select("item_id").distinct()
-        has_ref = self._batch_cut.join(answered, "item_id", "left_semi")
-        return has_ref.unionByName(self._batch_cut.where(F.col("expect_failure"))).select(
-            "item_id", "split", "question", "check", "expect_failure")
+        # Every item stays; one whose reference has no rows is a reference error (V3).
+        return self._batch_cut.select("item_id", "split", "question", "check", "expect_failure")
 
     @cached_property
     def matches(self) -> DataFrame:
@@ -144,7 +141,7 @@ SELECT item_id, intent, direction, company_id, company2_id, metric, num_metric,
 
 @register("N2_link_entities", N2_SQL)
 def q_n2(spark, sf_dir):
-    return QA(spark, sf_dir).linked.drop("question")
+    return QA(spark, sf_dir).linked.drop("question", "company_ids")
 
 
 @register("N3_answer_batch")

@@ -58,6 +58,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="ledgerframe-ckpt-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(configured)
     return configured

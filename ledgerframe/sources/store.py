@@ -31,7 +31,8 @@ def _fingerprint(key: str, inputs: Sequence[str]) -> str:
 
 
 def materialized(spark: SparkSession, key: str, build: Callable[[], DataFrame], inputs: Sequence[str],
-                 partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()) -> DataFrame:
+                 partition_by: Sequence[str] = (), sort_by: Sequence[str] = (),
+                 spread_by: Sequence[str] = ()) -> DataFrame:
     """Read table ``key`` for these inputs, writing it first if it is absent."""
     path = os.path.join(checkpoint_dir(spark), "ledgerframe-tables", f"{key}-{_fingerprint(key, inputs)}")
     try:
@@ -39,8 +40,8 @@ def materialized(spark: SparkSession, key: str, build: Callable[[], DataFrame],
     except AnalysisException:
         pass
     df = build()
-    if partition_by:
-        df = df.repartition(*partition_by)
+    if partition_by or spread_by:  # the spread columns split the few partition values over many tasks
+        df = df.repartition(*partition_by, *spread_by)
     if sort_by:
         df = df.sortWithinPartitions(*sort_by)
     writer = df.write.mode("overwrite")

@@ -92,14 +92,15 @@ def admission_stream(events: DataFrame, key: str = "user_id", ts: str = "ts", or
     """T1 on a stream: the same recurrence with ``applyInPandasWithState``; the
     state per key is the admitted times still inside the window (at most
     ``limit``). Hits of one key are ordered by (ts, order) within each
-    micro-batch; keys idle for ``idle_timeout`` lose their state (``None``:
+    micro-batch; keys idle for ``idle_timeout``, the window at least, lose their state (``None``:
     state is kept until the query ends)."""
     from pyspark.sql.streaming.state import GroupStateTimeout
     window_us = window_seconds * 1_000_000
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     e = events.select(F.col(order).alias("event_id"), F.col(key).alias("key"), F.col(ts).alias("ts"),
                       micros.alias("us"))
-    timeout_ms = _duration_ms(idle_timeout) if idle_timeout else None
+    # State must outlive its window, or refused hits would be admitted again.
+    timeout_ms = max(_duration_ms(idle_timeout), window_seconds * 1000) if idle_timeout else None
 
     def run(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:

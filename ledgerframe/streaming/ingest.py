@@ -3,7 +3,7 @@ parsed, appended to the raw-fact store, and the metrics of the companies they
 touch are recomputed from all of those companies' facts and upserted into the
 metrics table (S4 snapshots).
 
-Replay safety: each micro-batch writes its facts to its own ``epoch=<id>``
+Replay safety: each micro-batch writes its facts to its own ``run=<checkpoint>/epoch=<id>``
 folder with overwrite, so a batch that Spark re-runs after a failure replaces
 its own output instead of duplicating it; the upsert is idempotent. Derived
 rows (Q4, fallback liabilities) are recomputed for touched companies only;
@@ -12,6 +12,7 @@ rows that a correction removes are not deleted (the upsert never deletes).
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,16 +26,16 @@ METRIC_UPDATES = ["value", "unit", "accn", "start_date", "end_date"]
 
 
 def process_batch(spark: SparkSession, docs: DataFrame, epoch_id: int, store_dir: str, fy_min: int,
-                  fy_max: int) -> None:
+                  fy_max: int, run: str = "0") -> None:
     digits = F.regexp_extract("file_name", r"(\d+)", 1)
     docs = docs.select(F.when(digits != "", F.lpad(digits, 10, "0")).alias("cik"), "file_name", "body")
     facts, quarantine = parse_company_facts(docs)
-    facts.write.mode("overwrite").parquet(os.path.join(store_dir, "facts", f"epoch={epoch_id}"))
-    quarantine.write.mode("overwrite").parquet(os.path.join(store_dir, "quarantine", f"epoch={epoch_id}"))
+    facts.write.mode("overwrite").parquet(os.path.join(store_dir, "facts", f"run={run}", f"epoch={epoch_id}"))
+    quarantine.write.mode("overwrite").parquet(os.path.join(store_dir, "quarantine", f"run={run}", f"epoch={epoch_id}"))
     all_facts = spark.read.parquet(os.path.join(store_dir, "facts"))
-    touched = all_facts.where(F.col("epoch") == epoch_id).select("cik").distinct()
+    touched = all_facts.where((F.col("run").cast("string") == run) & (F.col("epoch") == epoch_id)).select("cik").distinct()
     # Facts of a company may arrive in several files: recompute from all of them.
-    facts_of_touched = all_facts.join(touched, "cik", "left_semi").drop("epoch")
+    facts_of_touched = all_facts.join(touched, "cik", "left_semi").drop("run", "epoch")
     metrics = load_metrics(facts_of_touched, fy_min, fy_max)
     sinks.upsert_snapshot(spark, os.path.join(store_dir, "metrics"), metrics, METRIC_KEYS, METRIC_UPDATES)
 
@@ -42,10 +43,12 @@ def process_batch(spark: SparkSession, docs: DataFrame, epoch_id: int, store_dir
 def start_ingest(spark: SparkSession, landing_dir: str, store_dir: str, checkpoint: str, fy_min: int,
                  fy_max: int, available_now: bool = True):
     """File-source stream over ``landing_dir`` (one JSON document per file)."""
+    # A checkpoint counts its own epochs: a new one must not overwrite what another stored.
+    run = "r" + hashlib.sha1(checkpoint.encode()).hexdigest()[:12]
     docs = (spark.readStream.format("text").option("wholetext", "true").load(landing_dir)
             .select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("body")))
     writer = (docs.writeStream.option("checkpointLocation", checkpoint)
-              .foreachBatch(lambda df, epoch: process_batch(spark, df, epoch, store_dir, fy_min, fy_max)))
+              .foreachBatch(lambda df, epoch: process_batch(spark, df, epoch, store_dir, fy_min, fy_max, run)))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()
 

@@ -3,7 +3,7 @@
 import datetime as dt
 from decimal import Decimal
 
-from ledgerframe.operators import attempts, evaluate, metrics, questions, responses
+from ledgerframe.operators import attempts, evaluate, metrics, questions, responses, retrieval
 from ledgerframe.sources import sinks
 
 FM = "company_id long, metric string, fiscal_year int, fiscal_period string, value decimal(20,4), end_date date"
@@ -145,6 +145,73 @@ def test_classify_all_null_is_empty_one_null_column_is_not(spark):
     assert got == {"a": "empty_result", "b": "success", "c": "unanswerable", "d": "unanswerable"}
 
 
+def test_rowsets_need_no_lucky_order():
+    # A greedy pairing could spend the second actual row on the first expected one.
+    assert evaluate.rowsets_match([(100.0,), (101.0,)], [(101.0, "x"), (100.0, "y")], "relative")
+    assert evaluate.rowsets_match([(1.0,), (1.0,)], [(1.0, 2.0), (3.0, 1.0)], "exact")
+    assert not evaluate.rowsets_match([(float("nan"),)], [(float("nan"),)], "exact")
+    assert evaluate.rowsets_match([], [])
+
+
+def test_rowset_match_counts_and_empty_sides(spark):
+    exp = spark.createDataFrame([("a", "1"), ("b", "1"), ("b", "2")], "item_id string, v string")
+    act = spark.createDataFrame([("b", "2"), ("b", "1.001"), ("c", "5")], "item_id string, v string")
+    got = {r["item_id"]: (r["expected_rows"], r["actual_rows"], r["matched"])
+           for r in evaluate.rowset_match(exp, act).collect()}
+    assert got == {"a": (1, 0, False), "b": (2, 2, True), "c": (0, 1, False)}
+
+
+def test_gate_without_held_out_items_fails(spark):
+    board = spark.createDataFrame([("dev", 3, 3, 1.0)], "split string, items long, passed long, accuracy double")
+    row = evaluate.gate(board).first()
+    assert row["gate_passed"] is False and row["gated_items"] == 0
+
+
+def test_rank_is_exact_not_rounded(spark):
+    co = spark.createDataFrame([(1, "AAA", "A"), (2, "BBB", "B")], "company_id long, ticker string, name string")
+    fm = spark.createDataFrame([(1, "net_income", 12345601.0), (1, "revenue", 1e8), (2, "net_income", 12345639.0),
+                                (2, "revenue", 1e8)], "company_id long, metric string, value double").selectExpr(
+        "*", "2020 AS fiscal_year", "'FY' AS fiscal_period")
+    assert metrics.top_ratio(fm, co, "net_income", "revenue", 2020).first()["ticker"] == "BBB"
+
+
+def test_long_names_and_three_companies(spark):
+    co = spark.createDataFrame([
+        (1, "AAA", "The Very Long Company Name Incorporated", "x"), (2, "BBB", "Beta", "x"), (3, "CCC", "Gamma", "x")],
+        "company_id long, ticker string, name string, sic_description string")
+    qs = spark.createDataFrame([
+        ("a", "What was the revenue of The Very Long Company Name Incorporated in fiscal 2020?"),
+        ("b", "Compare the revenue of Beta, Gamma and AAA in fiscal 2020"),
+        ("c", "How much did revenue of Beta grow from fiscal 2018 to fiscal 2020?")], "item_id string, question string")
+    linked = questions.link_entities(qs, co)
+    ids = {r["item_id"]: r["company_ids"] for r in linked.collect()}
+    assert ids == {"a": [1], "b": [2, 3, 1], "c": [2]}
+    fm = spark.createDataFrame([(c, "revenue", y, "FY", 10.0 * c * (y - 2016)) for c in (1, 2, 3) for y in range(2018, 2021)],
+                               "company_id long, metric string, fiscal_year int, fiscal_period string, value double")
+    got = {}
+    for r in questions.answer_batch(linked, fm, co).collect():
+        got.setdefault(r["item_id"], {})[r["label"]] = r["value"]
+    assert got["a"] == {"AAA": 40.0} and got["b"] == {"BBB": 80.0, "CCC": 120.0, "AAA": 40.0}
+    assert got["c"] == {"BBB": 100.0}
+
+
+def test_topk_edges(spark):
+    schema = "{} long, embedding array<double>"
+    docs = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, None]),
+                                  (6, [1.0, 0.1]), (0, [2.0, 0.0])], schema.format("doc_id"))
+    none = spark.createDataFrame([], schema.format("query_id"))
+    assert retrieval.topk_cosine(none, docs, 2).count() == 0
+    some = spark.createDataFrame([(9, [3.0, 0.0]), (8, None)], schema.format("query_id"))
+    rows = retrieval.topk_cosine(some, docs, 2, doc_rows=2).collect()
+    assert sorted((r["query_id"], r["rank"], r["doc_id"]) for r in rows) == [(9, 1, 0), (9, 2, 1)]
+
+
+def test_refusal_after_unicode_blank(spark):
+    df = spark.createDataFrame([(1, "\u00a0CANNOT_ANSWER:\u2003no data\u00a0")], "id long, text string")
+    row = responses.extract_blocks(df).first()
+    assert (row["kind"], row["extracted"]) == ("refusal", "no data")
+
+
 def test_validate_questions(spark):
     df = spark.createDataFrame([(1, "hi"), (2, "abc"), (3, "x" * 1001), (4, None)], "id long, text string")
     got = {r["id"]: r["reject_reason"] for r in questions.validate_questions(df).collect()}

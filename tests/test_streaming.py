@@ -102,7 +102,15 @@ def test_incremental_ingest_upserts_touched_companies(spark, tmp_path):
     ingest.start_ingest(spark, str(landing), store, ck, 2020, 2024).awaitTermination(300)
     second = {r["company_id"]: float(r["value"]) for r in ingest.current_metrics(spark, store).collect()}
     assert second == {"0000000001": 120.0, "0000000002": 70.0}
-    assert len(os.listdir(os.path.join(store, "facts"))) >= 2
+    [run] = os.listdir(os.path.join(store, "facts"))
+    assert len(os.listdir(os.path.join(store, "facts", run))) >= 2
+    # a new checkpoint counts its epochs anew and must not overwrite what is stored
+    (landing / "CIK0000000003.json").write_text(json.dumps(_facts_doc([
+        ("2022-01-01", "2022-12-31", 30, "c1", 2022, "FY", "10-K", "2023-02-01")])))
+    ingest.start_ingest(spark, str(landing), store, ck + "-new", 2020, 2024).awaitTermination(300)
+    third = {r["company_id"]: float(r["value"]) for r in ingest.current_metrics(spark, store).collect()}
+    assert third == {"0000000001": 120.0, "0000000002": 70.0, "0000000003": 30.0}
+    assert len(os.listdir(os.path.join(store, "facts"))) == 2
 
 
 def test_hits_in_window_across_buckets_matches_brute_force(spark):
