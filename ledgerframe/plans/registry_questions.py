@@ -59,7 +59,8 @@ class QA:
 
     @cached_property
     def answers(self) -> DataFrame:
-        return questions.answer_batch(self._linked_cut, self.fm, self.co)
+        # Read by outcomes and matches, each several times.
+        return questions.answer_batch(self._linked_cut, self.fm, self.co).checkpoint()
 
     @cached_property
     def outcomes(self) -> DataFrame:
@@ -70,7 +71,7 @@ class QA:
     @cached_property
     def expected(self) -> DataFrame:
         truth = self._batch_cut.where(~F.col("expect_failure")).select("item_id", *questions.TRUTH_COLS)
-        return questions.answer_batch(truth, self.fm, self.co)
+        return questions.answer_batch(truth, self.fm, self.co).checkpoint()
 
     @cached_property
     def items(self) -> DataFrame:
