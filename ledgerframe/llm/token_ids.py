@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Chunks kept per generation and the longest chunk that is kept.
-MEMO_CHUNKS, MEMO_CHARS = 500_000, 48
+MEMO_CHUNKS, MEMO_CHARS = 250_000, 48
 #: A character that stands alone between two unknown chunks; chunks that hold it
 #: go to the library one by one.
 SEPARATOR = "\x01"
