@@ -1,9 +1,10 @@
 """Token ids of whole texts by a public tokenizer, for use inside Spark tasks.
 
 The word tokenizer drops white space and never looks across it, so the ids of a
-text are the ids of its space-separated chunks in a row. A worker keeps the ids
-of chunks it has met (two generations of bounded size) and asks the tokenizers
-library for the others, many at a time.
+text are the ids of its space-separated chunks in a row. Arrow cuts a group of
+texts into chunks and numbers the different ones; each is looked up once. A worker
+keeps the ids of chunks it has met (two generations of bounded size) and asks the
+tokenizers library for the others, many at a time.
 """
 
 from __future__ import annotations
@@ -14,14 +15,18 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Chunks kept per generation and the longest chunk that is kept.
 MEMO_CHUNKS, MEMO_CHARS = 250_000, 48
 #: A character that stands alone between two unknown chunks; chunks that hold it
 #: go to the library one by one.
 SEPARATOR = "\x01"
-#: Characters of the texts that are looked up together.
-GROUP_CHARS = 400_000
+#: Characters of the texts that are cut and looked up together (a longer text alone).
+GROUP_CHARS = 4_000_000
+#: Unknown chunks that go to the library in one call.
+WORDS_TOGETHER = 256
 MARKS = ".,;:!?#$%&*|-"
 
 
@@ -61,8 +66,8 @@ class TokenIds:
         letters = [c for c in chunks if c.isalpha()]
         plain = [c for c in chunks if not c.isalpha() and SEPARATOR not in c]
         out = {c: np.array(self._encode(c), "<u4").tobytes() for c in chunks if SEPARATOR in c}
-        for at in range(0, len(letters), 4096):
-            some = letters[at:at + 4096]
+        for at in range(0, len(letters), WORDS_TOGETHER):
+            some = letters[at:at + WORDS_TOGETHER]
             ids = np.array(self._encode(" ".join(some)), "<u4")
             last = np.flatnonzero(self.closes[ids]) + 1
             if len(last) == len(some):  # else some chunk is more than one word
@@ -71,8 +76,8 @@ class TokenIds:
                 out.update(zip(some, [flat[a:b] for a, b in zip([0, *ends], ends)]))
             else:
                 plain += some
-        for at in range(0, len(plain), 4096):
-            some = plain[at:at + 4096]
+        for at in range(0, len(plain), WORDS_TOGETHER):
+            some = plain[at:at + WORDS_TOGETHER]
             ids = np.array(self._encode(f" {SEPARATOR} ".join(some)), "<u4")
             cuts = 4 * np.flatnonzero(ids == self.mark[0])
             flat, ends = ids.tobytes(), [*cuts.tolist(), 4 * len(ids)]
@@ -100,25 +105,32 @@ class TokenIds:
         if len(self.young) >= MEMO_CHUNKS:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        cut = [_lowered(t).replace("\n", " ").split(" ") for t in texts]
-        got = [list(map(young.get, chunks)) for chunks in cut]
-        unknown = {c for chunks, row in zip(cut, got) for c, ids in zip(chunks, row) if ids is None}
+        cut = pc.split_pattern(pa.array([_lowered(t).replace("\n", " ") for t in texts],
+                                        pa.large_string()), " ")
+        places = cut.flatten().dictionary_encode()
+        # Each different chunk of the group once.
+        chunks = places.dictionary.to_numpy(zero_copy_only=False).tolist()
+        got = list(map(young.get, chunks))
+        unknown = [c for c, ids in zip(chunks, got) if ids is None]
         if unknown:
-            roots = {c: self._root(c) for c in unknown if c not in old}
-            parts = {part for pair in roots.values() for part in pair}
             known = {c: old[c] for c in unknown if c in old}
+            fresh = [c for c in unknown if c not in known] if known else unknown
+            words = [c for c in fresh if c.isalpha() and c.islower()]  # their own roots
+            roots = {c: self._root(c) for c in set(fresh).difference(words)}
+            parts = {part for pair in roots.values() for part in pair}
             known.update((c, young[c] if c in young else old[c])
                          for c in parts if c in young or c in old)
-            known.update(self._learn([c for c in parts if c not in known]))
+            known.update(self._learn([c for c in parts.union(words) if c not in known]))
             known.update((c, known[root] + known[point]) for c, (root, point) in roots.items())
-            young.update(known)
-        out = [b"".join([young[c] if ids is None else ids for c, ids in zip(chunks, row)])
-               for chunks, row in zip(cut, got)]
-        for c in unknown:
-            if len(c) > MEMO_CHARS:
-                for part in {c, *roots.get(c, ())}:
-                    young.pop(part, None)
-        return out
+            got = [known[c] if ids is None else ids for c, ids in zip(chunks, got)]
+            young.update((c, ids) for c, ids in known.items() if len(c) <= MEMO_CHARS)
+        # The ids of each place are taken from those of its chunk, for all places at once.
+        ends = np.cumsum(np.fromiter(map(len, got), np.int64, len(got))) // 4
+        ids = pa.LargeListArray.from_arrays(
+            np.concatenate([[0], ends]), np.frombuffer(b"".join(got), "<u4")).take(places.indices)
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        ends = ids.offsets.to_numpy()[cut.offsets.to_numpy()].tolist()
+        return [flat[a:b].tobytes() for a, b in zip(ends, ends[1:])]
 
     @staticmethod
     def _root(chunk: str) -> tuple[str, str]:
