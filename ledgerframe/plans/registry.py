@@ -176,6 +176,17 @@ def q_nofacts(spark, sf_dir):
     return derived.no_usable_facts(co, scoped)
 
 
+@register("E15_no_facts_at_all", with_views("""
+SELECT c.company_id, m.metric
+FROM companies_v c CROSS JOIN (VALUES ('revenue'), ('net_income'), ('total_assets'),
+                                      ('total_liabilities'), ('eps_diluted')) m(metric)
+WHERE NOT EXISTS (SELECT 1 FROM financial_metrics_v f WHERE f.company_id = c.company_id
+                  AND f.metric = m.metric)"""))
+def q_nofacts_all(spark, sf_dir):
+    _, co, fm = _v(spark, sf_dir)
+    return derived.no_usable_facts(co, fm)
+
+
 def ticker_map_v(t: Tables) -> DataFrame:
     """Fixture ticker map: rank = s_suppkey, cik = s_nationkey, ticker = s_name."""
     s = t.supplier.select("s_suppkey", "s_name", "s_nationkey")
@@ -607,6 +618,25 @@ def q_a11(spark, sf_dir):
     return coverage.broad_coverage(_wide_fm(t), threshold=0.8, metric="revenue")
 
 
+@register("A10_latest_fy_any_metric", _wide_sql("""
+SELECT count(DISTINCT company_id) AS n_with_fy_latest FROM financial_metrics_v
+WHERE fiscal_period = 'FY' AND fiscal_year = (SELECT max(fiscal_year) FROM financial_metrics_v)"""))
+def q_a10_any(spark, sf_dir):
+    return coverage.companies_with_latest_fy(_wide_fm(_tables(spark, sf_dir)))
+
+
+@register("A11_broad_coverage_any_metric", with_views("""
+SELECT (SELECT max(n) FROM per_year) AS peak_fy_companies,
+       COALESCE((SELECT max(fiscal_year) FROM per_year f
+                 WHERE f.n >= (SELECT max(n) FROM per_year) * 0.5),
+                (SELECT max(fiscal_year) FROM financial_metrics_v)) AS last_broad_year""",
+    fy_min=fv.FIXTURE_WIDE_FY_MIN, fy_max=fv.FIXTURE_WIDE_FY_MAX,
+    per_year="""SELECT fiscal_year, count(DISTINCT company_id) AS n FROM financial_metrics_v
+                WHERE fiscal_period = 'FY' GROUP BY fiscal_year"""))
+def q_a11_any(spark, sf_dir):
+    return coverage.broad_coverage(_wide_fm(_tables(spark, sf_dir)))
+
+
 @register("A12_coverage_document", with_views("""
 SELECT 'glossary' AS doc_type, 'data coverage: companies, years, and partial-year caveat' AS title,
   printf('Data coverage, generated from the data.' || chr(10)

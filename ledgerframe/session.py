@@ -63,3 +63,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="ledgerframe-ckpt-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(configured)
     return configured
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, the same for every application (Spark's
+    own checkpoint folder below it is one per application); see :func:`checkpoint_dir`."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return (named or checkpoint_dir(spark)).rstrip("/")

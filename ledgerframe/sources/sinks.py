@@ -3,8 +3,6 @@ rebuild (S5), capped result sets (S6) and JSON-safe rows (S7)."""
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerframe import domain
+from ledgerframe.sources import files
+
+SNAPSHOT = "snapshot-"
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], update_cols: Sequence[str]) -> DataFrame:
@@ -43,35 +44,33 @@ def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], update_co
 
 def upsert_snapshot(spark: SparkSession, table_dir: str, updates: DataFrame, keys: Sequence[str],
                     update_cols: Sequence[str], partition_by: Sequence[str] = ()) -> str:
-    """S4 on storage: read the current snapshot, write the merged table to a
-    new snapshot folder and then point ``_CURRENT`` at it. The plan never reads
-    and overwrites the same path, and a failed job leaves the old snapshot
-    current. Returns the new snapshot path."""
-    current = current_snapshot(table_dir)
+    """S4 on storage: read the current snapshot and write the merged table to
+    the next numbered snapshot folder, which is current as soon as its job has
+    committed. The plan never reads and overwrites the same path, and a failed
+    job leaves the old snapshot current. One writer at a time. Returns the new
+    snapshot path."""
+    current = current_snapshot(spark, table_dir)
     merged = updates if current is None else upsert(spark.read.parquet(current), updates, keys, update_cols)
-    new = os.path.join(table_dir, f"snapshot-{uuid.uuid4().hex}")
+    # A folder that a failed job left behind keeps its number.
+    number = max((int(n.removeprefix(SNAPSHOT)) for n in _snapshots(spark, table_dir)), default=0) + 1
+    new = f"{table_dir}/{SNAPSHOT}{number:012d}"
     writer = merged.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(new)
-    _write_pointer(table_dir, new)
     return new
 
 
-def current_snapshot(table_dir: str) -> str | None:
-    pointer = os.path.join(table_dir, "_CURRENT")
-    if not os.path.exists(pointer):
-        return None
-    with open(pointer) as fh:
-        return fh.read().strip() or None
+def _snapshots(spark: SparkSession, table_dir: str) -> list[str]:
+    return [n for n in files.children(spark, table_dir) if n.startswith(SNAPSHOT)]
 
 
-def _write_pointer(table_dir: str, path: str) -> None:
-    os.makedirs(table_dir, exist_ok=True)
-    tmp = os.path.join(table_dir, f"._CURRENT.{uuid.uuid4().hex}")
-    with open(tmp, "w") as fh:
-        fh.write(path)
-    os.replace(tmp, os.path.join(table_dir, "_CURRENT"))
+def current_snapshot(spark: SparkSession, table_dir: str) -> str | None:
+    """The latest snapshot that was written to its end, found on the table's own store."""
+    for name in reversed(_snapshots(spark, table_dir)):
+        if files.is_complete(spark, f"{table_dir}/{name}"):
+            return f"{table_dir}/{name}"
+    return None
 
 
 def rebuild(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:

@@ -9,42 +9,40 @@ re-reads files instead of re-running the joins.
 from __future__ import annotations
 
 import hashlib
-import os
+import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerframe.session import checkpoint_dir
+from ledgerframe.session import shared_dir
+from ledgerframe.sources import files
 
 VERSION = "1"
 
 
-def _fingerprint(key: str, inputs: Sequence[str]) -> str:
-    h = hashlib.sha1(f"{VERSION}|{key}".encode())
-    for p in inputs:
-        h.update(p.encode())
-        if os.path.exists(p):  # local inputs: rebuild when they change
-            st = os.stat(p)
-            h.update(f"{st.st_size}:{st.st_mtime_ns}".encode())
-    return h.hexdigest()[:16]
+def _fingerprint(spark: SparkSession, key: str, inputs: Sequence[str]) -> str:
+    """Changes with the key, the inputs' paths and what is stored there."""
+    stamped = [f"{p}|{files.stamp(spark, p)}" for p in inputs]
+    return hashlib.sha1("|".join([VERSION, key, *stamped]).encode()).hexdigest()[:16]
 
 
 def materialized(spark: SparkSession, key: str, build: Callable[[], DataFrame], inputs: Sequence[str],
                  partition_by: Sequence[str] = (), sort_by: Sequence[str] = (),
                  spread_by: Sequence[str] = ()) -> DataFrame:
-    """Read table ``key`` for these inputs, writing it first if it is absent."""
-    path = os.path.join(checkpoint_dir(spark), "ledgerframe-tables", f"{key}-{_fingerprint(key, inputs)}")
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        pass
+    """Read table ``key`` for these inputs, writing it first if no complete copy is there.
+
+    A copy is a folder of its own, so writers that meet do not disturb each other."""
+    root = f"{shared_dir(spark)}/ledgerframe-tables/{key}-{_fingerprint(spark, key, inputs)}"
+    for name in files.children(spark, root):
+        if files.is_complete(spark, f"{root}/{name}"):
+            return spark.read.parquet(f"{root}/{name}")
     df = build()
     if partition_by or spread_by:  # the spread columns split the few partition values over many tasks
         df = df.repartition(*partition_by, *spread_by)
     if sort_by:
         df = df.sortWithinPartitions(*sort_by)
-    writer = df.write.mode("overwrite")
+    path = f"{root}/copy-{uuid.uuid4().hex}"
+    writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

@@ -13,7 +13,6 @@ rows that a correction removes are not deleted (the upsert never deletes).
 from __future__ import annotations
 
 import hashlib
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,14 +29,14 @@ def process_batch(spark: SparkSession, docs: DataFrame, epoch_id: int, store_dir
     digits = F.regexp_extract("file_name", r"(\d+)", 1)
     docs = docs.select(F.when(digits != "", F.lpad(digits, 10, "0")).alias("cik"), "file_name", "body")
     facts, quarantine = parse_company_facts(docs)
-    facts.write.mode("overwrite").parquet(os.path.join(store_dir, "facts", f"run={run}", f"epoch={epoch_id}"))
-    quarantine.write.mode("overwrite").parquet(os.path.join(store_dir, "quarantine", f"run={run}", f"epoch={epoch_id}"))
-    all_facts = spark.read.parquet(os.path.join(store_dir, "facts"))
+    facts.write.mode("overwrite").parquet(f"{store_dir}/facts/run={run}/epoch={epoch_id}")
+    quarantine.write.mode("overwrite").parquet(f"{store_dir}/quarantine/run={run}/epoch={epoch_id}")
+    all_facts = spark.read.parquet(f"{store_dir}/facts")
     touched = all_facts.where((F.col("run").cast("string") == run) & (F.col("epoch") == epoch_id)).select("cik").distinct()
     # Facts of a company may arrive in several files: recompute from all of them.
     facts_of_touched = all_facts.join(touched, "cik", "left_semi").drop("run", "epoch")
     metrics = load_metrics(facts_of_touched, fy_min, fy_max)
-    sinks.upsert_snapshot(spark, os.path.join(store_dir, "metrics"), metrics, METRIC_KEYS, METRIC_UPDATES)
+    sinks.upsert_snapshot(spark, f"{store_dir}/metrics", metrics, METRIC_KEYS, METRIC_UPDATES)
 
 
 def start_ingest(spark: SparkSession, landing_dir: str, store_dir: str, checkpoint: str, fy_min: int,
@@ -54,4 +53,4 @@ def start_ingest(spark: SparkSession, landing_dir: str, store_dir: str, checkpoi
 
 
 def current_metrics(spark: SparkSession, store_dir: str) -> DataFrame:
-    return spark.read.parquet(sinks.current_snapshot(os.path.join(store_dir, "metrics")))
+    return spark.read.parquet(sinks.current_snapshot(spark, f"{store_dir}/metrics"))
