@@ -1,20 +1,15 @@
 """Quality by a modified Kneser-Ney language model (operator 3).
 
-Texts become symbols of a fixed alphabet of 32: letters by their unaccented base,
-blanks, line ends, digits, sentence marks and other signs. Trusted texts are
-counted as symbol n-grams up to ``ORDER`` in full; the n-gram tables are then
-joined shard by shard (an n-gram meets its context, its shorter tail and the
-discounts of its order by equi-joins on packed n-gram codes) into interpolated
-modified Kneser-Ney probabilities for *every* n-gram of the alphabet. That table
-has 32^4 rows of 4 bytes whatever the corpus: this proven bound (4 MB) is what
-lets each scoring task hold it, instead of a shuffle of every n-gram of every
-document to the counts, which moves several times the input.
-
-A document's perplexity covers its whole text. Short texts are drawn towards the
-trusted mean by ``PRIOR_SYMBOLS`` symbols of it, so that a few rare letters do
-not decide. The threshold of a language is a quantile of its trusted documents'
-perplexities over all of them (fixed-width bins of the log perplexity), plus a
-margin.
+Documents are scored by the word n-grams of :mod:`ledgerframe.llm.word_lm`: all
+trusted text is counted into sharded tables, joined with the n-grams of every
+document. A document's perplexity (per token) covers its whole text. Short texts
+are drawn towards the trusted mean by ``PRIOR_TOKENS`` tokens of it, so that a few
+rare words do not decide. The threshold of a language is a quantile of its trusted
+documents' perplexities over all of them (fixed-width bins of the log perplexity),
+plus a margin; no trusted document is scored by counts of its own text.
+
+The letter model below (4-grams of 32 symbols, a table of 32^4 rows) is no longer
+what scores; the README has figures of both.
 """
 
 from __future__ import annotations
@@ -28,14 +23,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerframe.llm.common import stored, text_or_empty
+from ledgerframe.llm.common import stored
+from ledgerframe.llm.word_lm import row_key, word_costs
 
 ALPHABET_BITS, ORDER = 5, 4
 SYMBOLS = 1 << ALPHABET_BITS
 GRAMS = 1 << (ALPHABET_BITS * ORDER)
 START, BLANK, LINE, DIGIT, STOP, SIGN = 0, 27, 28, 29, 30, 31
 STOPS = ".,;:!?'\"()-"
-PRIOR_SYMBOLS = 200
+PRIOR_TOKENS = 40  # of about five letters: as much as the 200 letters of the letter model
 QUANTILE, MARGIN = 0.99, 0.15
 BIN = 1e-3
 
@@ -145,31 +141,6 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id", label_col: str = "qua
                                                          ).where("good > 0").select("doc_id")
 
 
-def costs(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text",
-          lang_col: str = "lang", keep: list[str] = ()) -> DataFrame:
-    """``(doc_id, lang, symbols, cost)`` of every row, the cost in micro-nats of the whole
-    text under the model, and the columns ``keep`` as a struct ``kept``."""
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"),
-                        F.col(lang_col).cast("string").alias("lang"),
-                        text_or_empty(text_col).alias("text"),
-                        *[F.struct(*keep).alias("kept")] * bool(keep))
-
-    def rate(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            cost = [int(model[gram_codes(t)].sum(dtype=np.int64)) if t else 0 for t in texts]
-            rated = {"symbols": pa.array([len(t) for t in texts], pa.int64()),
-                     "cost": pa.array(cost, pa.int64())}
-            yield pa.RecordBatch.from_arrays(
-                [rated[n] if n in rated else batch.column(n) for n in names], names)
-
-    names = [c for c in given.columns if c != "text"] + ["symbols", "cost"]
-    schema = ", ".join(f"`{c}` {t}" for c, t in given.drop("text").dtypes)
-    return given.mapInArrow(rate, f"{schema}, symbols long, cost long")
-
-
 def _quantiles(bins: DataFrame, quantile: float, by: list[str]) -> DataFrame:
     """The smallest bin with at least the share ``quantile`` of the rows below or in it."""
     counts = bins.groupBy(*by, "bin").agg(F.count("*").alias("n"))
@@ -194,10 +165,10 @@ def cost_array(table: DataFrame) -> np.ndarray:
 
 
 class Quality:
-    """A fitted model: micro-nats per 4-gram, the trusted mean, thresholds in nats."""
+    """Costs of all rows by :func:`row_key`, the trusted mean, thresholds in nats."""
 
-    def __init__(self, model: np.ndarray, mean: float, prior: int, by_lang: DataFrame, overall: float):
-        self.model, self.mean, self.prior = model, mean, prior
+    def __init__(self, rated: DataFrame, mean: float, prior: int, by_lang: DataFrame, overall: float):
+        self.rated, self.mean, self.prior = rated, mean, prior
         self.by_lang, self.overall = by_lang, overall
 
     def nats(self) -> Column:
@@ -205,22 +176,19 @@ class Quality:
 
 
 def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN,
-        prior: int = PRIOR_SYMBOLS, id_col: str = "doc_id", text_col: str = "text",
+        prior: int = PRIOR_TOKENS, id_col: str = "doc_id", text_col: str = "text",
         lang_col: str = "lang") -> Quality | None:
-    """The model and thresholds of all trusted documents among ``docs``; None without any text."""
+    """The costs of all ``docs`` and the thresholds of the trusted among them; None without any text."""
     good = stored(trusted_ids(labels, id_col), "quality-trusted")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"),
-                        text_or_empty(text_col).alias("text"))
-    # Ids grow with the corpus: one shuffle of the texts at every size, never a broadcast.
-    trusted = texts.join(good.hint("shuffle_merge"), "doc_id", "left_semi").select("text")
-    counts = stored(count_grams(trusted), "quality-counts")
-    if counts.isEmpty():
+    rated = word_costs(docs, good, id_col, text_col)
+    if rated is None:
         return None
-    model = cost_array(kneser_ney(counts))
-    known = stored(costs(docs, model, id_col, text_col, lang_col)
-                   .join(good, "doc_id", "left_semi"), "quality-costs")
+    known = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"),
+                               F.col(lang_col).cast("string").alias("lang"),
+                               row_key(id_col, text_col).alias("at"))
+                   .join(good, "doc_id", "left_semi").join(rated, "at"), "quality-costs")
     mean = known.agg(F.sum("cost") / F.sum("symbols")).first()[0]
-    fitted = Quality(model, mean, prior, None, 0.0)
+    fitted = Quality(rated, mean, prior, None, 0.0)
     bins = known.select("lang", F.floor(fitted.nats() / BIN).alias("bin"))
     limit = (F.col("bin") + 1) * BIN + margin
     fitted.by_lang = stored(_quantiles(bins.where("lang is not null"), quantile, ["lang"]).select(
@@ -240,7 +208,11 @@ def judge(docs: DataFrame, fitted: Quality | None, id_col: str = "doc_id", text_
                            F.lit(None).cast("double").alias("perplexity"),
                            F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("keep"),
                            *[F.struct(*keep).alias("kept")] * bool(keep))
-    rated = costs(docs, fitted.model, id_col, text_col, lang_col, keep)
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"),
+                        F.col(lang_col).cast("string").alias("lang"),
+                        row_key(id_col, text_col).alias("at"),
+                        *[F.struct(*keep).alias("kept")] * bool(keep))
+    rated = given.join(fitted.rated, "at")
     judged = rated.join(fitted.by_lang, F.col("lang") == F.col("of_lang"), "left").select(
         "doc_id", "lang", fitted.nats().alias("nats"),
         F.coalesce("own", F.lit(fitted.overall)).alias("limit"), *more)
@@ -250,7 +222,7 @@ def judge(docs: DataFrame, fitted: Quality | None, id_col: str = "doc_id", text_
 
 
 def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE,
-            margin: float = MARGIN, prior: int = PRIOR_SYMBOLS, id_col: str = "doc_id",
+            margin: float = MARGIN, prior: int = PRIOR_TOKENS, id_col: str = "doc_id",
             text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``(doc_id, lang, perplexity, threshold, keep)`` for every row of ``docs``.
 
