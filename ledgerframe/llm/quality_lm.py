@@ -5,8 +5,8 @@ trusted text is counted into sharded tables, joined with the n-grams of every
 document. A document's perplexity (per token) covers its whole text. Short texts
 are drawn towards the trusted mean by ``PRIOR_TOKENS`` tokens of it, so that a few
 rare words do not decide. The threshold of a language is a quantile of its trusted
-documents' perplexities over all of them (fixed-width bins of the log perplexity),
-plus a margin; no trusted document is scored by counts of its own text.
+documents' perplexities over all of them (fixed-width bins of the log perplexity,
+at most ``BIN`` above it); no trusted document is scored by counts of its own text.
 
 The letter model below (4-grams of 32 symbols, a table of 32^4 rows) is no longer
 what scores; the README has figures of both.
@@ -32,7 +32,7 @@ GRAMS = 1 << (ALPHABET_BITS * ORDER)
 START, BLANK, LINE, DIGIT, STOP, SIGN = 0, 27, 28, 29, 30, 31
 STOPS = ".,;:!?'\"()-"
 PRIOR_TOKENS = 40  # of about five letters: as much as the 200 letters of the letter model
-QUANTILE, MARGIN = 0.99, 0.15
+QUANTILE = 0.99
 BIN = 1e-3
 
 
@@ -175,7 +175,7 @@ class Quality:
         return (F.col("cost") + self.mean * self.prior) / (F.col("symbols") + self.prior) / 1e6
 
 
-def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN,
+def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE,
         prior: int = PRIOR_TOKENS, id_col: str = "doc_id", text_col: str = "text",
         lang_col: str = "lang") -> Quality | None:
     """The costs of all ``docs`` and the thresholds of the trusted among them; None without any text."""
@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin:
     mean = known.agg(F.sum("cost") / F.sum("symbols")).first()[0]
     fitted = Quality(rated, mean, prior, None, 0.0)
     bins = known.select("lang", F.floor(fitted.nats() / BIN).alias("bin"))
-    limit = (F.col("bin") + 1) * BIN + margin
+    limit = (F.col("bin") + 1) * BIN
     fitted.by_lang = stored(_quantiles(bins.where("lang is not null"), quantile, ["lang"]).select(
         F.col("lang").alias("of_lang"), limit.alias("own")), "quality-thresholds")
     fitted.overall = float(_quantiles(bins.select(F.lit(1).alias("one"), "bin"), quantile, ["one"])
@@ -222,7 +222,7 @@ def judge(docs: DataFrame, fitted: Quality | None, id_col: str = "doc_id", text_
 
 
 def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE,
-            margin: float = MARGIN, prior: int = PRIOR_TOKENS, id_col: str = "doc_id",
+            prior: int = PRIOR_TOKENS, id_col: str = "doc_id",
             text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``(doc_id, lang, perplexity, threshold, keep)`` for every row of ``docs``.
 
@@ -231,7 +231,7 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE,
     languages. Without any trusted text every row is kept, with a null
     perplexity and threshold. Empty and null texts have the trusted mean
     perplexity. Repeated rows get equal results; other columns are not read."""
-    fitted = fit(docs, labels, quantile, margin, prior, id_col, text_col, lang_col)
+    fitted = fit(docs, labels, quantile, prior, id_col, text_col, lang_col)
     return judge(docs, fitted, id_col, text_col, lang_col)
 
 

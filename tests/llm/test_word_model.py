@@ -66,3 +66,12 @@ def test_quality_sees_words_not_letters(spark, docs):
     labels = spark.createDataFrame([(k, 1, 0) for k in range(40)], LABELS)
     out = {r["doc_id"]: r["keep"] for r in quality_lm.quality(docs(rows), labels).collect()}
     assert out[100] and not out[101] and not out[102]
+
+
+def test_threshold_is_the_quantile(spark, docs):
+    line = "one two three four five six seven "
+    rows = [(k, line * (1 + k % 5) + "odd" * (k % 7 == 0)) for k in range(30)]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(30)], LABELS)
+    out = quality_lm.quality(docs(rows), labels).collect()
+    worst = max(r["perplexity"] for r in out)
+    assert worst <= out[0]["threshold"] <= worst * math.exp(quality_lm.BIN)
