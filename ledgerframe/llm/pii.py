@@ -5,8 +5,8 @@ pass its check. Wider generators propose further candidates, overlapping ones to
 the base patterns' failing matches and looser spellings (numbers without a plus
 sign, spelled-out addresses, short card numbers). Boosted trees, trained on a
 bounded sample of candidates with the base rules' verdict as label, score each
-candidate by its format and its context; a threshold per kind, calibrated on held
-back candidates for precision, selects the candidates that become redactions
+candidate by its format and its context; a threshold per kind, calibrated for
+precision on all base matches, selects the candidates that become redactions
 besides the base spans.
 
 Matching needs no Python: ``split`` gives the texts between matches,
@@ -19,9 +19,11 @@ candidates are, without a shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerframe.llm.common import stored, text_or_empty
@@ -162,43 +164,54 @@ def _margin_sql(model: GBTClassificationModel) -> str:
                             for t, w in zip(model.trees, model.treeWeights)) + ")"
 
 
+def _limits(found: DataFrame, margin: str, precision: float) -> dict[int, float]:
+    """The lowest margin of each kind above which the share of sure spans reaches
+    ``precision`` (infinity if none does), from a histogram of all base matches.
+
+    A margin is a sum of leaf values of a fixed number of trees, and counted as it is: the
+    histogram stays a table, and one row per kind leaves it."""
+    bins = found.select(F.explode("candidates").alias("c")).where("not c.wide").select(
+        F.col("c.kind").alias("kind"), F.expr(margin).alias("margin"), F.col("c.base").cast("long").alias("sure")
+    ).groupBy("kind", "margin").agg(F.sum("sure").alias("sure"), F.count("*").alias("n"))
+    above = Window.partitionBy("kind").orderBy(F.col("margin").desc())
+    share = F.sum("sure").over(above) / F.sum("n").over(above)
+    fine = F.when((F.col("share") >= precision) & (F.col("margin") > 0), F.col("margin"))
+    rows = bins.withColumn("share", share).groupBy("kind").agg(
+        F.coalesce(F.min(fine), F.lit(float("inf"))).alias("limit"))
+    return {r["kind"]: float(r["limit"]) for r in rows.collect()}
+
+
 def fit_selector(found: DataFrame, sample: int = SAMPLE, precision: float = PRECISION,
                  seed: int = 7) -> str | None:
     """SQL that tells whether the candidate ``c`` is selected, from ``found(doc_id, candidates)``.
 
-    Boosted trees learn the base rules' verdicts on matches of the base patterns from
-    three quarters of a bounded sample; the last quarter gives each kind the lowest
-    margin above which the share of sure spans reaches ``precision``. None if the
-    sample holds no failing or no sure match."""
-    rows = found.select("doc_id", F.explode("candidates").alias("c")).where("not c.wide")
-    picked = stored(rows.select(
-        F.xxhash64("doc_id", "c.start", "c.kind").alias("place"), "c",
-    ).orderBy("place", "c").limit(sample), "pii-sample")
-    given = picked.select("c", F.col("c.base").cast("double").alias("label"),
-                          F.pmod("place", F.lit(4)).alias("fold"), *[f"c.f.{n}" for n in FEATURES])
+    Boosted trees learn the base rules' verdicts on matches of the base patterns from a
+    bounded sample, an equal share of it for each kind; all matches give each kind the
+    lowest margin above which the share of sure spans reaches ``precision``. A kind
+    without any base match in all data takes the highest margin found for another. None if the sample holds no failing or no sure match."""
+    rows = found.select("doc_id", F.explode("candidates").alias("c")).where("not c.wide").select(
+        F.xxhash64("doc_id", "c.start", "c.kind").alias("place"), "c")
+    share = sample // len(KINDS)
+    parts = [rows.where(F.col("c.kind") == k).orderBy("place", "c").limit(share) for k in range(len(KINDS))]
+    picked = stored(reduce(DataFrame.union, parts), "pii-sample")
+    given = picked.select("c", F.col("c.base").cast("double").alias("label"), *[f"c.f.{n}" for n in FEATURES])
     given = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(given)
-    train = given.where("fold > 0")
-    if train.select("label").distinct().count() < 2:
+    if given.select("label").distinct().count() < 2:
         return None
-    model = GBTClassifier(maxIter=10, maxDepth=3, seed=seed, maxBins=64).fit(train.select("label", "features"))
+    model = GBTClassifier(maxIter=10, maxDepth=3, seed=seed, maxBins=64).fit(given.select("label", "features"))
     margin = _margin_sql(model)
-    # At most a quarter of the bounded sample.
-    held = given.where("fold = 0").select("c.kind", "label", F.expr(margin).alias("margin")).toPandas()
-    limits = {}
-    for kind, rows in held.sort_values("margin", ascending=False).groupby("kind"):
-        share = rows["label"].cumsum() / range(1, len(rows) + 1)
-        fine = rows["margin"][(share >= precision) & (rows["margin"] > 0)]
-        if len(fine):
-            limits[int(kind)] = float(fine.min())
-    if not limits:
+    limits = _limits(found, margin, precision)
+    finite = {k: v for k, v in limits.items() if v < float("inf")}
+    if not finite:
         return None
-    cases = " ".join(f"WHEN {k} THEN {v!r}D" for k, v in sorted(limits.items()))
-    return f"{margin} >= CASE c.kind {cases} ELSE double('infinity') END"
+    cases = " ".join(f"WHEN {k} THEN " + (f"{v!r}D" if k in finite else "double('infinity')")
+                     for k, v in sorted(limits.items()))
+    return f"{margin} >= CASE c.kind {cases} ELSE {max(finite.values())!r}D END"
 
 
 def spans(selector: str | None) -> Column:
     """All spans of a row with the column ``candidates``: base spans and selected others
-    that overlap neither them nor an earlier or longer selected one; by start, then kind."""
+    that overlap neither them nor one kept before (by start, the longer first); by start, then kind."""
     base = "transform(filter(candidates, c -> c.base), c -> struct(c.start, c.kind, c.stop))"
     none = F.lit([]).cast(f"array<{SPAN}>")
     sure = F.expr(base).cast(f"array<{SPAN}>")
@@ -208,12 +221,17 @@ def spans(selector: str | None) -> Column:
         F.expr(f"filter(candidates, c -> NOT c.base AND {selector})"),
         lambda c: ~F.exists(F.col("candidates"), lambda b: b["base"] & (b["start"] < c["stop"])
                             & (c["start"] < b["stop"])))
-    extra = F.transform(chosen, lambda c: F.struct(
-        c["start"].alias("start"), c["kind"].alias("kind"), c["stop"].alias("stop")))
-    apart = F.filter(extra, lambda c: ~F.exists(extra, lambda o: (o["start"] < c["stop"])
-                     & (c["start"] < o["stop"]) & ((o["start"] < c["start"])
-                     | ((o["start"] == c["start"]) & (o["stop"] > c["stop"])))))
-    return F.sort_array(F.concat(sure, F.array_distinct(apart).cast(f"array<{SPAN}>")))
+    extra = F.array_sort(F.transform(chosen, lambda c: F.struct(
+        c["start"].alias("start"), (-c["stop"]).alias("back"), c["kind"].alias("kind"))))
+
+    def step(kept: Column, c: Column) -> Column:
+        # By start: what is kept ends in order, so only the last can reach into the next.
+        free = (F.size(kept) == 0) | (F.get(kept, F.size(kept) - 1)["stop"] <= c["start"])
+        span = F.struct(c["start"].alias("start"), c["kind"].alias("kind"), (-c["back"]).alias("stop"))
+        return F.when(free, F.concat(kept, F.array(span))).otherwise(kept)
+
+    apart = F.aggregate(extra, none, step)
+    return F.sort_array(F.concat(sure, apart))
 
 
 def _joined(found: Column) -> Column:
