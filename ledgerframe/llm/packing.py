@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerframe.llm.common import stored, text_or_empty
-from ledgerframe.llm.token_ids import default_vocabulary, token_ids
+from ledgerframe.llm.token_ids import closed, default_vocabulary, token_ids
 
 CAPACITY = 4096
 END_ID = 1
@@ -87,21 +87,25 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     ids themselves as unsigned little-endian 32-bit numbers.
     """
     vocabulary = vocabulary or default_vocabulary()
-    end = np.array([end_id], "<u4").tobytes()
     names = [c.split()[0] for c in PIECES.split(", ")] + ["ids"] * with_ids
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens, part, seen = token_ids(vocabulary), TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            rows = []
-            for doc, ids in zip(batch["doc_id"], tokens.ids_of(batch["text"])):
-                ids, doc = ids + end, None if pd.isna(doc) else int(doc)
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    some = ids[at:at + 4 * capacity]
-                    length = len(some) // 4
-                    rows.append((doc, piece, at // 4, length, zlib.crc32(some), part,
-                                 seen[length], *[some] * with_ids))
-                    seen[length] += 1
+            rows, docs_of = [], iter(batch["doc_id"])
+            for flat, ends in tokens.groups(batch["text"]):
+                flat, ends = closed(flat, ends, end_id)
+                begin = 0
+                for end in ends.tolist():
+                    doc = next(docs_of)
+                    doc = None if pd.isna(doc) else int(doc)
+                    for piece, at in enumerate(range(begin, end, capacity)):
+                        some = flat[at:min(at + capacity, end)]
+                        length = len(some)
+                        rows.append((doc, piece, at - begin, length, zlib.crc32(some), part,
+                                     seen[length], *[some.tobytes()] * with_ids))
+                        seen[length] += 1
+                    begin = end
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"),

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerframe.llm.common import scratch_root, stored, text_or_empty
-from ledgerframe.llm.token_ids import default_vocabulary, token_ids
+from ledgerframe.llm.token_ids import closed, default_vocabulary, token_ids
 
 MAGIC = b"IDPLANE1"
 BLOCK_IDS = 1 << 16
@@ -62,10 +62,16 @@ def join_planes(planes: list[bytes], count: int, kind: str) -> np.ndarray:
 def write_file(docs: list[tuple[int | None, bytes]], kind: str = "byte",
                block_ids: int = BLOCK_IDS, level: int = 1) -> bytes:
     """A whole file for ``(doc_id, ids as u32 bytes)`` in the order given."""
+    return file_bytes([i for i, _ in docs], [len(d) // 4 for _, d in docs],
+                      np.frombuffer(b"".join(d for _, d in docs), "<u4"), kind, block_ids, level)
+
+
+def file_bytes(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, kind: str = "byte",
+               block_ids: int = BLOCK_IDS, level: int = 1) -> bytes:
+    """A whole file for documents whose ids lie in a row."""
     import zstandard
 
     pack = zstandard.ZstdCompressor(level=level).compress
-    ids = np.frombuffer(b"".join(d for _, d in docs), "<u4")
     parts, ends, at = [MAGIC], [], len(MAGIC)
     for start in range(0, len(ids), block_ids):
         for plane in split_planes(ids[start:start + block_ids], kind):
@@ -74,7 +80,7 @@ def write_file(docs: list[tuple[int | None, bytes]], kind: str = "byte",
             ends.append(at)
     index = pack(json.dumps({
         "kind": kind, "block_ids": block_ids, "n_ids": len(ids), "ends": ends,
-        "docs": [i for i, _ in docs], "lengths": [len(d) // 4 for _, d in docs]}).encode())
+        "docs": doc_ids, "lengths": lengths}).encode())
     return b"".join([*parts, index, len(index).to_bytes(8, "little"), MAGIC])
 
 
@@ -120,26 +126,35 @@ def token_files(docs: DataFrame, vocabulary: str | None = None, kind: str = "byt
     ends with the document that fills it, so one very long document is one long file.
     """
     vocabulary = vocabulary or default_vocabulary()
-    end = np.array([end_id], "<u4").tobytes()
-
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens = token_ids(vocabulary)
-        held, size, file, shard = [], 0, 0, 0
+        docs_held, lengths, held, size, file, shard = [], [], [], 0, 0, 0
 
         def flush() -> pd.DataFrame:
-            return pd.DataFrame([{"shard": shard, "file": file, "first_doc": held[0][0],
-                                  "n_ids": size // 4, "data": write_file(held, kind, block_ids)}]
-                                ).astype({"first_doc": "Int64"})
+            data = file_bytes(docs_held, lengths, np.concatenate(held), kind, block_ids)
+            return pd.DataFrame([{"shard": shard, "file": file, "first_doc": docs_held[0],
+                                  "n_ids": size, "data": data}]).astype({"first_doc": "Int64"})
 
         for batch in batches:
-            for doc, ids, shard in zip(batch["doc_id"], tokens.ids_of(batch["text"]),
-                                       batch["shard"]):
-                held.append((None if pd.isna(doc) else int(doc), ids + end))
-                size += len(ids) + len(end)
-                if size >= 4 * file_ids:
-                    yield flush()
-                    held, size, file = [], 0, file + 1
-        if held:
+            ids_of_docs = [None if pd.isna(d) else int(d) for d in batch["doc_id"]]
+            shard, doc = batch["shard"].iloc[0] if len(batch) else shard, 0
+            for flat, ends in tokens.groups(batch["text"]):
+                flat, ends = closed(flat, ends, end_id)
+                first = done = 0  # texts and ids of the group that are in files already
+                while first < len(ends):
+                    # The file ends with the text that fills it.
+                    full = np.searchsorted(ends, done + file_ids - size)
+                    upto = min(full + 1, len(ends))
+                    docs_held += ids_of_docs[doc + first:doc + upto]
+                    lengths += np.diff(ends[first:upto], prepend=done).tolist()
+                    held.append(flat[done:ends[upto - 1]])
+                    size += int(ends[upto - 1]) - done
+                    first, done = upto, int(ends[upto - 1])
+                    if size >= file_ids:
+                        yield flush()
+                        docs_held, lengths, held, size, file = [], [], [], 0, file + 1
+                doc += len(ends)
+        if docs_held:
             yield flush()
 
     # Encoding is bound by the processor: no coalescing of its partitions by size.
@@ -166,7 +181,7 @@ def _documents(files: DataFrame, last: str, of_ids) -> DataFrame:
             for shard, file, data in zip(batch["shard"], batch["file"], batch["data"]):
                 rows, size = [], 0
                 for doc, place, ids in TokenFile(data).documents():
-                    rows.append((shard, file, doc, place, *of_ids(ids.tobytes())))
+                    rows.append((shard, file, doc, place, *of_ids(ids)))
                     size += len(ids)
                     if size > 1 << 20:
                         yield frame(rows)
@@ -180,7 +195,7 @@ def _documents(files: DataFrame, last: str, of_ids) -> DataFrame:
 
 def read_documents(files: DataFrame) -> DataFrame:
     """``(shard, file, doc_id, place, ids binary)`` for every document of the files."""
-    return _documents(files, "ids binary", lambda ids: (ids,))
+    return _documents(files, "ids binary", lambda ids: (ids.tobytes(),))
 
 
 def file_starts(files: DataFrame) -> DataFrame:
@@ -201,7 +216,7 @@ def file_starts(files: DataFrame) -> DataFrame:
 def document_digests(files: DataFrame) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` read back from the files."""
     read = _documents(files, "n_tokens long, ids_crc32 long",
-                      lambda ids: (len(ids) // 4, zlib.crc32(ids)))
+                      lambda ids: (len(ids), zlib.crc32(ids)))
     return read.join(file_starts(files), ["shard", "file"]).select(
         "doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
