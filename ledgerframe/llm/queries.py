@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerframe.llm import (binary_packing, chat, embedding_dedup, mtree, packing, periodic_runs, pii,
-                             quality_lm, sentencepiece_fst, simhash, token_files, toxicity)
+from ledgerframe.llm import (alignment, binary_packing, chat, embedding_dedup, mtree, packing, periodic_runs,
+                             pii, quality_lm, sentencepiece_fst, simhash, token_files, toxicity)
 from ledgerframe.llm.oracles import ORACLE  # noqa: F401
 from ledgerframe.llm.common import table
 
@@ -77,6 +77,11 @@ def op10_mtree_top_k(spark, sf_dir):
     return mtree.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", k=10, scale=1024)
 
 
+@query
+def op11_token_alignment(spark, sf_dir):
+    return alignment.digests(table(spark, sf_dir, "documents"))
+
+
 def repeat_tails(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
     """The text with a periodic tail for one document in ten (by crc32 of the decimal id), as the
     registered query's contract plants them; other texts stay as they are."""
