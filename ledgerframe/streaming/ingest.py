@@ -1,27 +1,59 @@
-"""Incremental fact ingestion (T3): newly landed company-facts files are
-parsed, appended to the raw-fact store, and the metrics of the companies they
-touch are recomputed from all of those companies' facts and upserted into the
-metrics table (S4 snapshots).
+"""Incremental fact ingestion (T3): newly landed company-facts files are parsed and
+appended to the raw-fact store, and the metrics and filings of the companies they touch
+are recomputed from all of those companies' facts and upserted into keyed tables (S4).
+
+A micro-batch reads the facts of the hash buckets its companies lie in and writes as many
+rows as those companies have: neither grows with the rest of the store.
 
 Replay safety: each micro-batch writes its facts to its own ``run=<checkpoint>/epoch=<id>``
-folder with overwrite, so a batch that Spark re-runs after a failure replaces
-its own output instead of duplicating it; the upsert is idempotent. Derived
-rows (Q4, fallback liabilities) are recomputed for touched companies only;
-rows that a correction removes are not deleted (the upsert never deletes).
+folder with overwrite, so a batch that Spark re-runs after a failure replaces its own output
+instead of duplicating it; the tables know the batches they hold. Derived rows (Q4, fallback
+liabilities) are recomputed for touched companies only; rows that a correction removes are not
+deleted (the upsert never deletes).
 """
 
 from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerframe.sources import sinks
-from ledgerframe.sources.company_facts import load_metrics, parse_company_facts
+from ledgerframe.operators import derived, periods
+from ledgerframe.sources.company_facts import facts_to_raw, load_metrics, parse_company_facts
+from ledgerframe.sources.keyed_table import KeyedTable
+
+FACT_BUCKETS = 64
+
+
+def metrics_table(spark: SparkSession, store_dir: str) -> KeyedTable:
+    """All of a metric row's values follow the newest load."""
+    return KeyedTable(spark, f"{store_dir}/metrics", ["company_id", "metric", "fiscal_year", "fiscal_period"],
+                      ["value", "unit", "accn", "start_date", "end_date"])
+
+
+def filings_table(spark: SparkSession, store_dir: str) -> KeyedTable:
+    """A filing that is known only takes a new filing date."""
+    return KeyedTable(spark, f"{store_dir}/filings", ["accn"], ["filed"])
+
 
-METRIC_KEYS = ["company_id", "metric", "fiscal_year", "fiscal_period"]
-METRIC_UPDATES = ["value", "unit", "accn", "start_date", "end_date"]
+def companies_table(spark: SparkSession, store_dir: str) -> KeyedTable:
+    """Ticker, name and industry follow the newest load."""
+    return KeyedTable(spark, f"{store_dir}/companies", ["cik"], ["ticker", "name", "sic_description"])
+
+
+def upsert_companies(spark: SparkSession, store_dir: str, tickers: DataFrame, submissions: DataFrame,
+                     batch: tuple[str, int] | None = None) -> dict:
+    """Companies of the ticker map (S2) with their industry (S3); of a company's several
+    tickers the first one of the map counts."""
+    first = tickers.groupBy("cik").agg(F.min_by(F.struct("ticker", "title"), "rank").alias("t"))
+    rows = first.join(submissions.dropDuplicates(["cik"]), "cik", "left").select(
+        "cik", "t.ticker", F.col("t.title").alias("name"), "sic_description")
+    return companies_table(spark, store_dir).upsert(rows, batch)
+
+
+def _fact_bucket(cik: Column) -> Column:
+    return F.pmod(F.xxhash64(cik), F.lit(FACT_BUCKETS)).cast("int")
 
 
 def process_batch(spark: SparkSession, docs: DataFrame, epoch_id: int, store_dir: str, fy_min: int,
@@ -29,14 +61,30 @@ def process_batch(spark: SparkSession, docs: DataFrame, epoch_id: int, store_dir
     digits = F.regexp_extract("file_name", r"(\d+)", 1)
     docs = docs.select(F.when(digits != "", F.lpad(digits, 10, "0")).alias("cik"), "file_name", "body")
     facts, quarantine = parse_company_facts(docs)
-    facts.write.mode("overwrite").parquet(f"{store_dir}/facts/run={run}/epoch={epoch_id}")
-    quarantine.write.mode("overwrite").parquet(f"{store_dir}/quarantine/run={run}/epoch={epoch_id}")
-    all_facts = spark.read.parquet(f"{store_dir}/facts")
-    touched = all_facts.where((F.col("run").cast("string") == run) & (F.col("epoch") == epoch_id)).select("cik").distinct()
+    own = f"run={run}/epoch={epoch_id}"
+    facts.withColumn("bucket", _fact_bucket(F.col("cik"))).hint("rebalance", "bucket").write.mode(
+        "overwrite").partitionBy("bucket").parquet(f"{store_dir}/facts/{own}")
+    quarantine.write.mode("overwrite").parquet(f"{store_dir}/quarantine/{own}")
+    # With an explicit schema: a batch without any fact leaves no file to infer one from.
+    all_facts = spark.read.schema(f"{_ddl(facts)}, run string, epoch long, bucket int").parquet(f"{store_dir}/facts")
+    landed = all_facts.where((F.col("run") == run) & (F.col("epoch") == epoch_id))
+    # At most FACT_BUCKETS numbers: they prune the scan of the store.
+    buckets = [r["bucket"] for r in landed.select("bucket").distinct().collect()]
+    if not buckets:
+        return
     # Facts of a company may arrive in several files: recompute from all of them.
-    facts_of_touched = all_facts.join(touched, "cik", "left_semi").drop("run", "epoch")
-    metrics = load_metrics(facts_of_touched, fy_min, fy_max)
-    sinks.upsert_snapshot(spark, f"{store_dir}/metrics", metrics, METRIC_KEYS, METRIC_UPDATES)
+    touched = all_facts.where(F.col("bucket").isin(buckets)).join(
+        landed.select("cik").distinct(), "cik", "left_semi").drop("run", "epoch", "bucket")
+    metrics_table(spark, store_dir).upsert(load_metrics(touched, fy_min, fy_max), (run, epoch_id))
+    usable = periods.usable_facts(facts_to_raw(touched), fy_min, fy_max)
+    merged = periods.merge_tags(periods.select_periods(usable, tiebreak=("ord",)))
+    filings_table(spark, store_dir).upsert(derived.extract_filings(merged), (run, epoch_id))
+    for table in (metrics_table(spark, store_dir), filings_table(spark, store_dir)):
+        table.compact()
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
 
 
 def start_ingest(spark: SparkSession, landing_dir: str, store_dir: str, checkpoint: str, fy_min: int,
@@ -53,4 +101,4 @@ def start_ingest(spark: SparkSession, landing_dir: str, store_dir: str, checkpoi
 
 
 def current_metrics(spark: SparkSession, store_dir: str) -> DataFrame:
-    return spark.read.parquet(sinks.current_snapshot(spark, f"{store_dir}/metrics"))
+    return metrics_table(spark, store_dir).read()
