@@ -36,7 +36,7 @@ from ledgerframe.llm.common import stored, text_or_empty
 from ledgerframe.llm.token_ids import byte_letters, byte_ranks
 
 #: Characters of the texts that are aligned together (a longer text alone).
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 2_000_000
 #: About as many A tokens are in a lane of a long document.
 LANE_TOKENS = 256
 #: Tokens after the wanted place that are tried for the end of a lane.
