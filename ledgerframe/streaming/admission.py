@@ -7,10 +7,9 @@ key lie in the preceding window; refused hits are not recorded; a hit exactly
 The rule is a recurrence over each key's hits in time order, so it runs where
 each key's hits are met in order with bounded state: the streaming operator
 keeps at most ``limit`` admission times per key (``applyInPandasWithState``,
-with an idle timeout that drops the state of quiet keys). The batch twin cuts
-every key's history at gaps longer than the window - the state is empty there,
-so the pieces are independent - and runs each piece through the same
-function with ``applyInPandas``.
+with an idle timeout that drops the state of quiet keys). The batch twin cuts every key's
+history into time chunks, whose effect on any state is a small table, and composes these
+(:mod:`ledgerframe.streaming.admission_chunks`).
 """
 
 from __future__ import annotations
@@ -24,6 +23,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerframe.session import checkpoint_dir
+from ledgerframe.streaming import admission_chunks as chunks
+
 
 def hits_in_window(events: DataFrame, key: str = "user_id", ts: str = "ts",
                    window_seconds: int = 60) -> DataFrame:
@@ -63,25 +65,95 @@ def admit_sequence(times_us: np.ndarray, limit: int, window_us: int,
 ADMIT_SCHEMA = "event_id long, key long, ts timestamp_ntz, admitted boolean"
 
 
+#: Windows in a chunk of the batch twin, and chunks whose maps one task composes.
+CHUNK_WINDOWS, CHUNKS_TOGETHER = 8, 64
+MAPS = "key long, pos long, at binary, count binary, last binary"
+STATES = "key long, pos long, state binary"
+
+
+def _pack(key, pos: int, table: tuple[np.ndarray, ...]) -> dict:
+    return {"key": key, "pos": pos, **{n: x.astype("<i8").tobytes() for n, x in zip(("at", "count", "last"), table)}}
+
+
+def _unpack(row, limit: int) -> tuple[np.ndarray, ...]:
+    at, count, last = (np.frombuffer(getattr(row, n), "<i8") for n in ("at", "count", "last"))
+    return at, count, last.reshape(-1, limit)
+
+
 def admission_batch(events: DataFrame, key: str = "user_id", ts: str = "ts", order: str = "event_id",
-                    limit: int = 3, window_seconds: int = 60) -> DataFrame:
-    """T1 batch twin: (event_id, key, ts, admitted) for every hit."""
+                    limit: int = 3, window_seconds: int = 60, chunk_windows: int = CHUNK_WINDOWS,
+                    together: int = CHUNKS_TOGETHER) -> DataFrame:
+    """T1 batch twin: (event_id, key, ts, admitted) for every hit.
+
+    A key's hits are cut into time chunks of ``chunk_windows`` windows. Each chunk's map from
+    the state before it to the state behind it is computed in a task of its own
+    (:mod:`ledgerframe.streaming.admission_chunks`); maps are composed ``together`` at a time, level
+    by level; the states then go back down the levels, and every chunk is replayed from its own.
+    A key with a third of all hits runs in as many tasks as it has chunks; a task holds the
+    hits of one chunk, or ``together`` maps. ``limit`` is 1 at least; hits without a time or
+    key are refused."""
+    if limit < 1 or chunk_windows < 1 or together < 2:
+        raise ValueError("limit and chunk_windows are 1 at least, together 2")
     window_us = window_seconds * 1_000_000
+    span = chunk_windows * window_us
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     e = events.select(F.col(order).alias("event_id"), F.col(key).alias("key"), F.col(ts).alias("ts"),
                       micros.alias("us"))
-    # Pieces: a new piece starts after a gap longer than the window.
-    w = Window.partitionBy("key").orderBy("us", "event_id")
-    gap = (F.col("us") - F.lag("us").over(w)) > window_us
-    pieces = e.withColumn("piece", F.sum(F.coalesce(gap, F.lit(False)).cast("int")).over(w))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    known = F.col("us").isNotNull() & F.col("key").isNotNull()
+    refused = e.where(~known).select("event_id", "key", "ts", F.lit(False).alias("admitted"))
+    hits = e.where(known).withColumn("pos", F.floor(F.col("us") / F.lit(span)))
+
+    def chunk_map(pdf: pd.DataFrame) -> pd.DataFrame:
+        k, pos = pdf["key"].iloc[0], int(pdf["pos"].iloc[0])
+        times = np.sort(pdf["us"].to_numpy())
+        return pd.DataFrame([_pack(k, pos, chunks.chunk_table(times, pos * span, limit, window_us))])
+
+    def compose_maps(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        whole = None
+        for row in pdf.itertuples():
+            table = _unpack(row, limit)
+            whole = table if whole is None else chunks.compose(whole, table, window_us)
+        return pd.DataFrame([_pack(pdf["key"].iloc[0], int(pdf["group"].iloc[0]), whole)])
+
+    def split_states(maps: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        # Without a state from above, a key's chunks begin with none.
+        state = (np.frombuffer(above["state"].iloc[0], "<i8") if len(above) else
+                 np.full(limit, chunks.NONE, np.int64)).reshape(1, limit)
+        rows = []
+        for row in maps.sort_values("pos").itertuples():
+            rows.append({"key": row.key, "pos": row.pos, "state": state.astype("<i8").tobytes()})
+            _, state = chunks.step_states(state, _unpack(row, limit), window_us)
+        return pd.DataFrame(rows, columns=["key", "pos", "state"])
+
+    def replay(pdf: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["us", "event_id"], kind="stable")
-        ok, _ = admit_sequence(pdf["us"].to_numpy(), limit, window_us)
+        state = np.frombuffer(before["state"].iloc[0], "<i8")
+        held = deque(int(t) for t in state[::-1] if t > chunks.NONE)
+        ok, _ = admit_sequence(pdf["us"].to_numpy(), limit, window_us, held)
         return pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "key": pdf["key"].to_numpy(),
                              "ts": pdf["ts"].to_numpy(), "admitted": ok})
 
-    return pieces.groupBy("key", "piece").applyInPandas(run, ADMIT_SCHEMA)
+    group = F.floor(F.col("pos") / F.lit(together))
+    levels = [_kept(hits.groupBy("key", "pos").applyInPandas(chunk_map, MAPS))]
+    first, last = levels[0].agg(F.min("pos"), F.max("pos")).first()
+    while first is not None and first != last:
+        levels.append(_kept(levels[-1].withColumn("group", group).groupBy("key", "group").applyInPandas(
+            compose_maps, MAPS)))
+        first, last = first // together, last // together
+    # The topmost level has one map per key, which begins with no state.
+    states = levels[-1].select("key", "pos", F.lit(None).cast("binary").alias("state")).where("false")
+    for maps in reversed(levels):
+        states = maps.withColumn("group", group).groupBy("key", "group").cogroup(
+            states.withColumnRenamed("pos", "group").groupBy("key", "group")).applyInPandas(split_states, STATES)
+    return hits.groupBy("key", "pos").cogroup(states.groupBy("key", "pos")).applyInPandas(
+        replay, ADMIT_SCHEMA).unionByName(refused)
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """Written to the shared checkpoint folder: each level is read twice."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
 
 
 STATE_SCHEMA = T.StructType([T.StructField("admitted_us", T.ArrayType(T.LongType()))])
