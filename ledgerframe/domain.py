@@ -52,6 +52,11 @@ UNITS = ["USD", "USD/share"]
 ANNUAL_DURATION_DAYS = (330, 380)
 QUARTERLY_DURATION_DAYS = (70, 100)
 FISCAL_YEAR_MIN = 2020
+# Tickers loaded when neither a list nor a number of companies is asked for.
+DEFAULT_TICKERS = [
+    "AAPL", "MSFT", "GOOGL", "AMZN", "NVDA", "META", "TSLA", "JPM", "BAC", "GS", "V", "MA",
+    "WMT", "COST", "HD", "KO", "PEP", "MCD", "XOM", "CVX", "JNJ", "PFE", "UNH", "DIS", "NFLX",
+]
 # Attempt outcomes of a question, and the request-size bounds.
 OUTCOMES = ["success", "guard_rejected", "execution_error", "empty_result", "unanswerable"]
 QUESTION_MIN_CHARS = 3

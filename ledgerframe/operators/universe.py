@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerframe import domain
+
 
 def top_n_universe(ticker_map: DataFrame, n: int) -> DataFrame:
     """By rank, the first ticker of each CIK (share classes collapse onto
@@ -49,6 +51,18 @@ def resolve_universe(requested: DataFrame, ticker_map: DataFrame) -> DataFrame:
                     F.col("b.cik").alias("cik"), F.col("b.title").alias("title"))
 
 
+def choose_universe(spark: SparkSession, ticker_map: DataFrame, tickers: Sequence[str] | None = None,
+                    top_n: int | None = None, default: Sequence[str] = tuple(domain.DEFAULT_TICKERS)) -> DataFrame:
+    """E5 in the order of the load: explicit ``tickers`` if any are given, else the ``top_n`` companies of the
+    map, else the ``default`` list. (ticker, found, cik, title) as :func:`resolve_universe`."""
+    if tickers:
+        return resolve_universe(requested_tickers(spark, tickers), ticker_map)
+    if top_n:
+        top = top_n_universe(ticker_map, top_n)
+        return top.select("ticker", F.lit(True).alias("found"), "cik", "title")
+    return resolve_universe(requested_tickers(spark, default), ticker_map)
+
+
 def found_and_missing(requested: DataFrame, ticker_map: DataFrame) -> tuple[DataFrame, DataFrame]:
     """E5 as two outputs: ``left_semi`` for found, ``left_anti`` for not found."""
     keys = ticker_map.select("ticker")

@@ -1,5 +1,5 @@
-"""Incremental fact ingestion (T3): newly landed company-facts files are parsed and
-appended to the raw-fact store, and the metrics and filings of the companies they touch
+"""Incremental fact ingestion (T3): newly landed company-facts files are parsed once and
+appended to the raw-fact store, with the rejected entries and why, and the metrics and filings of the companies they touch
 are recomputed from all of those companies' facts and upserted into keyed tables (S4).
 
 A micro-batch reads the facts of the hash buckets its companies lie in and writes as many
@@ -20,10 +20,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerframe.operators import derived, periods
-from ledgerframe.sources.company_facts import facts_to_raw, load_metrics, parse_company_facts
+from ledgerframe.sources.company_facts import (FACT_COLUMNS, facts_to_raw, landed_entries, load_metrics,
+                                               quarantine_of)
 from ledgerframe.sources.keyed_table import KeyedTable
 
 FACT_BUCKETS = 64
+ENTRIES = ("cik string, tag string, unit string, fy int, fp string, form string, start_date date, end_date date, "
+           "filed date, accn string, val decimal(38,10), ord int, file_name string, reason string, raw string")
 
 
 def metrics_table(spark: SparkSession, store_dir: str) -> KeyedTable:
@@ -60,13 +63,14 @@ def process_batch(spark: SparkSession, docs: DataFrame, epoch_id: int, store_dir
                   fy_max: int, run: str = "0") -> None:
     digits = F.regexp_extract("file_name", r"(\d+)", 1)
     docs = docs.select(F.when(digits != "", F.lpad(digits, 10, "0")).alias("cik"), "file_name", "body")
-    facts, quarantine = parse_company_facts(docs)
+    entries = landed_entries(docs)
     own = f"run={run}/epoch={epoch_id}"
-    facts.withColumn("bucket", _fact_bucket(F.col("cik"))).hint("rebalance", "bucket").write.mode(
-        "overwrite").partitionBy("bucket").parquet(f"{store_dir}/facts/{own}")
-    quarantine.write.mode("overwrite").parquet(f"{store_dir}/quarantine/{own}")
-    # With an explicit schema: a batch without any fact leaves no file to infer one from.
-    all_facts = spark.read.schema(f"{_ddl(facts)}, run string, epoch long, bucket int").parquet(f"{store_dir}/facts")
+    bucket = F.coalesce(_fact_bucket(F.col("cik")), F.lit(0))
+    entries.withColumn("rejected", F.col("reason").isNotNull()).withColumn("bucket", bucket).hint(
+        "rebalance", "rejected", "bucket").write.mode("overwrite").partitionBy("rejected", "bucket").parquet(
+        f"{store_dir}/facts/{own}")
+    stored = stored_entries(spark, store_dir)
+    all_facts = stored.where("not rejected")
     landed = all_facts.where((F.col("run") == run) & (F.col("epoch") == epoch_id))
     # At most FACT_BUCKETS numbers: they prune the scan of the store.
     buckets = [r["bucket"] for r in landed.select("bucket").distinct().collect()]
@@ -74,7 +78,7 @@ def process_batch(spark: SparkSession, docs: DataFrame, epoch_id: int, store_dir
         return
     # Facts of a company may arrive in several files: recompute from all of them.
     touched = all_facts.where(F.col("bucket").isin(buckets)).join(
-        landed.select("cik").distinct(), "cik", "left_semi").drop("run", "epoch", "bucket")
+        landed.select("cik").distinct(), "cik", "left_semi").select(*FACT_COLUMNS)
     metrics_table(spark, store_dir).upsert(load_metrics(touched, fy_min, fy_max), (run, epoch_id))
     usable = periods.usable_facts(facts_to_raw(touched), fy_min, fy_max)
     merged = periods.merge_tags(periods.select_periods(usable, tiebreak=("ord",)))
@@ -83,8 +87,16 @@ def process_batch(spark: SparkSession, docs: DataFrame, epoch_id: int, store_dir
         table.compact()
 
 
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+def stored_entries(spark: SparkSession, store_dir: str) -> DataFrame:
+    """All entries that landed, by run, epoch, rejected and bucket. With an explicit schema: a batch
+    without any entry leaves no file to infer one from."""
+    return spark.read.schema(f"{ENTRIES}, run string, epoch long, rejected boolean, bucket int").parquet(
+        f"{store_dir}/facts")
+
+
+def rejected(spark: SparkSession, store_dir: str) -> DataFrame:
+    """The entries and documents that were rejected, and why."""
+    return quarantine_of(stored_entries(spark, store_dir).where("rejected"))
 
 
 def start_ingest(spark: SparkSession, landing_dir: str, store_dir: str, checkpoint: str, fy_min: int,

@@ -106,3 +106,47 @@ def test_submissions_empty_is_null(spark, tmp_path):
     (d / "CIK0000000002.json").write_text(json.dumps({"sicDescription": ""}))
     got = {r["cik"]: r["sic_description"] for r in cf.read_submissions(spark, str(d)).collect()}
     assert got == {"0000000001": "Electronic Computers", "0000000002": None}
+
+
+def test_bad_entries_are_listed_and_leave_the_rest(spark, tmp_path):
+    good = entry("2022-01-01", "2022-12-31", 200, "b-22", 2022, "FY", "10-K", "2023-02-01")
+    bad = [{**good, "val": "lots"}, {k: v for k, v in good.items() if k != "accn"}, {**good, "filed": "soon"},
+           {**good, "fy": None}, 7, {**good, "start": "never"}]
+    body = doc({"Revenues": {"USD": [bad[0], good, *bad[1:]], "EUR": "none"}, "Assets": {"USD": []}})
+    body["facts"]["us-gaap"]["Odd"] = {"label": "no units"}
+    (tmp_path / "CIK0000000001.json").write_text(json.dumps(body))
+    (tmp_path / "CIK0000000002.json").write_text(json.dumps({"facts": {}}))
+    (tmp_path / "CIK0000000003.json").write_text("[1, 2]")
+    (tmp_path / "nameless.json").write_text(json.dumps(body))
+    facts, quarantine = cf.read_company_facts(spark, str(tmp_path))
+    assert [(r["cik"], r["tag"], r["ord"], float(r["val"])) for r in facts.collect()] == [("0000000001", "Revenues", 1, 200.0)]
+    got = sorted((r["cik"], r["tag"], r["unit"], r["ord"], r["reason"]) for r in quarantine.where("cik is not null").collect()
+                 if r["ord"] is not None)
+    assert got == [("0000000001", "Revenues", "USD", k, why) for k, why in (
+        (0, "bad val"), (2, "missing accn"), (3, "bad filed"), (4, "missing fy"), (5, "missing end"), (6, "bad start"))]
+    rest = {(r["cik"], r["tag"], r["reason"]) for r in quarantine.where("ord is null").collect()}
+    assert rest == {("0000000001", "Revenues", "unit without entries"), ("0000000001", "Odd", "tag without units"),
+                    ("0000000003", None, "malformed company facts"), (None, None, "no CIK in file name")}
+    raw = {r["ord"]: json.loads(r["raw"]) for r in quarantine.where("cik = '0000000001' and ord is not null").collect()}
+    assert raw[0] == bad[0] and raw[5] == 7
+
+
+def test_load_reads_the_documents_once(spark, tmp_path):
+    facts, _ = cf.read_company_facts(spark, write_facts(tmp_path))
+    plan = cf.load_metrics(facts, 2020, 2024)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
+def test_universe_order(spark):
+    tm = spark.createDataFrame([(0, "1", "NVDA", "N"), (1, "2", "GOOGL", "A"), (2, "2", "GOOG", "A"), (3, "3", "AAPL", "P")],
+                               "rank int, cik string, ticker string, title string")
+    def rows(**asked):
+        return sorted((r["ticker"], r["found"]) for r in universe.choose_universe(spark, tm, **asked).collect())
+    assert rows(tickers=["aapl", "none"], top_n=1) == [("AAPL", True), ("NONE", False)]
+    assert rows(tickers=[], top_n=2) == [("GOOGL", True), ("NVDA", True)]
+    assert rows(default=["GOOG", "X"]) == [("GOOG", True), ("X", False)]
+    found = rows()
+    assert len(found) == 25 and [t for t, f in found if f] == ["AAPL", "GOOGL", "NVDA"]
+    asked = universe.requested_tickers(spark, ["goog", "zz"])
+    have, lack = universe.found_and_missing(asked, tm)
+    assert [r[0] for r in have.collect()] == ["GOOG"] and [r[0] for r in lack.collect()] == ["ZZ"]
