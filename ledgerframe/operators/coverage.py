@@ -53,24 +53,32 @@ def broad_coverage(fm: DataFrame, threshold: float = 0.5, metric: str | None = N
 
 def coverage_document(fm: DataFrame, companies: DataFrame, threshold: float = 0.5,
                       metric: str | None = None) -> DataFrame:
-    """The figures of A9-A11 rendered into the coverage text."""
-    stats = coverage_stats(fm, companies)
-    latest_fy = companies_with_latest_fy(fm, metric)
-    broad = broad_coverage(fm, threshold, metric)
-    row = stats.select(
-        "*", latest_fy.select("n_with_fy_latest").scalar().alias("n_with_fy_latest"),
-        broad.select("peak_fy_companies").scalar().alias("peak_fy_companies"),
-        broad.select("last_broad_year").scalar().alias("last_broad_year"))
+    """The figures of A9-A11 rendered into the coverage text. The metrics table is read once: one
+    row per loaded year, from which the peak and the last broad year follow."""
+    full = F.col("fiscal_period") == "FY" if metric is None else (
+        (F.col("fiscal_period") == "FY") & (F.col("metric") == metric))
+    years = fm.groupBy("fiscal_year").agg(
+        F.count("*").alias("rows"), F.count_distinct(F.when(full, F.col("company_id"))).alias("full"))
+    # A handful of years: gathered into one array.
+    loaded = years.agg(F.array_sort(F.collect_list(F.struct("fiscal_year", "rows", "full"))).alias("years"))
+    first, last = F.get("years", F.lit(0)), F.element_at("years", -1)
+    peak = F.array_max(F.transform("years", lambda y: y["full"]))
+    figures = loaded.where(F.size("years") > 0).select(
+        first["fiscal_year"].alias("year_min"), last["fiscal_year"].alias("year_max"), last["full"].alias("n_latest"),
+        F.aggregate("years", F.lit(0).cast("long"), lambda acc, y: acc + y["rows"]).alias("n_rows"),
+        F.transform(F.filter("years", lambda y: (y["full"] > 0) & (y["full"] >= peak * F.lit(threshold))),
+                    lambda y: y["fiscal_year"]).alias("broad"))
+    c = companies.agg(F.count("*").alias("n_companies"), F.count_distinct("sic_description").alias("n_industries"))
+    row = figures.select("*", c.select("n_companies").scalar().alias("n_companies"),
+                         c.select("n_industries").scalar().alias("n_industries"),
+                         F.coalesce(F.array_max("broad"), "year_max").alias("last_broad"))
     text = F.format_string(
-        "Data coverage, generated from the data.\n"
-        "- Companies: %d, spanning %d industry classifications.\n"
-        "- Fiscal years loaded: %d through %d.\n"
-        "- Rows in financial_metrics: %d.\n"
-        "- Fiscal year %d is PARTIAL: only %d of %d companies have a full-year ('FY') row for it.\n"
-        "- The most recent fiscal year with broad full-year coverage is %d.\n"
-        "- A question about a year outside %d-%d is not answerable from this data.",
-        "n_companies", "n_industries", "year_min", "year_max", "n_rows", "year_max",
-        "n_with_fy_latest", "n_companies", "last_broad_year", "year_min", "year_max")
-    return row.select(F.lit("glossary").alias("doc_type"),
-                      F.lit("data coverage: companies, years, and partial-year caveat").alias("title"),
+        "What is loaded, counted in the tables:\n"
+        "* %d companies in %d industries, %d metric rows\n"
+        "* fiscal years %d to %d; nothing outside them can be answered\n"
+        "* annual rows for %d: %d of %d companies so far\n"
+        "* latest year that most companies have closed: %d",
+        "n_companies", "n_industries", "n_rows", "year_min", "year_max", "year_max", "n_latest", "n_companies",
+        "last_broad")
+    return row.select(F.lit("glossary").alias("doc_type"), F.lit("what is loaded: companies and fiscal years").alias("title"),
                       text.alias("content"))

@@ -1,14 +1,11 @@
-"""Retrieval over vectors: embedding (R1), exact cosine top-k (R2),
-approximate top-k (R3) and context packs (R4).
-
-Exact top-k is inherently "every query against every document". It is run so
-that no (query, document) pair ever becomes a row: the query side - a batch of
-questions, size-checked before it is broadcast - is scored against each Arrow
-batch of documents with one matrix product inside ``mapInPandas``, and only the
-batch-local top-k per query leaves the task. A per-query ``row_number`` then
-merges at most k rows per query and task (Spark adds a partial
-WindowGroupLimit before the shuffle). Query sets over the broadcast budget are
-scored in several size-checked slices instead of one.
+"""Retrieval over vectors: embedding (R1), exact cosine top-k (R2), top-k through a stored
+index (R3, :mod:`ledgerframe.operators.vector_index`) and context packs (R4).
+
+Exact top-k is inherently "every query against every document". No (query, document) pair
+becomes a row: queries and documents are dealt into blocks of bounded size, each pair of blocks
+is scored in one task with matrix products, and only a running top-k per query leaves it. A
+per-query ``row_number`` merges at most k rows per query and block (Spark adds a partial
+WindowGroupLimit before the shuffle).
 """
 
 from __future__ import annotations
@@ -77,6 +74,21 @@ def embed_documents(df: DataFrame, text_col: str = "text", dim: int = 64,
 
 
 # ------------------------------------------------------------------ R2
+def usable(df: DataFrame, key: str, name: str, vec: str) -> DataFrame:
+    """``(name, vec, dim)`` of the rows whose vector has a cosine with something."""
+    return df.select(F.col(key).cast("long").alias(name), F.col(vec).cast("array<double>").alias("vec")).where(
+        "vec is not null and exists(vec, x -> x <> 0) and "
+        "forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
+    ).withColumn("dim", F.size("vec"))
+
+
+def unit_rows(vectors: list) -> np.ndarray:
+    """The vectors at length 1; scaled first, for the squares of very large or small numbers."""
+    x = np.array(vectors, np.float64)
+    x /= np.abs(x).max(axis=1)[:, None]
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
 def _local_topk(k: int):
     """One block of queries against one block of documents: k rows per query leave."""
     def run(queries: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
@@ -84,14 +96,13 @@ def _local_topk(k: int):
         if not len(queries) or not len(docs):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "doc_id": pd.Series(dtype="int64"),
                                  "similarity": pd.Series(dtype="float64")})
-        q = np.array(queries["vec"].tolist(), np.float64)
-        q /= np.linalg.norm(q, axis=1)[:, None]
+        q = unit_rows(queries["vec"].tolist())
         docs = docs.sort_values("doc_id")
         dids, qids = docs["doc_id"].to_numpy(), queries["query_id"].to_numpy()
         best_sim, best_id = np.empty((len(q), 0)), np.empty((len(q), 0), np.int64)
         for at in range(0, len(docs), SCORE_ROWS):
-            d = np.array(docs["vec"].iloc[at:at + SCORE_ROWS].tolist(), np.float64)
-            sim = q @ (d / np.linalg.norm(d, axis=1)[:, None]).T
+            d = unit_rows(docs["vec"].iloc[at:at + SCORE_ROWS].tolist())
+            sim = q @ d.T
             sim = np.hstack([best_sim, sim])
             ids = np.hstack([best_id, np.broadcast_to(dids[at:at + SCORE_ROWS], (len(q), len(d)))])
             top = np.argsort(-sim, axis=1, kind="stable")[:, :k]  # ids rise, so ties keep the smaller
@@ -103,7 +114,8 @@ def _local_topk(k: int):
 
 def topk_cosine(queries: DataFrame, docs: DataFrame, k: int = domain.RETRIEVAL_TOP_K,
                 query_id: str = "query_id", doc_id: str = "doc_id", vec: str = "embedding",
-                query_rows: int = QUERY_BLOCK_ROWS, doc_rows: int = DOC_BLOCK_ROWS) -> DataFrame:
+                query_rows: int = QUERY_BLOCK_ROWS, doc_rows: int = DOC_BLOCK_ROWS,
+                but_own: bool = False) -> DataFrame:
     """R2: exact top-k by cosine similarity (= 1 - cosine distance) per query:
     (query_id, doc_id, similarity, rank), similarity descending, doc id ascending on
     ties. NULL, empty and zero vectors and vectors with NULL or non-finite components
@@ -111,18 +123,12 @@ def topk_cosine(queries: DataFrame, docs: DataFrame, k: int = domain.RETRIEVAL_T
 
     Queries and documents are dealt into blocks of bounded size by hash; each pair of
     blocks meets in one task and returns k rows per query. Only block counts per vector
-    length reach the plan, as a join; nothing passes through the driver."""
-    def usable(df: DataFrame, key: str, name: str) -> DataFrame:
-        v = F.col(vec).cast("array<double>")
-        return df.select(F.col(key).cast("long").alias(name), v.alias("vec")).where(
-            "vec is not null and exists(vec, x -> x <> 0) and "
-            "forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
-        ).withColumn("dim", F.size("vec"))
-
+    length reach the plan, as a join; nothing passes through the driver. ``but_own`` leaves out
+    documents with the query's own id (queries that are documents themselves)."""
     def blocks(df: DataFrame, rows: int, name: str) -> DataFrame:
         return df.groupBy("dim").agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
 
-    q, d = usable(queries, query_id, "query_id"), usable(docs, doc_id, "doc_id")
+    q, d = usable(queries, query_id, "query_id", vec), usable(docs, doc_id, "doc_id", vec)
     sizes = blocks(q, query_rows, "q_blocks").join(blocks(d, doc_rows, "d_blocks"), "dim")
 
     def dealt(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
@@ -132,76 +138,18 @@ def topk_cosine(queries: DataFrame, docs: DataFrame, k: int = domain.RETRIEVAL_T
 
     keys = ["dim", "q", "d"]
     cand = dealt(q, "query_id", "q_blocks", "d_blocks").groupBy(*keys).cogroup(
-        dealt(d, "doc_id", "d_blocks", "q_blocks").groupBy(*keys)).applyInPandas(_local_topk(k), TOPK_SCHEMA)
+        dealt(d, "doc_id", "d_blocks", "q_blocks").groupBy(*keys)).applyInPandas(_local_topk(k + but_own), TOPK_SCHEMA)
+    if but_own:
+        cand = cand.where("query_id <> doc_id")
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("doc_id").asc())
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 # ------------------------------------------------------------------ R3
-def _unit(col: str) -> F.Column:
-    arr = F.transform(F.col(col), lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.when(norm > 0, F.transform(arr, lambda x: x / norm))
-
-
-def _dot(a: F.Column, b: F.Column) -> F.Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-
-
-def build_cells(docs: DataFrame, n_cells: int = 10, doc_id: str = "doc_id", vec: str = "embedding",
-                seed: int = 7, max_iter: int = 20):
-    """R3 index: k-means over unit document vectors (Spark ML, distributed).
-    Returns (model, docs with ``cell``)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-    d = (docs.select(F.col(doc_id).cast("long").alias("doc_id"), _unit(vec).alias("unit"))
-         .where(F.col("unit").isNotNull())
-         .withColumn("features", array_to_vector("unit")))
-    model = KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="features",
-                   predictionCol="cell").fit(d)
-    return model, model.transform(d).select("doc_id", "unit", "cell")
-
-
-def approx_candidates(queries: DataFrame, docs: DataFrame, n_cells: int = 10, probes: int = 3,
-                      query_id: str = "query_id", doc_id: str = "doc_id", vec: str = "embedding",
-                      seed: int = 7) -> DataFrame:
-    """R3 candidates: each query probes its ``probes`` nearest k-means cells;
-    the candidates are the documents of those cells (an equi-join on the cell
-    id), scored exactly. The centroids (n_cells x dim, a fixed size) travel as
-    a literal, so finding the probes needs no join."""
-    model, cells = build_cells(docs, n_cells, doc_id, vec, seed)
-    centers = F.array(*[F.struct(F.lit(i).alias("cell"),
-                                 F.array(*[F.lit(float(x)) for x in c]).alias("center"))
-                        for i, c in enumerate(model.clusterCenters())])
-    q = (queries.select(F.col(query_id).cast("long").alias("query_id"), _unit(vec).alias("qunit"))
-         .where(F.col("qunit").isNotNull()))
-
-    def sq_dist(center):
-        return F.aggregate(F.zip_with(F.col("qunit"), center, lambda a, b: (a - b) * (a - b)),
-                           F.lit(0.0), lambda acc, x: acc + x)
-
-    near = F.slice(F.array_sort(F.transform(centers, lambda c: F.struct(sq_dist(c["center"]).alias("d"),
-                                                                        c["cell"].alias("cell")))), 1, probes)
-    probe = q.select("query_id", "qunit", F.explode(near).alias("n")).select("query_id", "qunit", "n.cell")
-    return probe.join(cells, "cell").select("query_id", "doc_id",
-                                            _dot(F.col("qunit"), F.col("unit")).alias("similarity"))
-
-
-def topk_approx(queries: DataFrame, docs: DataFrame, k: int = domain.RETRIEVAL_TOP_K, n_cells: int = 10,
-                probes: int = 3, query_id: str = "query_id", doc_id: str = "doc_id",
-                vec: str = "embedding", seed: int = 7) -> DataFrame:
-    """Approximate top-k, the exact re-rank of :func:`approx_candidates`.
-    Trades recall for a smaller candidate share; :func:`recall_report`
-    measures both against :func:`topk_cosine`."""
-    cand = approx_candidates(queries, docs, n_cells, probes, query_id, doc_id, vec, seed)
-    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("doc_id").asc())
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def recall_report(exact: DataFrame, approx: DataFrame, candidates: DataFrame, queries: DataFrame,
                   docs: DataFrame) -> DataFrame:
-    """R3 report: recall@k (share of the exact top-k pairs the approximate
-    result also returns) and candidate share (pairs scored / all pairs)."""
+    """R3 report: recall@k (share of the exact top-k pairs that the index also returns) and
+    candidate share (pairs scored with whole vectors / all pairs)."""
     e = exact.select("query_id", "doc_id")
     hit = e.join(approx.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
     n_exact = e.agg(F.count("*")).scalar()
