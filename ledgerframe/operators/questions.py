@@ -1,12 +1,14 @@
-"""Question batches: validation (N1), entity linking (N2), routing to the
-metric operators (N3) and outcome classification (N4)."""
+"""Question batches: validation (N1), routing to the metric operators (N3) and outcome
+classification (N4). Entity linking (N2) is in :mod:`ledgerframe.operators.question_grammar`."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerframe import domain
+from ledgerframe.functions.columns import growth_pct, safe_ratio
+from ledgerframe.operators.question_grammar import link_entities  # noqa: F401
 
 
 def validate_questions(df: DataFrame, text: str = "text", min_chars: int = domain.QUESTION_MIN_CHARS,
@@ -26,135 +28,6 @@ def split_valid(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame
     return checked.where(F.col("reject_reason").isNull()), checked.where(F.col("reject_reason").isNotNull())
 
 
-# ====================================================================== N2
-# --- fixed values -----------------------------------------------------------
-# Metric vocabulary (phrase -> stored metric) and ratio vocabulary
-# (phrase -> numerator, denominator), from the schema's documented synonyms.
-METRIC_SYNONYMS = {
-    "revenue": "revenue", "sales": "revenue", "net sales": "revenue", "turnover": "revenue",
-    "top line": "revenue",
-    "net income": "net_income", "profit": "net_income", "net profit": "net_income", "earnings": "net_income",
-    "income": "net_income", "bottom line": "net_income",
-    "assets": "total_assets", "total assets": "total_assets",
-    "liabilities": "total_liabilities", "total liabilities": "total_liabilities", "debt": "total_liabilities",
-    "eps": "eps_diluted", "diluted eps": "eps_diluted", "earnings per share": "eps_diluted",
-}
-RATIO_SYNONYMS = {
-    "net margin": ("net_income", "revenue"), "profit margin": ("net_income", "revenue"),
-    "debt ratio": ("total_liabilities", "total_assets"), "leverage": ("total_liabilities", "total_assets"),
-    "return on assets": ("net_income", "total_assets"), "roa": ("net_income", "total_assets"),
-}
-QUARTER_WORDS = {"first": "Q1", "second": "Q2", "third": "Q3", "fourth": "Q4"}
-# --- end of fixed values ----------------------------------------------------
-
-VOCABULARY_WORDS = max(len(p.split()) for p in [*METRIC_SYNONYMS, *RATIO_SYNONYMS])
-
-INTENT_RULES = [  # first match wins
-    ("comparison", r"(?i)\bcompare\b"),
-    ("superlative", r"(?i)\b(highest|largest|biggest|most|lowest|smallest|least)\b"),
-    ("growth", r"(?i)\bgrow"),
-    ("difference", r"(?i)\b(change between|difference)\b"),
-    ("sector_total", r"(?i)\btotal\b.*\bcompanies\b"),
-    ("latest", r"(?i)\b(latest|most recent)\b"),
-]
-
-
-def _tokens(questions: DataFrame) -> DataFrame:
-    """(item_id, toks): words of the lower-cased question without outer punctuation."""
-    text = F.regexp_replace(F.lower(F.col("question")), r"'s\b", "")
-    toks = F.transform(F.split(text, r"\s+"), lambda t: F.regexp_replace(t, r"^[\"(]+|[.,;:!?\")]+$", ""))
-    return questions.select("item_id", toks.alias("toks"))
-
-
-def _ngrams(tokens: DataFrame) -> DataFrame:
-    """(item_id, pos, n, gram): word n-grams, as long as the fixed vocabulary's phrases."""
-    def grams_of(n: int) -> F.Column:
-        # positions 0 .. size - n (none when the question is shorter than n words)
-        idx = F.filter(F.sequence(F.lit(0), F.greatest(F.size("toks") - n, F.lit(0))),
-                       lambda i: i <= F.size("toks") - n)
-        return F.transform(idx, lambda i: F.struct(
-            i.alias("pos"), F.lit(n).alias("n"), F.array_join(F.slice(F.col("toks"), i + 1, n), " ").alias("gram")))
-
-    grams = [grams_of(n) for n in range(1, VOCABULARY_WORDS + 1)]
-    return tokens.select("item_id", F.explode(F.flatten(F.array(*grams))).alias("g")).select("item_id", "g.*")
-
-
-def _alias_hits(tokens: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Where an alias of any length stands in a question: a join on its first word, then
-    the words that follow are compared. ``aliases`` has ``alias`` and more columns."""
-    named = aliases.where(F.col("alias") != "").withColumn("words", F.split("alias", r"\s+")).withColumn(
-        "word", F.col("words")[0])
-    places = tokens.select("item_id", "toks", F.posexplode("toks").alias("pos", "word"))
-    n = F.size("words")
-    return places.join(named, "word").where(
-        F.slice("toks", F.col("pos") + 1, n) == F.col("words")).withColumn("n", n).drop("toks", "words", "word")
-
-
-def _vocab(spark, mapping: dict, value_cols: list[str]) -> DataFrame:
-    rows = [(k, *(v if isinstance(v, tuple) else (v,))) for k, v in mapping.items()]
-    return spark.createDataFrame(rows, ["gram", *value_cols])
-
-
-def link_entities(questions: DataFrame, companies: DataFrame) -> DataFrame:
-    """Per question - its companies (by name or ticker, earliest
-    first, as ``company_ids``, the first two also by themselves; a longer alias beats a shorter one at the same place), the metric
-    or ratio (longest phrase wins), the fiscal years named ('fiscal NNNN'),
-    the period ('Qn' / 'third quarter', default FY), a sector (an industry
-    label followed by 'companies') and the intent.
-
-    Matching is an equi-join of the question's word n-grams with alias
-    tables, so it scales with the batch and the company list; the vocabulary
-    tables are fixed and small (broadcast)."""
-    spark = questions.sparkSession
-    tokens = _tokens(questions)
-    grams = _ngrams(tokens)
-    aliases = (companies.select("company_id", F.lower("name").alias("alias"))
-               .union(companies.select("company_id", F.lower("ticker").alias("alias"))).distinct())
-    hits = _alias_hits(tokens, aliases)
-    comp = hits.groupBy("item_id", "company_id").agg(F.min(F.struct("pos", (-F.col("n")).alias("neg_n"))).alias("at"))
-    comps = comp.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("at", "company_id"))).alias("cs")).select(
-        "item_id", F.transform("cs", lambda c: c["company_id"]).alias("company_ids"),
-        F.try_element_at("cs", F.lit(1))["company_id"].alias("company_id"),
-        F.try_element_at("cs", F.lit(2))["company_id"].alias("company2_id"))
-    metric_v = F.broadcast(_vocab(spark, METRIC_SYNONYMS, ["metric"]))
-    ratio_v = F.broadcast(_vocab(spark, RATIO_SYNONYMS, ["num_metric", "den_metric"]))
-    mhits = (grams.join(metric_v, "gram").select("item_id", "pos", "n", "metric", F.lit(None).cast("string").alias("num"),
-                                                  F.lit(None).cast("string").alias("den"))
-             .unionByName(grams.join(ratio_v, "gram").select("item_id", "pos", "n", F.lit(None).cast("string").alias("metric"),
-                                                              F.col("num_metric").alias("num"),
-                                                              F.col("den_metric").alias("den"))))
-    best_metric = mhits.groupBy("item_id").agg(F.min_by(F.struct("metric", "num", "den"),
-                                                        F.struct((-F.col("n")).alias("neg_n"), "pos")).alias("m"))
-    sectors = companies.select(F.lower("sic_description").alias("alias")).where(F.col("alias").isNotNull()).distinct()
-    sector = (_alias_hits(tokens, sectors).groupBy("item_id")
-              .agg(F.min_by("alias", F.struct((-F.col("n")).alias("neg_n"), "pos")).alias("sector")))
-    q = F.col("question")
-    years = F.transform(F.regexp_extract_all(q, F.lit(r"(?i)\bfiscal (\d{4})\b"), 1), lambda y: y.cast("int"))
-    qword = F.lower(F.regexp_extract(q, r"(?i)\b(first|second|third|fourth) quarter\b", 1))
-    qnum = F.regexp_extract(q, r"\bQ([1-4])\b", 1)
-    from ledgerframe.functions.columns import lookup
-    period = (F.when(qnum != "", F.concat(F.lit("Q"), qnum))
-              .when(qword != "", lookup(QUARTER_WORDS, qword)).otherwise(F.lit("FY")))
-    intent = F.lit("lookup")
-    for name, rx in reversed(INTENT_RULES):
-        intent = F.when(q.rlike(rx), F.lit(name)).otherwise(intent)
-    base = questions.select(
-        "item_id", "question", intent.alias("intent0"),
-        F.when(q.rlike(r"(?i)\b(lowest|smallest|least)\b"), F.lit("asc")).otherwise(F.lit("desc")).alias("direction"),
-        F.try_element_at(years, F.lit(1)).alias("year_from"), F.try_element_at(years, F.lit(-1)).alias("fiscal_year"),
-        period.alias("fiscal_period"))
-    j = (base.join(comps, "item_id", "left").join(best_metric, "item_id", "left").join(sector, "item_id", "left"))
-    is_ratio = F.col("m.num").isNotNull()
-    several = F.coalesce(F.size("company_ids"), F.lit(0)) > 1
-    intent_final = (F.when((F.col("intent0") == "lookup") & is_ratio, F.lit("ratio"))
-                    .when((F.col("intent0") == "lookup") & several, F.lit("comparison"))
-                    .otherwise(F.col("intent0")))
-    return j.select("item_id", "question", intent_final.alias("intent"), "direction", "company_id", "company2_id",
-                    "company_ids",
-                    F.col("m.metric").alias("metric"), F.col("m.num").alias("num_metric"),
-                    F.col("m.den").alias("den_metric"), "sector", "year_from", "fiscal_year", "fiscal_period")
-
-
 # ====================================================================== batch of templated questions
 # --- fixed values -----------------------------------------------------------
 METRIC_PHRASE = {"revenue": "revenue", "net_income": "net income", "total_assets": "total assets",
@@ -165,7 +38,7 @@ ORDINALS = ["first", "second", "third", "fourth"]
 # --- end of fixed values ----------------------------------------------------
 
 TRUTH_COLS = ["intent", "direction", "company_id", "company2_id", "metric", "num_metric", "den_metric",
-              "sector", "year_from", "fiscal_year", "fiscal_period"]
+              "sector", "year_from", "fiscal_year", "fiscal_period", "top_n"]
 
 
 def _pick(options: list, idx) -> F.Column:
@@ -175,8 +48,8 @@ def _pick(options: list, idx) -> F.Column:
 def question_batch(companies: DataFrame, years: list[int], out_of_range_year: int) -> DataFrame:
     """Templated questions derived from the companies table: per company a
     lookup (annual, quarterly), a ratio, a growth, a difference, a comparison
-    with the next company, a latest-value question and two questions the data
-    cannot answer; per year three superlatives; per industry a sector total.
+    and a combined value with the next company, a latest-value question and three questions
+    that are not to be answered; per year five rankings; per industry a sector total.
     Each row carries the parameters it was generated from (``TRUTH_COLS``),
     a ``split`` (dev / holdout by hash) and ``expect_failure``."""
     c = companies.select("company_id", "name", "sic_description")
@@ -186,13 +59,13 @@ def question_batch(companies: DataFrame, years: list[int], out_of_range_year: in
     none_l = F.lit(None).cast("long")
 
     def row(tmpl, question, intent, metric=none_s, num=none_s, den=none_s, year_from=none_i, year=none_i,
-            period=F.lit("FY"), company=cid, company2=none_l, sector=none_s, direction=F.lit("desc"), fail=False):
+            period=F.lit("FY"), company=cid, company2=none_l, sector=none_s, direction=F.lit("desc"), fail=False, n=none_i):
         return F.struct(F.lit(tmpl).alias("tmpl"), question.alias("question"), F.lit(intent).alias("intent"),
                         direction.alias("direction"), company.cast("long").alias("company_id"),
                         company2.cast("long").alias("company2_id"), metric.alias("metric"),
                         num.alias("num_metric"), den.alias("den_metric"), sector.alias("sector"),
                         year_from.cast("int").alias("year_from"), year.cast("int").alias("fiscal_year"),
-                        period.alias("fiscal_period"), F.lit(fail).alias("expect_failure"))
+                        period.alias("fiscal_period"), F.lit(fail).alias("expect_failure"), n.alias("top_n"))
 
     metric = _pick(list(METRIC_PHRASE), cid)
     phrase = _pick(list(METRIC_PHRASE.values()), cid)
@@ -220,6 +93,8 @@ def question_batch(companies: DataFrame, years: list[int], out_of_range_year: in
         row("latest", F.format_string("What was %s's latest annual revenue?", name), "latest", metric=F.lit("revenue")),
         row("no_metric", F.format_string("What was %s's gross margin in fiscal %d?", name, y), "lookup",
             year_from=y, year=y, fail=True),
+        row("no_words", F.format_string("How much did %s spend on research in fiscal %d?", name, y), "lookup",
+            year_from=y, year=y, fail=True),
         row("no_year", F.format_string("What was %s's revenue in fiscal %d?", name, F.lit(out_of_range_year)), "lookup",
             metric=F.lit("revenue"), year_from=F.lit(out_of_range_year), year=F.lit(out_of_range_year), fail=True),
     ]
@@ -230,6 +105,12 @@ def question_batch(companies: DataFrame, years: list[int], out_of_range_year: in
         row("comparison", F.format_string("Compare %s and %s revenue in fiscal %d", name, F.col("n2"), y),
             "comparison", metric=F.lit("revenue"), year_from=y, year=y, company2=F.col("c2")).alias("r"),
         "company_id").select("r.*", F.col("company_id").alias("k"))
+    both = c.join(nxt, "company_id").select(F.explode(F.array(
+        row("combined", F.format_string("What was the combined revenue of %s and %s in fiscal %d?", name, F.col("n2"), y),
+            "combined", metric=F.lit("revenue"), year_from=y, year=y, company2=F.col("c2")),
+        row("two_ratios", F.format_string("What were the net margin of %s and %s for fiscal year %d?", name, F.col("n2"), y),
+            "ratio", num=F.lit("net_income"), den=F.lit("revenue"), year_from=y, year=y, company2=F.col("c2")))).alias("r"),
+        "company_id").select("r.*", F.col("company_id").alias("k"))
     # per industry: sector total
     sec = c.where(F.col("sic_description").isNotNull()).groupBy("sic_description").agg(
         F.min("company_id").alias("company_id")).select(
@@ -242,13 +123,17 @@ def question_batch(companies: DataFrame, years: list[int], out_of_range_year: in
     yv = F.col("y")
     sup = yrs.select(F.explode(F.array(
         row("top_revenue", F.format_string("Which company had the highest revenue in fiscal %d?", yv), "superlative",
-            metric=F.lit("revenue"), year_from=yv, year=yv, company=none_l),
+            metric=F.lit("revenue"), year_from=yv, year=yv, company=none_l, n=F.lit(1)),
+        row("top_three", F.format_string("What were the top three companies by total assets in fiscal %d?", yv),
+            "superlative", metric=F.lit("total_assets"), year_from=yv, year=yv, company=none_l, n=F.lit(3)),
+        row("fastest", F.format_string("Which 2 companies had the fastest growing revenue in fiscal %d?", yv),
+            "growth_rank", metric=F.lit("revenue"), year_from=yv, year=yv, company=none_l, n=F.lit(2)),
         row("low_net_income", F.format_string("Which company had the lowest net income in fiscal %d?", yv),
-            "superlative", metric=F.lit("net_income"), year_from=yv, year=yv, company=none_l, direction=F.lit("asc")),
+            "superlative", metric=F.lit("net_income"), year_from=yv, year=yv, company=none_l, direction=F.lit("asc"), n=F.lit(1)),
         row("top_margin", F.format_string("Which company had the highest net margin in fiscal %d?", yv),
-            "superlative", num=F.lit("net_income"), den=F.lit("revenue"), year_from=yv, year=yv, company=none_l),
+            "superlative", num=F.lit("net_income"), den=F.lit("revenue"), year_from=yv, year=yv, company=none_l, n=F.lit(1)),
     )).alias("r"), yv.cast("long").alias("k")).select("r.*", "k")
-    allq = items.unionByName(cmp).unionByName(sec).unionByName(sup)
+    allq = items.unionByName(cmp).unionByName(both).unionByName(sec).unionByName(sup)
     item_id = F.format_string("%s-%d", F.col("tmpl"), F.col("k"))
     return allq.select(
         item_id.alias("item_id"),
@@ -260,87 +145,83 @@ def question_batch(companies: DataFrame, years: list[int], out_of_range_year: in
 ANSWER_SCHEMA = "item_id string, label string, value double"
 
 
-def answer_batch(linked: DataFrame, fm: DataFrame, companies: DataFrame) -> DataFrame:
-    """Route each linked question by intent to the metric operators and
-    return long-form answer rows (item_id, label, value). Covers the templated
-    question classes (lookup, ratio, growth, difference, comparison,
-    superlative on a value or a guarded ratio, sector total, latest); it is
-    not a reader of free-form English."""
-    from ledgerframe.functions.columns import growth_pct, safe_ratio
-    co = companies.select("company_id", "ticker", F.lower("sic_description").alias("sector_key"))
-    facts = fm.select("company_id", "metric", "fiscal_year", "fiscal_period", F.col("value").cast("double").alias("v"))
-    L = linked
-    out = []
+#: Intents that give one row for each company they name.
+PER_COMPANY = ["lookup", "comparison", "ratio", "growth", "difference", "latest", "combined"]
 
-    def by_intent(name):
-        return L.where(F.col("intent") == name)
 
-    # lookup
-    lk = by_intent("lookup").where(F.col("metric").isNotNull())
-    out.append(lk.join(facts, ["company_id", "metric", "fiscal_year", "fiscal_period"])
-               .join(co, "company_id").select("item_id", F.col("ticker").alias("label"), F.col("v").alias("value")))
-    # ratio (one company; NULLIF on the denominator, no ranking guard)
-    rt = by_intent("ratio").select("item_id", "company_id", "fiscal_year", "fiscal_period", "num_metric", "den_metric")
-    rj = rt.join(facts, ["company_id", "fiscal_year", "fiscal_period"]).where(
-        F.col("metric").isin(F.col("num_metric"), F.col("den_metric")))
-    ragg = rj.groupBy("item_id", "company_id").agg(
-        F.sum(F.when(F.col("metric") == F.col("num_metric"), F.col("v"))).alias("num"),
-        F.sum(F.when(F.col("metric") == F.col("den_metric"), F.col("v"))).alias("den"))
-    out.append(ragg.join(co, "company_id").select("item_id", F.col("ticker").alias("label"),
-                                                   safe_ratio(F.col("num"), F.col("den")).alias("value")))
-    # growth and difference: equi-join on the shifted year (a gap year gives no row)
-    for name in ("growth", "difference"):
-        g = by_intent(name)
-        # A growth question that names one year compares with the year before it.
-        prev_year = F.when(F.col("year_from") < F.col("fiscal_year"), F.col("year_from")).otherwise(
-            F.col("fiscal_year") - 1) if name == "growth" else F.col("year_from")
-        g = g.select("item_id", "company_id", "metric", "fiscal_year", "fiscal_period", prev_year.alias("prev_year"))
-        cur = g.join(facts, ["company_id", "metric", "fiscal_year", "fiscal_period"]).withColumnRenamed("v", "cur")
-        prev = facts.select("company_id", "metric", F.col("fiscal_year").alias("prev_year"), "fiscal_period",
-                            F.col("v").alias("prev"))
-        gj = cur.join(prev, ["company_id", "metric", "prev_year", "fiscal_period"])
-        val = growth_pct(F.col("cur"), F.col("prev")) if name == "growth" else F.col("cur") - F.col("prev")
-        out.append(gj.join(co, "company_id").select("item_id", F.col("ticker").alias("label"), val.alias("value")))
-    # comparison: one row per named company
-    cm = by_intent("comparison")
-    named = (F.col("company_ids") if "company_ids" in cm.columns
+def answer_batch(linked: DataFrame, fm: DataFrame, companies: DataFrame) -> DataFrame:
+    """Route each linked question by intent to the metric operators and return long-form
+    answer rows (item_id, label, value): one per company named (lookup, comparison, ratio, growth,
+    difference, latest), one per rank (superlative, growth_rank: the first ``top_n``), one for a sector
+    total and for a combined value. It reads the templated question classes, not free-form English;
+    questions with ``unread`` parts have no rows."""
+    if "unread" in linked.columns:
+        linked = linked.where("unread is null")
+    named = (F.col("company_ids") if "company_ids" in linked.columns
              else F.array_compact(F.array("company_id", "company2_id")))
-    both = cm.select("item_id", F.explode(named).alias("company_id"), "metric", "fiscal_year", "fiscal_period")
-    out.append(both.join(facts, ["company_id", "metric", "fiscal_year", "fiscal_period"]).join(co, "company_id")
-               .select("item_id", F.col("ticker").alias("label"), F.col("v").alias("value")))
-    # superlatives: on a stored value, or on a ratio with the ranking guard
-    sp = by_intent("superlative")
-    sv = (sp.where(F.col("metric").isNotNull()).select("item_id", "metric", "fiscal_year", "fiscal_period", "direction")
-          .join(facts, ["metric", "fiscal_year", "fiscal_period"]).join(co, "company_id")
-          .select("item_id", "direction", "ticker", F.col("v").alias("key"), F.col("v").alias("value")))
-    sr0 = (sp.where(F.col("num_metric").isNotNull())
-           .select("item_id", "num_metric", "den_metric", "fiscal_year", "fiscal_period", "direction")
-           .join(facts, ["fiscal_year", "fiscal_period"])
-           .where(F.col("metric").isin(F.col("num_metric"), F.col("den_metric")))
-           .groupBy("item_id", "direction", "company_id").agg(
-               F.sum(F.when(F.col("metric") == F.col("num_metric"), F.col("v"))).alias("num"),
-               F.sum(F.when(F.col("metric") == F.col("den_metric"), F.col("v"))).alias("den"))
-           .where(F.col("num").isNotNull() & (F.col("den") > 0)))
-    sr = sr0.join(co, "company_id").select("item_id", "direction", "ticker",
-                                           safe_ratio(F.col("num"), F.col("den")).alias("key"),
-                                           safe_ratio(F.col("num"), F.col("den")).alias("value"))
-    from pyspark.sql import Window
-    cand = sv.unionByName(sr)
+    co = companies.select("company_id", "ticker", F.lower("sic_description").alias("sector_key"))
+    facts = fm.select("company_id", "metric", "fiscal_year", "fiscal_period", F.col("value").cast("double").alias("v"))
+    at = ["company_id", "metric", "fiscal_year", "fiscal_period"]
+    asked = linked.where(F.col("intent").isin(*PER_COMPANY)).withColumn("company_id", F.explode(named))
+
+    def of(*intents: str) -> DataFrame:
+        return asked.where(F.col("intent").isin(*intents))
+
+    def labelled(rows: DataFrame, value: Column) -> DataFrame:
+        return rows.join(co, "company_id").select("item_id", F.col("ticker").alias("label"), value.alias("value"))
+
+    def sides(rows: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+        """Both sides of a ratio, by item and company."""
+        j = rows.join(facts, keys).where(F.col("metric").isin(F.col("num_metric"), F.col("den_metric")))
+        return j.groupBy("item_id", "company_id", *by).agg(
+            F.sum(F.when(F.col("metric") == F.col("num_metric"), F.col("v"))).alias("num"),
+            F.sum(F.when(F.col("metric") == F.col("den_metric"), F.col("v"))).alias("den"))
+
+    ratio = safe_ratio(F.col("num"), F.col("den"))
+    values = of("lookup", "comparison", "combined").where("metric is not null").join(facts, at)
+    out = [labelled(values.where("intent <> 'combined'"), F.col("v"))]
+    out.append(values.where("intent = 'combined'").groupBy("item_id").agg(F.sum("v").alias("value")).select(
+        "item_id", F.lit("combined").alias("label"), "value"))
+    out.append(labelled(sides(of("ratio").drop("metric"), ["company_id", "fiscal_year", "fiscal_period"], []), ratio))
+
+    # Growth that names one year compares with the year before it; a gap year gives no row.
+    def with_prior(rows: DataFrame, keys: list[str]) -> DataFrame:
+        before = F.when((F.col("intent") == "difference") | (F.col("year_from") < F.col("fiscal_year")),
+                        F.col("year_from")).otherwise(F.col("fiscal_year") - 1)
+        cur = rows.withColumn("prev_year", before).join(facts, keys).withColumnRenamed("v", "cur")
+        prior = facts.select("company_id", "metric", F.col("fiscal_year").alias("prev_year"), "fiscal_period",
+                             F.col("v").alias("prev"))
+        return cur.join(prior, ["company_id", "metric", "prev_year", "fiscal_period"])
+
+    growth = growth_pct(F.col("cur"), F.col("prev"))
+    out.append(labelled(with_prior(of("growth", "difference"), at),
+                        F.when(F.col("intent") == "growth", growth).otherwise(F.col("cur") - F.col("prev"))))
+    latest = of("latest").select("item_id", "company_id", "metric").join(facts.where("fiscal_period = 'FY'"), ["company_id", "metric"])
+    out.append(labelled(latest.groupBy("item_id", "company_id").agg(F.max_by("v", "fiscal_year").alias("v")), F.col("v")))
+
+    # Rankings: of a value, of a ratio or growth with the ranking guard; in a sector if one is named.
+    ranks = linked.where(F.col("intent").isin("superlative", "growth_rank")).withColumn(
+        "top_n", F.coalesce("top_n", F.lit(1)) if "top_n" in linked.columns else F.lit(1)).select(
+        "item_id", "intent", "metric", "num_metric", "den_metric", "fiscal_year", "year_from", "fiscal_period", "direction",
+        "top_n", "sector")
+    each = ["direction", "top_n", "sector"]
+    by_value = ranks.where("intent = 'superlative' and metric is not null").join(
+        facts, at[1:]).select("item_id", "company_id", *each, F.col("v").alias("key"))
+    by_ratio = sides(ranks.where("intent = 'superlative' and num_metric is not null").drop("metric"), at[2:], each).where(
+        "num is not null and den > 0").select("item_id", "company_id", *each, ratio.alias("key"))
+    by_growth = with_prior(ranks.where("intent = 'growth_rank'"), at[1:]).where("prev > 0").select(
+        "item_id", "company_id", *each, growth.alias("key"))
+    cand = by_value.unionByName(by_ratio).unionByName(by_growth).join(co, "company_id").where(
+        "key is not null and (sector is null or sector = sector_key)")
     key = F.when(F.col("direction") == "asc", F.col("key")).otherwise(-F.col("key"))
     w = Window.partitionBy("item_id").orderBy(key.asc_nulls_last(), F.col("ticker").asc())
-    out.append(cand.withColumn("rk", F.row_number().over(w)).where(F.col("rk") == 1)
-               .select("item_id", F.col("ticker").alias("label"), "value"))
-    # sector total
-    st = by_intent("sector_total").where(F.col("sector").isNotNull())
-    sj = (st.select("item_id", F.col("sector").alias("sector_key"), "metric", "fiscal_year", "fiscal_period")
-          .join(co, "sector_key").join(facts, ["company_id", "metric", "fiscal_year", "fiscal_period"]))
+    out.append(cand.withColumn("rk", F.row_number().over(w)).where("rk <= top_n").select(
+        "item_id", F.col("ticker").alias("label"), F.col("key").alias("value")))
+    st = linked.where("intent = 'sector_total' and sector is not null").select(
+        "item_id", F.col("sector").alias("sector_key"), "metric", "fiscal_year", "fiscal_period")
+    sj = st.join(co, "sector_key").join(facts, at)
     out.append(sj.groupBy("item_id", "sector_key").agg(F.sum("v").alias("value"))
                .select("item_id", F.col("sector_key").alias("label"), "value"))
-    # latest: the company's latest year with an FY row
-    lt = by_intent("latest").select("item_id", "company_id", "metric")
-    lj = lt.join(facts.where(F.col("fiscal_period") == "FY"), ["company_id", "metric"])
-    out.append(lj.groupBy("item_id", "company_id").agg(F.max_by("v", "fiscal_year").alias("value"))
-               .join(co, "company_id").select("item_id", F.col("ticker").alias("label"), "value"))
     res = out[0]
     for o in out[1:]:
         res = res.unionByName(o)
@@ -348,28 +229,29 @@ def answer_batch(linked: DataFrame, fm: DataFrame, companies: DataFrame) -> Data
 
 
 # ====================================================================== N4
-NEEDS_COMPANY = ["lookup", "ratio", "growth", "difference", "comparison", "latest"]
-
-
 def classify_outcomes(linked: DataFrame, answers: DataFrame, year_min, year_max) -> DataFrame:
-    """Per question - ``unanswerable`` when a company, metric, sector or
-    year it needs is missing or outside the data (years against the loaded
-    range), ``empty_result`` when it returned no rows or only NULL cells,
-    else ``success``; with the row count and a plain-text answer."""
+    """Per question - ``unsupported`` when parts of it were not read, ``unanswerable`` when a company,
+    metric, sector or year it needs is missing or outside the data (years against the loaded range),
+    ``empty_result`` when it returned no rows or only NULL cells, else ``success``; with the
+    row count and a plain-text answer."""
     agg = answers.groupBy("item_id").agg(F.count("*").alias("n_rows"),
                                          F.count("value").alias("n_values"))
     j = linked.join(agg, "item_id", "left")
+    unread = F.col("unread") if "unread" in linked.columns else F.lit(None).cast("string")
     in_range = lambda c: c.isNull() | c.between(year_min, year_max)
-    reason = (F.when(F.col("intent").isin(*NEEDS_COMPANY) & F.col("company_id").isNull(), F.lit("no known company"))
+    reason = (F.when(F.col("intent").isin(*PER_COMPANY) & F.col("company_id").isNull(), F.lit("no known company"))
               .when(F.col("metric").isNull() & F.col("num_metric").isNull(), F.lit("no stored metric"))
               .when((F.col("intent") == "sector_total") & F.col("sector").isNull(), F.lit("no known industry"))
               .when(~in_range(F.col("fiscal_year")) | ~in_range(F.col("year_from")), F.lit("a year outside the data")))
     n_rows = F.coalesce(F.col("n_rows"), F.lit(0))
-    outcome = (F.when(reason.isNotNull(), F.lit("unanswerable"))
+    outcome = (F.when(unread.isNotNull(), F.lit("unsupported"))
+               .when(reason.isNotNull(), F.lit("unanswerable"))
                .when(F.coalesce(F.col("n_values"), F.lit(0)) == 0, F.lit("empty_result"))
                .otherwise(F.lit("success")))
-    answer = (F.when(outcome == "unanswerable",
-                     F.format_string("This question cannot be answered from the data: it asks about %s.", reason))
+    answer = (F.when(outcome == "unsupported",
+                     F.format_string("This question was not understood as a whole: %s.", unread))
+              .when(outcome == "unanswerable",
+                    F.format_string("This question cannot be answered from the data: it asks about %s.", reason))
               .when(outcome == "empty_result",
                     F.lit("The question was understood, but the data holds no value for it."))
               .otherwise(F.format_string("Answered with %d row(s).", n_rows)))
