@@ -1,281 +1,460 @@
-"""A modified Kneser-Ney model of word n-grams (orders 1 to 3) in sharded tables.
+"""A modified Kneser-Ney model of word n-grams (orders 1 to 3) in sharded count tables.
 
 All trusted text is counted, in two halves by the hash of the document id; a document
 is scored by the half that it is not in, so a trusted one costs what any good text
-costs that the model has not seen. Tables are joined, never gathered: they grow with
+costs that the model has not seen. Counts are joined, never gathered: they grow with
 the corpus.
 
-The log probability of a token is a sum over the n-grams that end at it and its
-contexts: ``log p1(c) + log g(b) + [bc seen] d2(bc) + log g(ab) + [abc seen] d3(abc)``
-with the back-off weights ``g`` (1 of an unseen context) and the gains
-``d2 = log p2 - log g(b) - log p1(c)``, ``d3 = log p3 - log g(ab) - log p2(bc)``. Each
-n-gram so has one value, and a document's cost is one join of its n-grams with their
-values that returns sums only.
+Trigrams ``a b c`` are dealt by their middle word. Its shard then has all counts that the
+probability of ``c`` after ``a b`` needs (trigrams, their contexts ``a b``, the pairs ``b c`` and their
+context ``b``) but the unigrams, of which it is sent those of its own words. A text's trigrams are
+dealt alike and join the counts there; a shard returns one sum per text. Each shard adds
+
+    log p(c | a b) - log p(c)  +  log p(b)
+
+for the trigrams of its middle words, where the middle word of a text's first trigram, its
+start, stands for its end: over a text these add up to its log probability.
+
+Counts and requests travel as packed rows (one per shard and some million tokens): distinct middle
+words, their right and those words' left neighbours, as cut hashes. The two halves, and
+:data:`ROUNDS` parts of the documents of each, are scored one after the other, and the
+shuffle files of each part are freed when its sums are written: disk holds the counts of one
+half and the requests of one part.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerframe.llm.common import stored, text_or_empty
+from ledgerframe.llm.common import dropped, stored, text_or_empty
 
 # Words (long runs in pieces), single signs, line ends.
 TOKEN = re.compile(r"\w{1,32}|[^\w\s]|\n")
 START, END = 1, 2
-HALVES = 2
+HALVES, ROUNDS = 2, 4
 MICRO = 1e6
-SHARD_CHARS = 16_000_000
-FLUSH_TOKENS, HELD_WORDS = 1_000_000, 500_000
-GROUP = "f int, a long, b long, c long, n long"
+#: Characters of all texts per shard, and tokens that are packed together.
+SHARD_CHARS = 64_000_000
+FLUSH_TOKENS = 2_000_000
+#: Bytes of a word's hash, and of a left neighbour's (told apart among those of one pair only).
+WORD_BYTES, LEFT_BYTES = 6, 5
+SHAPE = "b binary, rights binary, c binary, lefts binary, a binary"
+MODEL = f"shard int, part int, {SHAPE}, n binary"
+ASKED = f"shard int, batch long, texts int, {SHAPE}, sizes binary, docs binary, times binary, ats binary"
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
+def word_code(word: str) -> int:
+    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=WORD_BYTES).digest(), "little")
+
+
+def half_of(id_col: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(HALVES)).cast("int")
 
-class _Words(dict):
-    """64-bit hashes of words; forgets them all when too many are held."""
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= HELD_WORDS:
-            self.clear()
-        self[word] = code = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        return code
+def row_key(id_col: str, text_col: str) -> Column:
+    """Equal for rows of one id and text, which cost the same."""
+    return F.xxhash64(F.col(id_col).cast("long"), text_or_empty(text_col))
 
 
-def tokens_of(text: str, words: _Words) -> np.ndarray:
-    """The hashes of two starts, the tokens and an end; empty without any token."""
-    found = TOKEN.findall(text)
-    if not found:
-        return np.empty(0, np.uint64)
-    codes = np.empty(len(found) + 3, np.uint64)
-    codes[:2], codes[-1] = START, END
-    codes[2:-1] = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
-    return codes
+# ---------------------------------------------------------------- packing
+def _cut(codes: np.ndarray, size: int) -> bytes:
+    return np.ascontiguousarray(codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
 
 
-def keys(half, a, b, c) -> np.ndarray:
-    """64-bit keys of n-grams; zeros stand for the words that a shorter one lacks."""
-    x = (np.asarray(a, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-         + np.asarray(b, np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-         + np.asarray(c, np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-         + (np.atleast_1d(np.asarray(half, np.uint64)) + np.uint64(1)) * np.uint64(0xFF51AFD7ED558CCD))
-    for _ in range(2):
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+def _whole(raw: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(raw) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(raw, np.uint8).reshape(-1, size)
+    return out.view("<u8").reshape(-1).astype(np.int64)
 
 
-def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
-    """Rises with the key."""
-    return ((key >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+def _small(numbers: np.ndarray, kind: str = "<u4") -> bytes:
+    import zstandard
 
+    return zstandard.ZstdCompressor(level=1).compress(numbers.astype(kind).tobytes())
 
-def half_of(id_col: str) -> Column:
-    return F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(HALVES)).cast("int")
 
+def _numbers(raw: bytes, kind: str = "<u4") -> np.ndarray:
+    import zstandard
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """``(f, a, b, c, n)``: the trigrams of ``texts(f, text)`` by half."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
-        for batch in batches:
-            for half in range(HALVES):
-                runs = [tokens_of(t, words) for t, f in zip(batch.column("text").to_pylist(),
-                                                            batch.column("f").to_pylist()) if f == half]
-                runs = [r for r in runs if len(r)]
-                if not runs:
-                    continue
-                a, b, c = (np.concatenate([r[k:len(r) - 2 + k] for r in runs]) for k in range(3))
-                _, at, n = np.unique(keys(half, a, b, c), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), half, np.int32)), *[pa.array(x[at].view(np.int64)) for x in (a, b, c)],
-                     pa.array(n.astype(np.int64))], ["f", "a", "b", "c", "n"])
-
-    return texts.mapInArrow(count, GROUP).groupBy("f", "a", "b", "c").agg(F.sum("n").alias("n"))
-
-
-def _off(seen: DataFrame) -> Column:
-    """The modified discount of a row by its half and count."""
-    found: dict[int, dict[int, int]] = {}
-    for r in seen.where("n <= 4").groupBy("f", "n").agg(F.count("*").alias("c")).collect():
-        found.setdefault(r["f"], {})[r["n"]] = r["c"]
-    out = F.lit(None).cast("double")
-    for half in range(HALVES):
-        n1, n2, n3, n4 = (found.get(half, {}).get(k, 0) for k in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        steps = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0,
-                 3 - 4 * y * n4 / n3 if n3 else 1.5]
-        d1, d2, d3 = (float(min(max(d, 0.05), k + 0.95)) for k, d in enumerate(steps))
-        out = F.when(F.col("f") == half, F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2)
-                     .otherwise(d3)).otherwise(out)
+    found = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
+    return found.astype(np.float64 if kind == "<f8" else np.int64)
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for x in columns:
+        out[1:] |= x[1:] != x[:-1]
     return out
 
 
-def word_values(trigrams: DataFrame) -> tuple[DataFrame, dict[int, float]]:
-    """``(f, a, b, c, v)``, values in nats (rows of one n-gram add up), and the log
-    probability of an unknown word by half. Zeros stand for missing words."""
-    none = F.lit(0).cast("long")
-    pairs = stored(trigrams.groupBy("f", "b", "c").agg(F.count("*").alias("n")), "words-2")
-    single = stored(pairs.groupBy("f", "c").agg(F.count("*").alias("n")), "words-1")
-    off1, off2, off3 = _off(single), _off(pairs), _off(trigrams)
-    whole = {r["f"]: r for r in single.groupBy("f").agg(
-        F.sum("n").alias("total"), F.sum(off1).alias("spare"), F.count("*").alias("v")).collect()}
-    unknown = {f: r["spare"] / r["total"] / (r["v"] + 1) for f, r in whole.items()}
-
-    def of(by: dict[int, float]) -> Column:
-        return F.coalesce(*[F.when(F.col("f") == f, float(x)) for f, x in by.items()])
-
-    p1 = single.select("f", "c", ((F.col("n") - off1) / of({f: r["total"] for f, r in whole.items()})
-                                  + of(unknown)).alias("p1"))
-
-    def contexts(seen: DataFrame, off: Column, *by: str) -> DataFrame:
-        return seen.groupBy("f", *by).agg(F.sum("n").alias("total"), (F.sum(off) / F.sum("n")).alias("g"))
-
-    g2 = stored(contexts(pairs, off2, "b"), "words-context-1")
-    g3 = stored(contexts(trigrams, off3, "a", "b"), "words-context-2")
-    t2 = stored(pairs.withColumn("kept", F.col("n") - off2).join(g2, ["f", "b"]).join(p1, ["f", "c"]).select(
-        "f", "b", "c", (F.col("kept") / F.col("total") + F.col("g") * F.col("p1")).alias("p2"), "g", "p1"), "words-p2")
-    t3 = trigrams.withColumn("kept", F.col("n") - off3).join(g3, ["f", "a", "b"]).join(
-        t2.select("f", "b", "c", "p2"), ["f", "b", "c"])
-    p3 = F.col("kept") / F.col("total") + F.col("g") * F.col("p2")
-    rows = [p1.select("f", none.alias("a"), none.alias("b"), "c", (F.log("p1") - F.log(of(unknown))).alias("v")),
-            g2.select("f", none, none, "b", F.log("g")),
-            t2.select("f", none, "b", "c", F.log(F.col("p2") / (F.col("g") * F.col("p1")))),
-            g3.select("f", none, "a", "b", F.log("g")),
-            t3.select("f", "a", "b", "c", F.log(p3 / (F.col("g") * F.col("p2"))))]
-    out = rows[0]
-    for more in rows[1:]:
-        out = out.union(more)
-    return out, {f: float(np.log(u)) for f, u in unknown.items()}
-
-
-def _dealt_values(values: DataFrame, shards: int) -> DataFrame:
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shape(b: np.ndarray, c: np.ndarray, a: np.ndarray) -> list[bytes]:
+    """Distinct trigrams, by ``b, c, a``, as nested lists."""
+    new_b = _starts(b)
+    new_c = new_b | _starts(c)
+    at_b, at_c = np.flatnonzero(new_b), np.flatnonzero(new_c)
+    rights = np.diff(np.append(np.cumsum(new_c)[at_b] - 1, len(at_c)))
+    return [_cut(b[at_b], WORD_BYTES), _small(rights), _cut(c[at_c], WORD_BYTES),
+            _small(np.diff(np.append(at_c, len(a)))), _cut(a, LEFT_BYTES)]
+
+
+class _Trigrams:
+    """The nested lists of a packed row: ``b``; ``c`` and the place of its ``b``; ``a`` and that of its pair."""
+
+    def __init__(self, row):
+        self.b, self.c, self.a = _whole(row.b, WORD_BYTES), _whole(row.c, WORD_BYTES), _whole(row.a, LEFT_BYTES)
+        self.lefts = _numbers(row.lefts)
+        self.b_of_pair = np.repeat(np.arange(len(self.b)), _numbers(row.rights))
+        self.pair = np.repeat(np.arange(len(self.c)), self.lefts)
+
+
+class _Batch:
+    """The tokens of some texts as numbers of words in the order of their hashes."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.codes, self.runs, self.tokens = [START, END], [], 0
+
+    def add(self, text: str) -> int:
+        """Number of tokens and an end; 0 without any token."""
+        found = TOKEN.findall(text)
+        if found:
+            number, codes = self.number, self.codes
+            for word in set(found).difference(number):
+                number[word] = len(codes)
+                codes.append(word_code(word))
+            run = np.empty(len(found) + 3, np.int64)
+            run[:2], run[-1] = 0, 1
+            run[2:-1] = np.fromiter(map(number.__getitem__, found), np.int64, len(found))
+            self.runs.append(run)
+            self.tokens += len(run)
+        else:
+            self.runs.append(np.empty(0, np.int64))
+        return len(found) + bool(found)
+
+    def trigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``(b, c, a, text)`` of all trigrams as codes, by ``b, c, a`` and text."""
+        codes, number = np.unique(np.array(self.codes, np.int64), return_inverse=True)
+        runs = [r for r in self.runs if len(r)]
+        if not runs:
+            return tuple(np.empty(0, np.int64) for _ in range(4))
+        a, b, c = (number[np.concatenate([r[k:len(r) - 2 + k] for r in runs])] for k in range(3))
+        text = np.repeat(np.arange(len(self.runs)), [max(len(r) - 2, 0) for r in self.runs])
+        n = len(codes)
+        order = np.argsort((b * n + c) * n + a, kind="stable")
+        return codes[b[order]], codes[c[order]], codes[a[order]] & ((1 << 8 * LEFT_BYTES) - 1), text[order]
+
+
+def _shards(b: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
+    """``(shard, from, to)`` of the parts of rising middle words."""
+    cuts = np.searchsorted(b, [-(-s * (1 << 8 * WORD_BYTES) // shards) for s in range(shards + 1)])
+    return [(s, int(x), int(y)) for s, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
+
+
+# ---------------------------------------------------------------- counts
+def _counted(texts: DataFrame, shards: int) -> DataFrame:
+    """The distinct trigrams of ``texts(text)`` with their counts, some million tokens at a time."""
+    names = [c.split()[0] for c in MODEL.split(", ")]
+
+    def pack(batch: _Batch) -> pa.RecordBatch:
+        b, c, a, _ = batch.trigrams()
+        first = np.flatnonzero(_starts(b, c, a))
+        n = np.diff(np.append(first, len(b)))
+        b, c, a = b[first], c[first], a[first]
+        rows = [(s, None, *_shape(b[x:y], c[x:y], a[x:y]), _small(n[x:y])) for s, x, y in _shards(b, shards)]
+        return _rows(rows, names, MODEL)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Batch()
+        for arrow in batches:
+            for text in arrow.column("text").to_pylist():
+                held.add(text)
+                if held.tokens >= FLUSH_TOKENS:
+                    yield pack(held)
+                    held = _Batch()
+        yield pack(held)
+
+    return texts.select("text").mapInArrow(count, MODEL)
+
+
+def _rows(rows: list[tuple], names: list[str], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    types = [kinds[c.split()[1]] for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
+
+
+def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The counts of one shard, and how many trigrams and pairs have counts 1 to 4."""
+    some = [(t, _numbers(row.n)) for row in pdf.itertuples() for t in [_Trigrams(row)]]
+    b = np.concatenate([t.b[t.b_of_pair][t.pair] for t, _ in some])
+    c, a = (np.concatenate([x(t) for t, _ in some]) for x in (lambda t: t.c[t.pair], lambda t: t.a))
+    n = np.concatenate([n for _, n in some])
+    order = np.lexsort((a, c, b))
+    b, c, a, n = b[order], c[order], a[order], n[order]
+    first = np.flatnonzero(_starts(b, c, a))
+    n, b, c, a = np.add.reduceat(n, first), b[first], c[first], a[first]
+    pairs = np.diff(np.append(np.flatnonzero(_starts(b, c)), len(b)))
+    shape = dict(zip(["b", "rights", "c", "lefts", "a"], _shape(b, c, a)))
+    seen = {f"{x}{k}": int((y == k).sum()) for x, y in (("t", n), ("p", pairs)) for k in range(1, 5)}
+    return pd.DataFrame([{"shard": pdf["shard"].iloc[0], "part": None, **shape, "n": _small(n), **seen}])
+
+
+def _asked_words(t: _Trigrams) -> np.ndarray:
+    """The words whose unigram a shard needs; the start's is the end's."""
+    return np.unique(np.concatenate([t.c, np.where(t.b == START, END, t.b)]))
+
+
+def _unigrams(model: DataFrame, shards: int) -> DataFrame:
+    """``(shard, part, n)``: for each shard the numbers of different words before its words, ``part`` by part
+    of the hashes; and per part a row without a shard of how many words have numbers 1 to 4, the sum
+    and the words."""
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            f, a, b, c, v = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-            key = keys(f, a.view(np.uint64), b.view(np.uint64), c.view(np.uint64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shard_of(key, shards).astype(np.int32)), pa.array(key.view(np.int64)),
-                 pa.array(np.rint(v * MICRO).astype(np.int32))], ["shard", "key", "v"])
-
-    return values.mapInArrow(deal, "shard int, key long, v int")
-
-
-def _dealt_texts(docs: DataFrame, shards: int) -> DataFrame:
-    """The n-grams of many texts of ``docs(at, f, text)`` at a time, each distinct one once
-    with the texts that have it and how often: one packed row per shard."""
-    def pack(held: list) -> Iterator[pa.RecordBatch]:
-        key, doc = [], []
-        for k, (_, half, run) in enumerate(held):
-            zero = np.uint64(0)
-            # The starts are contexts too: of the first token.
-            some = [keys(half, zero, zero, run[1:]), keys(half, zero, run[:-1], run[1:]),
-                    keys(half, run[:-2], run[1:-1], run[2:])]
-            key += some
-            doc.append(np.full(sum(map(len, some)), k, np.uint32))
-        key, doc = np.concatenate(key), np.concatenate(doc)
-        order = np.argsort(key, kind="stable")  # texts rise, so those of one n-gram stay in order
-        key, doc = key[order], doc[order]
-        new_key = np.concatenate([[True], key[1:] != key[:-1]])
-        first = np.flatnonzero(new_key | np.concatenate([[True], doc[1:] != doc[:-1]]))
-        n = np.diff(np.append(first, len(key))).astype(np.uint32)
-        key, doc, new_key = key[first], doc[first], new_key[first]
-        place = shard_of(key, shards)
-        cuts = np.searchsorted(place, np.arange(shards + 1, dtype=np.uint64))
-        ats = np.array([h[0] for h in held], np.int64)
+            for row in batch.itertuples():
+                t = _Trigrams(row)
+                words = _asked_words(t)
+                own, n = np.unique(t.c, return_counts=True)
+                seen = np.zeros(len(words), np.int64)
+                seen[np.searchsorted(words, own)] = n
+                yield pd.DataFrame([{"part": p, "shard": row.shard, "words": _cut(words[x:y], WORD_BYTES), "n": _small(seen[x:y])}
+                                    for p, x, y in _shards(words, shards)])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        words = [_whole(w, WORD_BYTES) for w in pdf["words"]]
+        every, place = np.unique(np.concatenate(words), return_inverse=True)
+        n = np.bincount(place, np.concatenate([_numbers(x) for x in pdf["n"]]), len(every)).astype(np.int64)
+        ends = np.cumsum([0, *map(len, words)])
+        part = pdf["part"].iloc[0]
+        rows = [{"shard": s, "part": part, "n": _small(n[place[x:y]])} for s, x, y in zip(pdf["shard"], ends, ends[1:])]
+        rows.append({"shard": None, "part": part, "total": int(n.sum()), "words": int((n > 0).sum()),
+                     **{f"w{k}": int((n == k).sum()) for k in range(1, 5)}})
+        return pd.DataFrame(rows, columns=["shard", "part", "n", "total", "words", *[f"w{k}" for k in range(1, 5)]]).astype(
+            {c: "Int64" for c in ["shard", "part", "total", "words", "w1", "w2", "w3", "w4"]})
+
+    dealt = model.select("shard", *[c.split()[0] for c in SHAPE.split(", ")]).mapInPandas(
+        deal, "part int, shard int, words binary, n binary")
+    return dealt.groupBy("part").applyInPandas(
+        add, "shard int, part int, n binary, total long, words long, w1 long, w2 long, w3 long, w4 long")
+
+
+def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
+    """The modified discounts of counts 1, 2 and more, from how many have counts 1 to 4."""
+    y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    steps = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0,
+             3 - 4 * y * n4 / n3 if n3 else 1.5]
+    return [float(min(max(d, 0.05), k + 0.95)) for k, d in enumerate(steps)]
+
+
+def _off(n: np.ndarray, by: list[float]) -> np.ndarray:
+    return np.where(n == 1, by[0], np.where(n == 2, by[1], by[2])) * (n > 0)
+
+
+class Constants:
+    """What a half's shards share: discounts by order, the sum over unigrams, an unknown word's probability."""
+
+    def __init__(self, model: DataFrame, words: DataFrame):
+        seen = model.agg(*[F.sum(f"{x}{k}").alias(f"{x}{k}") for x in "tp" for k in range(1, 5)]).first()
+        own = words.where("shard is null").agg(*[F.sum(x).alias(x) for x in ("total", "words", "w1", "w2", "w3", "w4")]).first()
+        self.off3, self.off2, self.off1 = (discounts(*[r[f"{x}{k}"] for k in range(1, 5)])
+                                           for r, x in ((seen, "t"), (seen, "p"), (own, "w")))
+        self.total = own["total"]
+        more = own["words"] - own["w1"] - own["w2"]
+        spare = own["w1"] * self.off1[0] + own["w2"] * self.off1[1] + more * self.off1[2]
+        self.unknown = spare / self.total / (own["words"] + 1)
+
+
+class Shard:
+    """The probabilities that one shard's counts give."""
+
+    def __init__(self, row, n1: np.ndarray, k: Constants):
+        t, n = _Trigrams(row), _numbers(row.n)
+        self.b = t.b
+        self.words = _asked_words(t)
+        with np.errstate(divide="ignore"):
+            # Left of a text's end alone: a word whose unigram is never asked for.
+            log1 = np.log((n1 - _off(n1, k.off1)) / k.total + k.unknown)
+        self.log_b = log1[np.searchsorted(self.words, np.where(t.b == START, END, t.b))]
+        c = np.searchsorted(self.words, t.c)
+        self.pairs = t.b_of_pair * len(self.words) + c
+        off2 = _off(t.lefts, k.off2)
+        total2 = np.bincount(t.b_of_pair, t.lefts, len(t.b))
+        g2 = np.bincount(t.b_of_pair, off2, len(t.b)) / total2
+        p2 = (t.lefts - off2) / total2[t.b_of_pair] + g2[t.b_of_pair] * np.exp(log1[c])
+        self.log_g2, self.gain2 = np.log(g2), np.log(p2) - log1[c]
+        self.lefts, left = np.unique(t.a, return_inverse=True)
+        self.triples = t.pair * len(self.lefts) + left
+        self.contexts, own = np.unique(t.b_of_pair[t.pair] * len(self.lefts) + left, return_inverse=True)
+        off3 = _off(n, k.off3)
+        total3 = np.bincount(own, n)
+        g3 = np.bincount(own, off3) / total3
+        p3 = (n - off3) / total3[own] + g3[own] * p2[t.pair]
+        self.log_g3, self.gain3 = np.log(g3), np.log(p3) - log1[c][t.pair]
+
+    def values(self, t: _Trigrams, unknown: float) -> np.ndarray:
+        """Each trigram's part of a text's log probability."""
+        b = _find(self.b, t.b)
+        first = np.where(b >= 0, self.log_b[b], np.log(unknown))
+        word = _find(self.words, t.c)
+        b2 = b[t.b_of_pair]
+        pair = np.where((b2 >= 0) & (word >= 0), _find(self.pairs, b2 * len(self.words) + word), -1)
+        second = np.where(pair >= 0, self.gain2[pair], np.where(b2 >= 0, self.log_g2[b2], 0.0))
+        left, pair3, b3 = _find(self.lefts, t.a), pair[t.pair], b2[t.pair]
+        width = len(self.lefts)
+        triple = np.where((pair3 >= 0) & (left >= 0), _find(self.triples, pair3 * width + left), -1)
+        context = np.where((b3 >= 0) & (left >= 0), _find(self.contexts, b3 * width + left), -1)
+        third = np.where(triple >= 0, self.gain3[triple],
+                         second[t.pair] + np.where(context >= 0, self.log_g3[context], 0.0))
+        return third + first[t.b_of_pair][t.pair]
+
+
+def _find(rising: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The place of each key, -1 where there is none."""
+    at = np.minimum(np.searchsorted(rising, keys), len(rising) - 1)
+    return np.where(rising[at] == keys, at, -1)
+
+
+# ---------------------------------------------------------------- scoring
+def _asked(docs: DataFrame, shards: int) -> DataFrame:
+    """The distinct trigrams of many texts of ``docs(at, text)`` at a time with the texts that have each and how
+    often; the first row of a batch also has the keys and sizes of all its texts."""
+    names = [c.split()[0] for c in ASKED.split(", ")]
+
+    def pack(batch: _Batch, ats: list, number: int) -> pa.RecordBatch:
+        b, c, a, text = batch.trigrams()
+        new = _starts(b, c, a)
+        first = np.flatnonzero(new | _starts(text))
+        times = np.diff(np.append(first, len(b)))
+        head = np.flatnonzero(new[first])
+        sizes = np.diff(np.append(head, len(first)))
+        text, b, c, a = text[first], b[first][head], c[first][head], a[first][head]
+        bounds = np.append(head, len(first))
+        kind = "<u2" if len(ats) <= 1 << 16 else "<u4"
+        parts = _shards(b, shards) or [(0, 0, 0)]
         rows = []
-        for s in np.flatnonzero(np.diff(cuts)):
-            part = slice(cuts[s], cuts[s + 1])
-            heads = np.flatnonzero(new_key[part])
-            sizes = np.diff(np.append(heads, cuts[s + 1] - cuts[s])).astype(np.uint32)
-            texts, own = np.unique(doc[part], return_inverse=True)
-            rows.append((int(s), key[part][heads].tobytes(), sizes.tobytes(), own.astype(np.uint32).tobytes(),
-                         n[part].tobytes(), ats[texts].tobytes()))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int32()),
-             *[pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6)]],
-            ["shard", "keys", "sizes", "texts", "n", "ats"])
+        for s, x, y in parts:
+            own = slice(bounds[x], bounds[y])
+            rows.append((s, number, len(ats), *_shape(b[x:y], c[x:y], a[x:y]), _small(sizes[x:y]),
+                         _small(text[own], kind), _small(times[own]),
+                         _small(np.array(ats, np.int64).reshape(-1), "<i8") if s == parts[0][0] else None))
+        return _rows(rows, names, ASKED)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, size = _Words(), [], 0
-        for batch in batches:
-            for at, half, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                run = tokens_of(text, words)
-                if len(run):
-                    held.append((at, half, run))
-                    size += len(run)
-                if size >= FLUSH_TOKENS:
-                    yield from pack(held)
-                    held, size = [], 0
-        if held:
-            yield from pack(held)
-
-    return docs.select("at", "f", "text").mapInArrow(
-        deal, "shard int, keys binary, sizes binary, texts binary, n binary, ats binary")
-
-
-def _sums(values: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-    """The summed values of each text's n-grams of one shard."""
-    key = values["key"].to_numpy().view(np.uint64)
-    order = np.argsort(key)
-    key, v = key[order], values["v"].to_numpy().astype(np.int64)[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-    key, v = key[first], np.add.reduceat(v, first) if len(first) else v
-    ats, sums = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for r in asked.itertuples():
-        if not len(key):
-            break
-        own = np.frombuffer(r.keys, np.uint64)
-        at = np.minimum(np.searchsorted(key, own), len(key) - 1)
-        worth = np.where(key[at] == own, v[at], 0)
-        each = np.repeat(worth, np.frombuffer(r.sizes, np.uint32)) * np.frombuffer(r.n, np.uint32)
-        total = np.zeros(len(r.ats) // 8, np.int64)
-        np.add.at(total, np.frombuffer(r.texts, np.uint32), each)
-        ats.append(np.frombuffer(r.ats, np.int64))
-        sums.append(total)
-    return pd.DataFrame({"at": np.concatenate(ats), "v": np.concatenate(sums)})
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        held, ats = _Batch(), []
+        for arrow in batches:
+            for at, text in zip(arrow.column("at").to_pylist(), arrow.column("text").to_pylist()):
+                ats.append((at, held.add(text)))
+                if held.tokens >= FLUSH_TOKENS or len(ats) >= FLUSH_TOKENS:
+                    yield pack(held, ats, number)
+                    held, ats, number = _Batch(), [], number + 1
+        if ats:
+            yield pack(held, ats, number)
+
+    return docs.select("at", "text").mapInArrow(deal, ASKED)
+
+
+def _sums(k: Constants):
+    def score(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        counts, shard = own[own["b"].notna()], None
+        if len(counts):
+            parts = own[own["b"].isna()].sort_values("part")
+            shard = Shard(next(counts.itertuples()), np.concatenate([_numbers(x) for x in parts["n"]]), k)
+        rows = []
+        for row in asked.itertuples():
+            t = _Trigrams(row)
+            value = shard.values(t, k.unknown) if shard else np.full(len(t.a), np.log(k.unknown))
+            docs = _numbers(row.docs, "<u2" if row.texts <= 1 << 16 else "<u4")
+            each = np.repeat(value, _numbers(row.sizes)) * _numbers(row.times)
+            rows.append((row.batch, _small(np.bincount(docs, each, row.texts), "<f8"), row.ats))
+        return pd.DataFrame(rows, columns=["batch", "sums", "ats"])
 
+    return score
+
+
+def _costs(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The sums of a batch's texts over all shards."""
+    total = np.sum([_numbers(x, "<f8") for x in pdf["sums"]], axis=0)
+    ats = _numbers(pdf["ats"].dropna().iloc[0], "<i8").reshape(-1, 2)
+    return pd.DataFrame({"at": ats[:, 0], "symbols": ats[:, 1], "cost": np.rint(-total * MICRO).astype(np.int64)})
 
-def row_key(id_col: str, text_col: str) -> Column:
-    """Equal for rows of one id and text, which cost the same."""
-    return F.xxhash64(F.col(id_col).cast("long"), text_or_empty(text_col))
+
+@contextmanager
+def _freeing(spark: SparkSession):
+    """Shuffle files go when the job that made them has ended; nothing here reads them again."""
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
 
 
 def word_costs(docs: DataFrame, good: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
     """``(at, symbols, cost)`` of every :func:`row_key`: tokens (and an end) and micro-nats;
-    None without any trusted text."""
+    None without any trusted text.
+
+    Words are told apart by hashes of 48 bits, left neighbours of a pair by 40: two that share one add up."""
+    spark = docs.sparkSession
     given = docs.select(row_key(id_col, text_col).alias("at"), F.col(id_col).cast("long").alias("doc_id"),
                         half_of(id_col).alias("f"), text_or_empty(text_col).alias("text"))
-    # Ids grow with the corpus: one shuffle of the texts at every size, never a broadcast.
-    trusted = given.join(good.hint("shuffle_merge"), "doc_id", "left_semi").select("f", "text")
-    trigrams = stored(count_words(trusted), "words-3")
-    if trigrams.isEmpty():
-        return None
-    values, unknown = word_values(trigrams)
-    shards = 1 + (given.agg(F.sum(F.length("text"))).first()[0] or 0) // SHARD_CHARS
-    # A row is scored by the other half; if that is empty, by the only one.
-    other = {f: 1 - f if 1 - f in unknown else f for f in range(HALVES)}
-    half = F.coalesce(*[F.when(F.col("f") == f, o) for f, o in other.items()])
-    given = given.withColumn("f", half)
-    found = _dealt_values(values, shards).groupBy("shard").cogroup(
-        _dealt_texts(given, shards).groupBy("shard")).applyInPandas(_sums, "at long, v long")
-    # Repeated rows add up to as many times the sum.
-    sums = found.groupBy("at").agg(F.sum("v").alias("v"))
-
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = [sum(1 for _ in TOKEN.finditer(t)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("at"), batch.column("f"), pa.array([k + (k > 0) for k in n], pa.int64())],
-                ["at", "f", "symbols"])
-
-    base = F.coalesce(*[F.when(F.col("f") == f, float(x)) for f, x in unknown.items()])
-    rows = given.select("at", "f", "text").mapInArrow(sizes, "at long, f int, symbols long").groupBy("at").agg(
-        F.first("f").alias("f"), F.first("symbols").alias("symbols"), F.count("*").alias("copies"))
-    cost = -F.coalesce(F.col("v"), F.lit(0)) / F.col("copies") - F.col("symbols") * base * MICRO
-    return stored(rows.join(sums, "at", "left").select("at", "symbols", F.round(cost).cast("long").alias("cost")),
-                  "words-costs")
+    shards = int(1 + (given.agg(F.sum(F.length("text"))).first()[0] or 0) // SHARD_CHARS)
+
+    def counts(half: int) -> tuple[DataFrame, DataFrame] | None:
+        # Ids grow with the corpus: the texts of a half are shuffled to their ids, never a broadcast.
+        trusted = stored(given.where(F.col("f") == half).join(good.hint("shuffle_merge"), "doc_id", "left_semi").where(
+            "text <> ''").select("text"), "words-trusted")
+        seen = ", ".join(f"{x}{k} long" for x in "tp" for k in range(1, 5))
+        model = stored(_counted(trusted, shards).groupBy("shard").applyInPandas(_merged, f"{MODEL}, {seen}"), "words-counts")
+        dropped(trusted)
+        if model.isEmpty():
+            dropped(model)
+            return None
+        return model, stored(_unigrams(model, shards), "words-unigrams")
+
+    def trusted_in(half: int) -> bool:
+        """Whether the half has a trusted text with any token."""
+        some = given.where(F.col("f") == half).where(F.col("text").rlike(r"\S|\n")).select("doc_id")
+        return not some.join(good, "doc_id", "left_semi").isEmpty()
+
+    with _freeing(spark):
+        costs, alone = [], [h for h in range(HALVES) if not trusted_in(h)]
+        for half in range(HALVES):
+            found = None if half in alone else counts(half)
+            if found is None:
+                continue
+            model, words = found
+            k = Constants(model, words)
+            names = [c.split()[0] for c in MODEL.split(", ")]
+            own = model.select(*names).unionByName(words.where("shard is not null").select("shard", "part", "n"),
+                                                   allowMissingColumns=True)
+            # A row is scored by the other half; if that one is empty, by its own.
+            for other in range(HALVES):
+                if other == half and not alone:
+                    continue
+                for part in range(ROUNDS):
+                    asked = given.where((F.col("f") == other) & (F.pmod(F.shiftright("at", 8), F.lit(ROUNDS)) == part))
+                    sums = own.groupBy("shard").cogroup(_asked(asked, shards).groupBy("shard")).applyInPandas(
+                        _sums(k), "batch long, sums binary, ats binary")
+                    costs.append(stored(sums.groupBy("batch").applyInPandas(
+                        _costs, "at long, symbols long, cost long"), "words-sums"))
+            dropped(model)
+            dropped(words)
+        if not costs:
+            return None
+        every = costs[0]
+        for more in costs[1:]:
+            every = every.unionByName(more)
+        return stored(every.groupBy("at").agg(F.first("symbols").alias("symbols"), F.first("cost").alias("cost")), "words-costs")
