@@ -20,10 +20,11 @@ k-th score is a floor for the others, which then return only what reaches the fl
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerframe.llm.common import stored
@@ -32,6 +33,7 @@ BLOCK_ROWS = 4096
 QUERY_ROWS = 512
 PAGE = 48
 SLACK = 1e-6
+LONG = 2 ** 63 - 1
 
 
 class Node:
@@ -142,21 +144,97 @@ class MTree:
         return at, got
 
 
+def usable_vectors(vectors: DataFrame, scale: int = 1024, id_col: str = "vec_id",
+                   vector_col: str = "embedding") -> DataFrame:
+    """``(vec_id, x array<double>, small)`` of rows that take part: a vector that is not null or empty, without
+    null or non-finite components, and a known id. The inner product of two ``small`` ones fits a long."""
+    x = F.col(vector_col).cast("array<double>")
+    finite = vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).where(
+        "vec_id is not null and size(x) > 0 and "
+        "forall(x, c -> c is not null and not isnan(c) and abs(c) < double('infinity'))")
+    bound = F.sqrt(F.lit(2.0 ** 62) / F.size("x")) - 1
+    return finite.withColumn("small", F.forall("x", lambda c: F.abs(c) * scale < bound))
+
+
 def integer_vectors(vectors: DataFrame, scale: int = 1024, id_col: str = "vec_id",
                     vector_col: str = "embedding") -> DataFrame:
-    """``(vec_id, v array<long>)`` of rows that take part: a vector that is not null or
-    empty, without null or non-finite components or ones beyond 2^31 once scaled, and a known id."""
-    x = F.col(vector_col).cast("array<double>")
-    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).where(
-        "vec_id is not null and size(x) > 0 and forall(x, c -> c is not null and not isnan(c) "
-        f"and abs(c) * {scale} < 2147483648D)").select(
+    """``(vec_id, v array<long>)`` of the small ones of :func:`usable_vectors`."""
+    return usable_vectors(vectors, scale, id_col, vector_col).where("small").select(
         "vec_id", F.transform("x", lambda c: F.floor(c * scale)).alias("v"))
 
 
+def whole(x: float, scale: int) -> int:
+    """``floor(scale * x)``, also beyond the range of doubles."""
+    scaled = x * scale
+    return math.floor(scaled) if math.isfinite(scaled) else int(x) * scale
+
+
+def order_of(score: int) -> str:
+    """A text that rises with the integer, of any size."""
+    digits = str(abs(score))
+    if score >= 0:
+        return f"1{len(digits):05d}{digits}"
+    return f"0{99999 - len(digits):05d}{digits.translate(str.maketrans('0123456789', '9876543210'))}"
+
+
+def _order_column(score: Column) -> Column:
+    """:func:`order_of` of a long."""
+    digits = F.regexp_replace(score.cast("string"), "-", "")
+    n = F.length(digits)
+    return F.when(score >= 0, F.concat(F.lit("1"), F.lpad(n.cast("string"), 5, "0"), digits)).otherwise(F.concat(
+        F.lit("0"), F.lpad((F.lit(99999) - n).cast("string"), 5, "0"), F.translate(digits, "0123456789", "9876543210")))
+
+
+def _exact(k: int, scale: int):
+    """A block of queries against a block of vectors with integers of any size; ``score`` is cut to a long."""
+    def search(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(queries) and len(block):
+            block = block.sort_values("vec_id", kind="stable")
+            ids, raw = block["vec_id"].tolist(), [tuple(x) for x in block["x"]]
+            rows = np.array([[whole(c, scale) for c in x] for x in raw], object)
+            for query, x in zip(queries["query_id"].tolist(), queries["x"]):
+                scores = (rows @ np.array([whole(c, scale) for c in x], object)).tolist()
+                own = next((n for n, i in enumerate(ids) if i == query and raw[n] == tuple(x)), None)
+                pairs = heapq.nsmallest(k, ((-s, i) for n, (s, i) in enumerate(zip(scores, ids)) if n != own))
+                found += [(query, i, max(min(-s, LONG), -LONG - 1), order_of(-s)) for s, i in pairs]
+        return pd.DataFrame(found, columns=["query_id", "vec_id", "score", "place"])
+
+    return search
+
+
+def _all_against(queries: DataFrame, rows: DataFrame, k: int, scale: int) -> DataFrame:
+    """``queries(query_id, x)`` against all ``rows(vec_id, x)`` of their length, in blocks of bounded size; rows of
+    an id are in one block."""
+    def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
+        return df.groupBy(F.size("x").alias("dim")).agg(F.ceil(F.count("*") / size).alias(name))
+
+    sizes = blocks(queries, QUERY_ROWS, "qs").join(blocks(rows, BLOCK_ROWS, "ds"), "dim")
+
+    def dealt(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        return df.withColumn("dim", F.size("x")).join(sizes, "dim").select(
+            F.col("dim").alias("dim"), F.col(key).alias(key), F.col("x").alias("x"),  # both sides may be one table
+            F.pmod(F.xxhash64(key), F.col(own)).alias(own[0]),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other[0]))
+
+    keys = ["dim", "q", "d"]
+    return dealt(queries, "query_id", "qs", "ds").groupBy(*keys).cogroup(
+        dealt(rows, "vec_id", "ds", "qs").groupBy(*keys)).applyInPandas(
+        _exact(k, scale), "query_id long, vec_id long, score long, place string")
+
+
 def _matrix(lists: pd.Series) -> np.ndarray:
     return np.array(lists.tolist(), np.int64)
 
 
+def _others(ids: list[int], query: int, entry: np.ndarray, point: np.ndarray) -> list[int]:
+    """The rows of an entry but the query's own one."""
+    if query in ids and np.array_equal(entry, point):
+        at = list(ids).index(query)
+        return [*ids[:at], *ids[at + 1:]]
+    return ids
+
+
 def _search(k: int):
     out = ["query_id", "vec_id", "score"]
 
@@ -171,7 +249,7 @@ def _search(k: int):
             # One more than k, as the query's own row may be among them.
             rows, scores = tree.search(point, k + 1, None if pd.isna(floor) else int(floor))
             pairs = heapq.nsmallest(k, ((-s, i) for r, s in zip(rows.tolist(), scores.tolist())
-                                        for i in ids[r] if i != query))
+                                        for i in _others(ids[r], query, tree.x[r], point)))
             found += [(query, i, -s) for s, i in pairs]
         return pd.DataFrame(found, columns=out)
 
@@ -184,11 +262,14 @@ def top_k(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = 10, s
     """``(query_id, rank, vec_id, score)``: the ``k`` highest scores of each query among all
     other rows, ties to the smaller id; fewer if there are fewer candidates.
 
-    Rows that :func:`integer_vectors` leaves out take no part. Vectors meet queries of
-    their own length only. Rows that repeat an id and its vector are one row; an id with
-    several vectors is a candidate with each, and its queries' results are mixed; a query
-    never meets a row of its own id. Other columns are not read."""
-    given = stored(integer_vectors(vectors, scale, id_col, vector_col).distinct(), "mtree-vectors")
+    Rows that :func:`usable_vectors` leaves out take no part. Vectors meet queries of their own length
+    only. Vectors with components so large that an inner product might not fit a long are scored
+    exactly all the same, by integers of any size against all rows in blocks; such a score is ranked as
+    it is and returned cut to the range of a long. A repeated row is a candidate each time, and its query is
+    asked once; an id with several vectors is a candidate with each, and its queries' results are
+    mixed; a query never meets its own row. Other columns are not read."""
+    every = stored(usable_vectors(vectors, scale, id_col, vector_col), "mtree-vectors")
+    given = every.where("small").select("vec_id", F.transform("x", lambda c: F.floor(c * scale)).alias("v"))
     # Equal vectors are one entry: the k + 1 smallest ids can be asked for, no more.
     nth = Window.partitionBy("v").orderBy("vec_id")
     entries = stored(given.withColumn("n", F.row_number().over(nth)).where(F.col("n") <= k + 1)
@@ -198,7 +279,7 @@ def top_k(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = 10, s
     sizes = stored(sizes, "mtree-sizes")
     blocks = stored(entries.join(sizes, F.size("v") == F.col("dim")).withColumn(
         "block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).drop("blocks"), "mtree-blocks")
-    queries = stored(given.where(is_query).select(F.col("vec_id").alias("query_id"), "v")
+    queries = stored(given.where(is_query).select(F.col("vec_id").alias("query_id"), "v").distinct()
                      .join(sizes, F.size("v") == F.col("dim")), "mtree-queries")
 
     schema = "query_id long, vec_id long, score long"
@@ -223,7 +304,13 @@ def top_k(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = 10, s
     rest = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where(
         F.col("block") != home).join(floors, "query_id", "left").select(
         "dim", "block", "query_id", "v", F.col("least").alias("floor"))
-    both = first.unionByName(against(rest)).distinct()
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    both = first.unionByName(against(rest)).withColumn("place", _order_column(F.col("score")))
+    large = every.where("not small")
+    if not large.isEmpty():
+        asking = every.where(is_query).select(F.col("vec_id").alias("query_id"), "x", "small").distinct()
+        exact = _all_against(asking.select("query_id", "x"), large.select("vec_id", "x"), k, scale).unionByName(
+            _all_against(asking.where("not small").select("query_id", "x"), every.where("small").select("vec_id", "x"), k, scale))
+        both = both.unionByName(exact)
+    ranked = Window.partitionBy("query_id").orderBy(F.desc("place"), "vec_id")
     return both.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

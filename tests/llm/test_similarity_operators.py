@@ -143,6 +143,31 @@ def test_top_k(spark, block):
     assert mtree.top_k(spark.createDataFrame([], VEC)).count() == 0
 
 
+def test_top_k_large_components_and_repeated_rows(spark):
+    pick = np.random.default_rng(8)
+    rows = [(i, (pick.normal(size=4) * 10.0 ** pick.integers(0, 14)).tolist()) for i in range(0, 1200, 7)]
+    rows += [(100, [2e9] * 4), (200, [-1e305, 1e305, 3.5, 0.0]), (300, [1.0, 2.0, 3.0, 4.0]), (301, [1e12, 0.0, -1e12, 5.0]),
+             (302, [1.5e12, 0.0, -1e12, 5.0])]
+    rows += [(300, [1.0, 2.0, 3.0, 4.0]), (301, [1e12, 0.0, -1e12, 5.0]), (303, [9.0, 9.0, 9.0, 9.0]), (303, [9.0, 9.0, 9.0, 9.0])]
+    out = mtree.top_k(spark.createDataFrame([(i, v, 0, "") for i, v in rows], VEC), k=6, block_rows=20).collect()
+    whole = [[mtree.whole(c, 1024) for c in v] for _, v in rows]
+    got = {}
+    for r in out:
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in {i for i, _ in rows if i % 100 == 0}:
+        at = next(n for n, (i, _) in enumerate(rows) if i == q)
+        scored = sorted((-sum(a * b for a, b in zip(whole[at], w)), rows[n][0]) for n, w in enumerate(whole) if n != at)[:6]
+        want = [(k + 1, i, max(min(-s, 2 ** 63 - 1), -2 ** 63)) for k, (s, i) in enumerate(scored)]
+        assert sorted(got.pop(q)) == want, q
+    assert not got
+
+
+def test_order_rises_with_the_score():
+    scores = sorted({s * m for s in (0, 1, 2, 9, 10, 11, 99, 100, 10 ** 18, 7 * 10 ** 40) for m in (1, -1)})
+    orders = [mtree.order_of(s) for s in scores]
+    assert orders == sorted(orders)
+
+
 def test_mtree_skips_pages():
     pick = np.random.default_rng(5)
     x = (pick.normal(size=(40, 6))[pick.integers(0, 40, 4000)] * 1000
