@@ -31,18 +31,19 @@ def derive_liabilities(totals: DataFrame, equities: DataFrame, existing: DataFra
         F.lit("USD").alias("unit"), F.lit(None).cast("date").alias("start_date"), "end_date", "accn")
 
 
-def extract_filings(merged: DataFrame, metrics: Sequence[str] = tuple(domain.METRICS)) -> DataFrame:
+def extract_filings(merged: DataFrame, metrics: Sequence[str] = tuple(domain.METRICS),
+                    counted: bool = False) -> DataFrame:
     """One row per accession; the first kept fact wins, in metric-list then
     (fy, fp) order (company breaks the remaining ties). ``merged`` is the
     selected facts before Q4 derivation (company_id, metric, fy, fp, form,
-    filed, accn)."""
+    filed, accn). ``counted`` adds ``n_facts``, how many facts an accession has."""
     metric_ord = lookup({m: i for i, m in enumerate(metrics)}, F.col("metric"))
     first = F.min_by(F.struct("company_id", "form", "filed", "fy", "fp"),
                      F.struct(metric_ord, F.col("fy"), F.col("fp"), F.col("company_id")))
-    return merged.groupBy("accn").agg(first.alias("f")).select(
+    return merged.groupBy("accn").agg(first.alias("f"), F.count("*").alias("n_facts")).select(
         "accn", F.col("f.company_id").alias("company_id"), F.col("f.form").alias("form"),
         F.col("f.filed").alias("filed"), F.col("f.fy").alias("fiscal_year"),
-        F.col("f.fp").alias("fiscal_period"))
+        F.col("f.fp").alias("fiscal_period"), *["n_facts"] * counted)
 
 
 def load_summary(fm: DataFrame, metrics: Sequence[str] = tuple(domain.METRICS)) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerframe import domain
@@ -53,8 +53,13 @@ def referential_report(fm: DataFrame, companies: DataFrame, filings: DataFrame)
 
 def domain_report(fm: DataFrame) -> DataFrame:
     """D3: closed domains and not-null rules, one ``count_if`` per rule."""
+    return fm.agg(*domain_rules())
+
+
+def domain_rules() -> list[Column]:
+    """The rules of D3 as aggregates, which a job can also observe while it writes the table."""
     m, p, u = F.col("metric"), F.col("fiscal_period"), F.col("unit")
-    return fm.agg(
+    return [
         F.count_if(~m.isin(*domain.METRICS) | m.isNull()).alias("bad_metric"),
         F.count_if(~p.isin(*domain.PERIODS) | p.isNull()).alias("bad_period"),
         F.count_if(~u.isin(*domain.UNITS) | u.isNull()).alias("bad_unit"),
@@ -64,7 +69,7 @@ def domain_report(fm: DataFrame) -> DataFrame:
         F.count_if(F.col("value").isNull() | F.col("fiscal_year").isNull() | F.col("end_date").isNull())
         .alias("missing_required"),
         F.count("*").alias("rows"),
-    )
+    ]
 
 
 def reconcile_quarters(fm: DataFrame, flow_metrics: Sequence[str] = domain.FLOW_METRICS) -> DataFrame:

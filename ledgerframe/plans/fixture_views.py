@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerframe import domain
-from ledgerframe.operators import periods
-from ledgerframe.sources.tables import Tables
+from ledgerframe.operators import derived, periods, quality
+from ledgerframe.sources.store import materialized, observed
+from ledgerframe.sources.tables import Tables, table_path
 
 # --- fixed values -----------------------------------------------------------
 # Fixture mapping: p_size % 5 -> metric; l_returnflag is the tag, priority R, A, N.
@@ -126,11 +127,32 @@ def metrics_table(spark: SparkSession, sf_dir: str, fy_min: int = FIXTURE_FY_MIN
                   fy_max: int = FIXTURE_FY_MAX) -> DataFrame:
     """The metrics table as the question operators read it: built once by the
     ETL, written partitioned by metric and sorted by year / period."""
-    from ledgerframe.sources.store import materialized
-    from ledgerframe.sources.tables import table_path
     t = Tables(spark, sf_dir)
-    inputs = [table_path(sf_dir, n) for n in ("lineitem", "orders", "part")]
     return materialized(spark, f"financial_metrics_{fy_min}_{fy_max}",
-                        lambda: financial_metrics_v(t, fy_min, fy_max), inputs,
+                        lambda: financial_metrics_v(t, fy_min, fy_max), _etl_inputs(sf_dir),
                         partition_by=["metric"], sort_by=["fiscal_year", "fiscal_period", "company_id"],
-                        spread_by=["fiscal_year", "company_id"])
+                        spread_by=["fiscal_year", "company_id"], observe=quality.domain_rules())
+
+
+def _etl_inputs(sf_dir: str) -> list[str]:
+    return [table_path(sf_dir, n) for n in ("lineitem", "orders", "part")]
+
+
+def metrics_observed(spark: SparkSession, sf_dir: str, fy_min: int = FIXTURE_FY_MIN,
+                     fy_max: int = FIXTURE_FY_MAX) -> dict:
+    """The domain rules (D3) as they were counted while the metrics table was written."""
+    metrics_table(spark, sf_dir, fy_min, fy_max)
+    return observed(spark, f"financial_metrics_{fy_min}_{fy_max}", _etl_inputs(sf_dir))
+
+
+def merged_facts(t: Tables, fy_min: int = FIXTURE_FY_MIN, fy_max: int = FIXTURE_FY_MAX) -> DataFrame:
+    usable = periods.usable_facts(raw_facts(t), fy_min, fy_max)
+    return periods.merge_tags(periods.select_periods(usable), FIXTURE_METRIC_TAGS)
+
+
+def filings_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filings dimension (E13) as the question and quality operators read it, written once like the
+    metrics table, with the number of kept facts of each accession (``n_facts``)."""
+    t = Tables(spark, sf_dir)
+    return materialized(spark, f"filings_{FIXTURE_FY_MIN}_{FIXTURE_FY_MAX}",
+                        lambda: derived.extract_filings(merged_facts(t), counted=True), _etl_inputs(sf_dir))

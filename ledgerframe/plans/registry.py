@@ -59,8 +59,7 @@ def _tables(spark: SparkSession, sf_dir: str) -> Tables:
 
 
 def _merged(t: Tables) -> DataFrame:
-    usable = periods.usable_facts(fv.raw_facts(t), FY_LO, FY_HI)
-    return periods.merge_tags(periods.select_periods(usable), fv.FIXTURE_METRIC_TAGS)
+    return fv.merged_facts(t, FY_LO, FY_HI)
 
 
 def _filings(t: Tables) -> DataFrame:
@@ -272,12 +271,14 @@ UNION ALL SELECT 'ticker', count(*) FROM (SELECT ticker FROM companies_v GROUP B
 UNION ALL SELECT 'raw_accession', count(*) FROM (SELECT accn FROM merged_facts GROUP BY ALL HAVING count(*) > 1)"""))
 def q_unique(spark, sf_dir):
     t, co, fm = _v(spark, sf_dir)
-    return quality.uniqueness_report({
+    report = quality.uniqueness_report({
         "metrics_key": (fm, quality.METRIC_KEY),
         "company_id": (co, ["company_id"]),
         "ticker": (co, ["ticker"]),
-        "raw_accession": (_merged(t), ["accn"]),
     })
+    # Facts per accession were counted when the filings were written.
+    repeated = fv.filings_table(spark, sf_dir).agg(F.count_if(F.col("n_facts") > 1).alias("violations"))
+    return report.unionByName(repeated.select(F.lit("raw_accession").alias("rule"), "violations"))
 
 
 @register("D2_referential", with_views("""
@@ -289,10 +290,10 @@ UNION ALL SELECT 'filings_company', count(*) FROM (SELECT DISTINCT accn, company
   WHERE g.company_id NOT IN (SELECT company_id FROM companies_v)"""))
 def q_refs(spark, sf_dir):
     t, co, fm = _v(spark, sf_dir)
-    return quality.referential_report(fm, co, _filings(t))
+    return quality.referential_report(fm, co, fv.filings_table(spark, sf_dir))
 
 
-@register("D3_domain", with_views(f"""
+D3_SQL = with_views(f"""
 SELECT count(*) FILTER (WHERE metric NOT IN ('revenue','net_income','total_assets','total_liabilities',
                                              'eps_diluted') OR metric IS NULL) AS bad_metric,
   count(*) FILTER (WHERE fiscal_period NOT IN ('FY','Q1','Q2','Q3','Q4') OR fiscal_period IS NULL) AS bad_period,
@@ -303,11 +304,22 @@ SELECT count(*) FILTER (WHERE metric NOT IN ('revenue','net_income','total_asset
     AS instant_with_start,
   count(*) FILTER (WHERE value IS NULL OR fiscal_year IS NULL OR end_date IS NULL) AS missing_required,
   count(*) AS rows
-FROM financial_metrics_v"""))
+FROM financial_metrics_v""")
+
+
+@register("D3_domain", D3_SQL)
 def q_domain(spark, sf_dir):
     return quality.domain_report(_v(spark, sf_dir)[2])
 
 
+@register("D3_observed_while_writing", D3_SQL)
+def q_domain_observed(spark, sf_dir):
+    """The same rules, counted in the pass that wrote the metrics table."""
+    _tables(spark, sf_dir)
+    seen = fv.metrics_observed(spark, sf_dir)
+    return spark.createDataFrame([tuple(seen.values())], ", ".join(f"{c} long" for c in seen))
+
+
 @register("D4_reconciliation", with_views(f"""
 SELECT company_id, metric, fiscal_year, fy_value, quarter_sum, fy_value - quarter_sum AS difference FROM (
   SELECT company_id, metric, fiscal_year,
@@ -412,7 +424,7 @@ def q_q7(spark, sf_dir):
     rows = fm.where((F.col("metric") == "revenue") & (F.col("fiscal_year") == YEAR) & (F.col("fiscal_period") == "Q4")
                     | (F.col("metric") == "net_income") & (F.col("fiscal_year") == YEAR)
                     & (F.col("fiscal_period") == "FY"))
-    return metrics.with_provenance(rows, _filings(t), "left")
+    return metrics.with_provenance(rows, fv.filings_table(spark, sf_dir), "left")
 
 
 @register("Q8_compare_companies", with_views(f"""

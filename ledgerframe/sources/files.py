@@ -23,10 +23,14 @@ def children(spark: SparkSession, parent: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _open(spark, path)
+    return fs.exists(at)
+
+
 def is_complete(spark: SparkSession, folder: str) -> bool:
     """Whether a Spark job wrote the folder to its end."""
-    fs, at = _open(spark, f"{folder}/_SUCCESS")
-    return fs.exists(at)
+    return exists(spark, f"{folder}/_SUCCESS")
 
 
 def stamp(spark: SparkSession, path: str) -> str:
