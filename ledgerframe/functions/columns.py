@@ -16,23 +16,11 @@ def lookup(mapping: Mapping, key: Column) -> Column:
     return F.element_at(F.create_map(*pairs), key) if pairs else F.lit(None)
 
 
-def normalize_form(form: Column, allowed=("10-K", "10-Q")) -> Column:
-    """Text before the first '/', trimmed; NULL unless it is an allowed base form.
-
-    Amendments ('10-K/A') fold into their base form."""
-    base = F.trim(F.split_part(F.coalesce(form, F.lit("")), F.lit("/"), F.lit(1)))
-    return F.when(base.isin(*allowed), base)
-
-
 def safe_ratio(num: Column, den: Column) -> Column:
     """num / den in double; NULL when den is 0 or either side is NULL."""
     return F.try_divide(num.cast("double"), F.nullif(den.cast("double"), F.lit(0.0)))
 
 
-def pct(num: Column, den: Column) -> Column:
-    return safe_ratio(num, den) * F.lit(100.0)
-
-
 def growth_pct(cur: Column, prev: Column) -> Column:
     """(cur - prev) / NULLIF(prev, 0) * 100, in double."""
     return safe_ratio(cur.cast("double") - prev.cast("double"), prev) * F.lit(100.0)

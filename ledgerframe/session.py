@@ -28,7 +28,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("LEDGERFRAME_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("LEDGERFRAME_DRIVER_MEMORY", "8g"))
     )
     for key, value in RESULT_SETTINGS.items():
         builder = builder.config(key, value)
@@ -58,7 +58,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="ledgerframe-ckpt-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(configured)

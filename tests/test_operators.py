@@ -3,6 +3,8 @@
 import datetime as dt
 from decimal import Decimal
 
+import pytest
+
 from ledgerframe.operators import attempts, evaluate, metrics, questions, responses, retrieval
 from ledgerframe.sources import sinks, store
 
@@ -260,3 +262,32 @@ def test_broad_coverage_threshold_and_fallback(spark):
     r = coverage.broad_coverage(only_q, threshold=0.5).first()
     assert (r["peak_fy_companies"], r["last_broad_year"]) == (0, 2024)
     assert coverage.companies_with_latest_fy(fm).first()["n_with_fy_latest"] == 0
+
+
+def test_split_valid_and_json_lines(spark):
+    import json
+    kept, rejects = questions.split_valid(spark.createDataFrame([(1, "What?"), (2, None), (3, "no")], "id int, text string"))
+    assert [r["id"] for r in kept.collect()] == [1]
+    assert {r["id"]: r["reject_reason"] for r in rejects.collect()} == {2: "missing", 3: "too_short"}
+    rows = spark.sql("select cast(1.5 as decimal(9, 2)) d, date'2020-01-02' t, 'x' s")
+    assert [json.loads(r["json"]) for r in sinks.to_json_lines(rows).collect()] == [{"d": 1.5, "t": "2020-01-02", "s": "x"}]
+
+
+def test_corpus_with_an_injected_encoder_through_to_context(spark):
+    import numpy as np
+    corpus = spark.createDataFrame([(k, "note", f"title {k}", text) for k, text in enumerate(
+        ["apples and pears", "ships at sea", "pears", None, "a sea of apples"])], "doc_id long, doc_type string, title string, content string")
+
+    def encoder(texts):
+        return np.array([[t.count(w) + 1e-3 for w in ("apples", "pears", "sea")] for t in texts])
+
+    docs = retrieval.embed_documents(corpus, "content", encoder=encoder, batch_size=2).select("doc_id", "embedding")
+    asked = spark.createDataFrame([(10, "pears"), (11, "sea")], "query_id long, question string")
+    queries = retrieval.embed_documents(asked, "question", encoder=encoder).select("query_id", "embedding")
+    top = retrieval.topk_cosine(queries, docs, 2)
+    first = {r["query_id"]: r["doc_id"] for r in top.where("rank = 1").collect()}
+    assert first == {10: 2, 11: 1}
+    packed = {r["query_id"]: r["context"] for r in retrieval.context_pack(top, corpus).collect()}
+    assert packed[10].startswith("[note] title 2\npears\n\n[note] title 0\n")
+    with pytest.raises(Exception, match="encoder returned 1 vectors for 2 texts"):
+        retrieval.embed_documents(corpus, "content", encoder=lambda t: np.zeros((1, 3)), batch_size=2).collect()

@@ -3,7 +3,6 @@ and the full load from them (FIXTURES.md §4)."""
 
 import json
 
-from pyspark.sql import functions as F
 
 from ledgerframe.operators import universe
 from ledgerframe.sources import company_facts as cf
