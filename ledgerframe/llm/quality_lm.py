@@ -7,131 +7,21 @@ are drawn towards the trusted mean by ``PRIOR_TOKENS`` tokens of it, so that a f
 rare words do not decide. The threshold of a language is a quantile of its trusted
 documents' perplexities over all of them (fixed-width bins of the log perplexity,
 at most ``BIN`` above it); no trusted document is scored by counts of its own text.
-
-The letter model below (4-grams of 32 symbols, a table of 32^4 rows) is no longer
-what scores; the README has figures of both.
 """
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Iterator
-from functools import lru_cache
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerframe.llm.common import stored
 from ledgerframe.llm.word_lm import row_key, word_costs
 
-ALPHABET_BITS, ORDER = 5, 4
-SYMBOLS = 1 << ALPHABET_BITS
-GRAMS = 1 << (ALPHABET_BITS * ORDER)
-START, BLANK, LINE, DIGIT, STOP, SIGN = 0, 27, 28, 29, 30, 31
-STOPS = ".,;:!?'\"()-"
-PRIOR_TOKENS = 40  # of about five letters: as much as the 200 letters of the letter model
+PRIOR_TOKENS = 40
 QUANTILE = 0.99
 BIN = 1e-3
 
 
-@lru_cache(maxsize=1)
-def symbol_table() -> np.ndarray:
-    """The symbol of every code point."""
-    table = np.full(0x110000, SIGN, np.uint8)
-    for point in range(0x30000):
-        mark = chr(point)
-        kind = unicodedata.category(mark)
-        if mark == "\n":
-            table[point] = LINE
-        elif kind[0] == "Z" or mark in "\t\r\x0b\x0c":
-            table[point] = BLANK
-        elif kind[0] == "N":
-            table[point] = DIGIT
-        elif mark in STOPS or kind in ("Ps", "Pe", "Pi", "Pf", "Pd"):
-            table[point] = STOP
-        elif kind[0] in "LM":
-            base = unicodedata.normalize("NFKD", mark.lower())[0]
-            table[point] = (ord(base) - 97 if "a" <= base <= "z" else ord(base) % 26) + 1
-    return table
-
-
-def gram_codes(text: str) -> np.ndarray:
-    """The packed 4-gram that ends at each symbol of the text."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    symbols = np.concatenate([np.full(ORDER - 1, START, np.int32),
-                              symbol_table()[points].astype(np.int32)])
-    codes = symbols[ORDER - 1:].copy()
-    for back in range(1, ORDER):
-        codes |= symbols[ORDER - 1 - back:len(symbols) - back] << (ALPHABET_BITS * back)
-    return codes
-
-
-def count_grams(texts: DataFrame) -> DataFrame:
-    """``(gram, n)`` of the highest order over all of ``texts(text)``."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(GRAMS, np.int64)
-        held, size = [], 0
-        for batch in batches:
-            for text in batch["text"]:
-                held.append(gram_codes(text))
-                size += len(text)
-                if size > GRAMS:
-                    total += np.bincount(np.concatenate(held), minlength=GRAMS)
-                    held, size = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=GRAMS)
-        got = np.flatnonzero(total)
-        yield pd.DataFrame({"gram": got.astype(np.int64), "n": total[got]})
-
-    return texts.mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def _discounts(table: DataFrame) -> list[float]:
-    """The modified discounts D1, D2, D3+ of one order from its counts of counts."""
-    n = {r["n"]: r["c"] for r in table.where("n <= 4").groupBy("n").agg(F.count("*").alias("c")).collect()}
-    n1, n2, n3, n4 = (n.get(k, 0) for k in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-    steps = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0,
-             3 - 4 * y * n4 / n3 if n3 else 1.5]
-    return [min(max(d, 0.05), k + 0.95) for k, d in enumerate(steps)]
-
-
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """``(gram, p)`` for every possible n-gram of the highest order.
-
-    The highest order uses the counts themselves, lower orders the number of
-    different symbols seen before an n-gram."""
-    spark = counts.sparkSession
-    bits = ALPHABET_BITS
-    orders = {ORDER: counts}
-    for order in range(ORDER - 1, 0, -1):
-        tail = F.col("gram").bitwiseAND((1 << (bits * order)) - 1)
-        orders[order] = stored(orders[order + 1].select(tail.alias("gram")).groupBy("gram")
-                               .agg(F.count("*").alias("n")), f"kn-order-{order}")
-    lower = None
-    for order in range(1, ORDER + 1):
-        seen = orders[order]
-        d1, d2, d3 = _discounts(seen)
-        context = F.shiftright("gram", bits).alias("context")
-        off = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        contexts = seen.groupBy(context).agg(F.sum("n").alias("total"), F.sum(off).alias("spare"))
-        size = 1 << (bits * order)
-        grid = spark.range(0, size, 1, 8).select(
-            F.col("id").alias("gram"), F.shiftright("id", bits).alias("context"),
-            F.col("id").bitwiseAND((size >> bits) - 1).alias("tail"))
-        joined = grid.join(seen, "gram", "left").join(contexts, "context", "left")
-        joined = (joined.join(lower, "tail") if lower is not None
-                  else joined.withColumn("p_tail", F.lit(1 / SYMBOLS)))
-        kept = F.coalesce(F.greatest(F.col("n") - off, F.lit(0.0)), F.lit(0.0))
-        p = F.when(F.col("total").isNull(), F.col("p_tail")).otherwise(
-            (kept + F.col("spare") * F.col("p_tail")) / F.col("total"))
-        table = stored(joined.select("gram", p.alias("p")), f"kn-p-{order}")
-        lower = table.select(F.col("gram").alias("tail"), F.col("p").alias("p_tail"))
-    return table
-
-
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
     """Ids that a label calls good and none calls bad; null ids and labels are none."""
     return labels.select(F.col(id_col).cast("long").alias("doc_id"),
@@ -151,19 +41,6 @@ def _quantiles(bins: DataFrame, quantile: float, by: list[str]) -> DataFrame:
                                              ).groupBy(*by).agg(F.min("bin").alias("bin"))
 
 
-def cost_array(table: DataFrame) -> np.ndarray:
-    """The micro-nats of every n-gram, gathered as one packed row per shard of contexts
-    (always GRAMS numbers of 4 bytes)."""
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        cost = np.rint(-1e6 * np.log(group.sort_values("gram")["p"].to_numpy()))
-        return pd.DataFrame([{"shard": group["shard"].iloc[0], "cost": cost.astype("<i4").tobytes()}])
-
-    shards = table.withColumn("shard", F.shiftright("gram", ALPHABET_BITS * (ORDER - 1)).cast("int")
-                              ).groupBy("shard").applyInPandas(pack, "shard int, cost binary")
-    return np.concatenate([np.frombuffer(r["cost"], "<i4") for r in
-                           sorted(shards.collect(), key=lambda r: r["shard"])])
-
-
 class Quality:
     """Costs of all rows by :func:`row_key`, the trusted mean, thresholds in nats."""
 

@@ -149,17 +149,6 @@ def test_toxicity_edges(spark, docs):
     assert {r["score"] for r in none} == {0.0}
 
 
-def test_kneser_ney_is_a_distribution(spark):
-    texts = spark.createDataFrame([("abracadabra, abra!",), ("the cat sat on the mat",)], "text string")
-    counts = quality_lm.count_grams(texts)
-    codes = np.concatenate([quality_lm.gram_codes(r["text"]) for r in texts.collect()])
-    brute = dict(zip(*np.unique(codes, return_counts=True)))
-    assert {r["gram"]: r["n"] for r in counts.collect()} == brute
-    cost = quality_lm.cost_array(quality_lm.kneser_ney(counts))
-    sums = np.exp(-cost / 1e6).reshape(-1, quality_lm.SYMBOLS).sum(axis=1)
-    assert np.abs(sums - 1).max() < 1e-4
-
-
 def test_quality_on_labels(spark):
     labels = table(spark, SF, "labels")
     rated = quality_lm.quality(table(spark, SF, "documents"), labels)
