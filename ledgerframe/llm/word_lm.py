@@ -40,7 +40,7 @@ from ledgerframe.llm.common import dropped, stored, text_or_empty
 # Words (long runs in pieces), single signs, line ends.
 TOKEN = re.compile(r"\w{1,32}|[^\w\s]|\n")
 START, END = 1, 2
-HALVES, ROUNDS = 2, 4
+HALVES, ROUNDS = 2, 2
 MICRO = 1e6
 #: Characters of all texts per shard, and tokens that are packed together.
 SHARD_CHARS = 64_000_000
