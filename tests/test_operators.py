@@ -290,4 +290,44 @@ def test_corpus_with_an_injected_encoder_through_to_context(spark):
     packed = {r["query_id"]: r["context"] for r in retrieval.context_pack(top, corpus).collect()}
     assert packed[10].startswith("[note] title 2\npears\n\n[note] title 0\n")
     with pytest.raises(Exception, match="encoder returned 1 vectors for 2 texts"):
-        retrieval.embed_documents(corpus, "content", encoder=lambda t: np.zeros((1, 3)), batch_size=2).collect()
+        retrieval.embed_documents(corpus.coalesce(1), "content", encoder=lambda t: np.zeros((1, 3)), batch_size=2).collect()
+
+
+def test_parts_of_equal_symbols_match_as_whole_items_do(spark):
+    import random
+    pick = random.Random(7)
+    cells = ["a", "b", None, "true", "1", "1.005", "1.011", "-3", "-3.02", "0", "inf", "nan", " 2e1 ", "20.1", "x y"]
+    exp, act, want = [], [], {}
+    for item in range(400):
+        width, n = pick.randint(1, 3), pick.randint(1, 5)
+        pool = pick.sample(cells, pick.randint(1, 6))
+        left = [[pick.choice(pool) for _ in range(3)][:width] + ["z"] * (3 - width) for _ in range(n)]
+        right = [pick.sample(r, 3) for r in left]
+        if pick.random() < 0.6:
+            for r in right:
+                at = pick.randrange(3)
+                near = {"1": "1.005", "1.005": "1.011", "-3": "-3.02", "20.1": "20", "1.011": "1"}
+                r[at] = near.get(r[at], r[at])
+        if pick.random() < 0.2:
+            right[0][0] = pick.choice(cells)
+        pick.shuffle(right)
+        check = pick.choice(["relative", "exact"])
+        exp += [(str(item), check, *r) for r in left]
+        act += [(str(item), *r) for r in right]
+        want[str(item)] = evaluate.rowsets_match(left, right, check)
+    e = spark.createDataFrame(exp, "item_id string, check string, p string, q string, r string")
+    a = spark.createDataFrame(act, "item_id string, p string, q string, r string")
+    got = {r["item_id"]: r["matched"] for r in evaluate.rowset_match(e, a, check="check", expected_cols=list("pqr")).collect()}
+    assert got == want and 50 < sum(want.values()) < 390
+
+
+def test_an_item_of_many_rows(spark):
+    from pyspark.sql import functions as F
+    rows = spark.range(100_000).select(F.lit("big").alias("item_id"), F.concat(F.lit("t"), F.col("id") % 20_000).alias("t"),
+                                       (F.col("id") * 1.5 + 1).alias("v"))
+    same = rows.withColumn("v", F.col("v") * 1.004)
+    off = rows.withColumn("v", F.when(F.col("v") == 1.0, 2.0).otherwise(F.col("v")))
+    plain = rows.select("item_id", "v", (F.col("v") * 2).alias("w"))
+    assert evaluate.rowset_match(rows, same).first()["matched"]
+    assert not evaluate.rowset_match(rows, off).first()["matched"]
+    assert evaluate.rowset_match(plain, plain.select("item_id", F.col("w").alias("a"), (F.col("v") * 0.997).alias("b"))).first()["matched"]
