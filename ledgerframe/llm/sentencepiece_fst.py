@@ -37,8 +37,8 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MEMO_WORDS, MEMO_CHARS, MEMO_PAIRS = 600_000, 48, 1_000_000
 MARKS = ".,;:!?#$%&*|"
-#: Cost of an unknown character, above any path of pieces over it.
-UNKNOWN_COST = 1e12
+#: Fixed value: an unknown character of a unigram model scores so much less than the least piece.
+UNKNOWN_PENALTY = 10.0
 
 
 def default_model() -> str:
@@ -65,6 +65,11 @@ class Transducers:
         self.types = [p.type for p in model.pieces]
         self.scores = [p.score for p in model.pieces]
         self.unknown = self.types.index(UNKNOWN)
+        normal = [x for x, t in zip(self.scores, self.types) if t == NORMAL] or [0.0]
+        self.unknown_score = np.float32(min(normal)) - np.float32(UNKNOWN_PENALTY)
+        # A user's symbol is worth more than any pieces over it; scores add up in single precision.
+        self.weights = [np.float32(len(n.encode()) * max(normal) - 0.1 if t == USER else x)
+                        for n, t, x in zip(self.names, self.types, self.scores)]
         self.bytes = {int(n[3:5], 16): i for i, (n, t) in enumerate(zip(self.names, self.types))
                       if t == BYTE}
         self.ids = {n: i for i, (n, t) in enumerate(zip(self.names, self.types))
@@ -147,7 +152,16 @@ class Transducers:
     def shortest_path(self, marks: str) -> list[int]:
         """Ids along the shortest path of the composition with one normalised string."""
         path = self._only_path(marks) if self.kind == BPE else self._cheapest_path(marks)
-        return [i for p, piece in path for i in ([piece] if piece >= 0 else self._fallback(marks[p]))]
+        ids: list[int] = []
+        before = 0
+        for p, piece in path:
+            # Without byte fallback a run of unknown characters is one id.
+            if piece >= 0:
+                ids.append(piece)
+            elif self.bytes or before >= 0:
+                ids += self._fallback(marks[p])
+            before = piece
+        return ids
 
     def _only_path(self, marks: str) -> list[tuple[int, int]]:
         """The accepting path of a BPE model. There is one, so the first found is the
@@ -172,16 +186,20 @@ class Transducers:
             p, last, arcs, _ = trail.pop()
 
     def _cheapest_path(self, marks: str) -> list[tuple[int, int]]:
-        """The path of least cost of a unigram model; states are positions in order."""
+        """The path of the highest score of a unigram model; states are positions in order, the
+        path that is found first stays among equals. A character without a piece of its own has an
+        arc of an unknown one."""
         size = len(marks)
-        cost, back = [0.0] + [np.inf] * size, [None] * (size + 1)
+        score: list = [np.float32(0)] + [None] * size
+        back = [None] * (size + 1)
         for p in range(size):
-            for q, piece in self._arcs(marks, p):
-                weight = cost[p] + (UNKNOWN_COST if piece < 0 else -self.scores[piece])
-                if weight < cost[q]:
-                    cost[q], back[q] = weight, (p, piece)
-            if back[p + 1] is None:  # pieces begin here but none is the character alone
-                cost[p + 1], back[p + 1] = cost[p] + UNKNOWN_COST, (p, -1)
+            arcs = [(q, piece) for q, piece in self._arcs(marks, p) if piece >= 0]
+            if not any(q == p + 1 for q, _ in arcs):
+                arcs.append((p + 1, -1))
+            for q, piece in arcs:
+                total = score[p] + (self.unknown_score if piece < 0 else self.weights[piece])
+                if score[q] is None or total > score[q]:
+                    score[q], back[q] = total, (p, piece)
         path, at = [], size
         while at:
             path.append(back[at])

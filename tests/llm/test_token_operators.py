@@ -50,6 +50,35 @@ def test_pieces_equal_sentencepiece():
         assert mine.decode(ids) == theirs.decode(ids) == text
 
 
+def unigram_model(path, pick, byte_fallback):
+    """A small unigram model written by hand (nothing is trained)."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+    model = pb.ModelProto()
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback = 1, byte_fallback
+    model.normalizer_spec.name, model.normalizer_spec.add_dummy_prefix = "identity", True
+    model.normalizer_spec.remove_extra_whitespaces, model.normalizer_spec.escape_whitespaces = False, True
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+    pieces += [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] * byte_fallback
+    words = {"".join(pick.choice("abc▁") for _ in range(pick.randint(1, 4))) for _ in range(60)} | {"▁", "a", "b"}
+    words.discard("c")  # only unknown by itself
+    pieces += [(w, -pick.randint(100, 900) / 64, 1) for w in sorted(words)] + [("ba!", 0.0, 4)]
+    for piece, score, kind in pieces:
+        model.pieces.add(piece=piece, score=score, type=kind)
+    path.write_bytes(model.SerializeToString())
+    return str(path)
+
+
+@pytest.mark.parametrize("byte_fallback", [False, True])
+def test_unigram_models_equal_sentencepiece(tmp_path, byte_fallback):
+    pick = random.Random(11)
+    path = unigram_model(tmp_path / "m.model", pick, byte_fallback)
+    theirs, mine = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_fst.Transducers(path)
+    texts = ["", "c", "cc", "ccc a", "ba!", "aba!a", "é日x"]
+    texts += ["".join(pick.choice(["a", "b", "c", " ", "x", "é", "ba!", "日"]) for _ in range(pick.randint(1, 40))) for _ in range(1500)]
+    for text in texts:
+        assert np.frombuffer(mine.encode(text), "<u4").tolist() == theirs.encode(text), text
+
+
 def test_encode_and_decode_frames(spark, docs):
     given_docs = docs(EDGE)
     encoded = sentencepiece_fst.encode(given_docs)
