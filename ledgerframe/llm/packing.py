@@ -142,7 +142,8 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         Window.unboundedPreceding, -1)
     bases = counts.select("length", "part",
                           F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    ranked = cut.join(bases, ["length", "part"]).withColumn(
+    # The counts grow with the tasks: a shuffle by length and task at every size, never a broadcast.
+    ranked = cut.join(bases.hint("merge"), ["length", "part"]).withColumn(
         "rank", F.col("base") + F.col("place")).drop("base", "place", "part")
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
