@@ -43,8 +43,8 @@ START, END = 1, 2
 HALVES, ROUNDS = 2, 2
 MICRO = 1e6
 #: Characters of all texts per shard, and tokens that are packed together.
-SHARD_CHARS = 64_000_000
-FLUSH_TOKENS = 2_000_000
+SHARD_CHARS = 32_000_000
+FLUSH_TOKENS = 1_000_000
 #: Bytes of a word's hash, and of a left neighbour's (told apart among those of one pair only).
 WORD_BYTES, LEFT_BYTES = 6, 5
 SHAPE = "b binary, rights binary, c binary, lefts binary, a binary"
