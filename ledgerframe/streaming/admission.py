@@ -7,8 +7,9 @@ key lie in the preceding window; refused hits are not recorded; a hit exactly
 The rule is a recurrence over each key's hits in time order, so it runs where
 each key's hits are met in order with bounded state: the streaming operator
 keeps at most ``limit`` admission times per key (``applyInPandasWithState``,
-with an idle timeout that drops the state of quiet keys). The batch twin cuts every key's
-history into time chunks, whose effect on any state is a small table, and composes these
+with an idle timeout that drops the state of quiet keys). The batch twin streams the keys of a
+partition through the same recurrence, one behind the other. Only keys with very many hits are cut
+into time chunks, whose effect on any state is a small table, and composed of these
 (:mod:`ledgerframe.streaming.admission_chunks`).
 """
 
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,6 +69,8 @@ ADMIT_SCHEMA = "event_id long, key long, ts timestamp_ntz, admitted boolean"
 
 #: Windows in a chunk of the batch twin, and chunks whose maps one task composes.
 CHUNK_WINDOWS, CHUNKS_TOGETHER = 8, 64
+#: Keys with more hits than this are cut into chunks.
+HEAVY_HITS = 100_000
 MAPS = "key long, pos long, at binary, count binary, last binary"
 STATES = "key long, pos long, state binary"
 
@@ -82,16 +86,13 @@ def _unpack(row, limit: int) -> tuple[np.ndarray, ...]:
 
 def admission_batch(events: DataFrame, key: str = "user_id", ts: str = "ts", order: str = "event_id",
                     limit: int = 3, window_seconds: int = 60, chunk_windows: int = CHUNK_WINDOWS,
-                    together: int = CHUNKS_TOGETHER) -> DataFrame:
+                    together: int = CHUNKS_TOGETHER, heavy_hits: int = HEAVY_HITS) -> DataFrame:
     """T1 batch twin: (event_id, key, ts, admitted) for every hit.
 
-    A key's hits are cut into time chunks of ``chunk_windows`` windows. Each chunk's map from
-    the state before it to the state behind it is computed in a task of its own
-    (:mod:`ledgerframe.streaming.admission_chunks`); maps are composed ``together`` at a time, level
-    by level; the states then go back down the levels, and every chunk is replayed from its own.
-    A key with a third of all hits runs in as many tasks as it has chunks; a task holds the
-    hits of one chunk, or ``together`` maps. ``limit`` is 1 at least; hits without a time or
-    key are refused."""
+    The keys of a partition, sorted by (key, time), go through one task as a stream that holds one
+    key's state (``limit`` times at most). The hits of a key with more than ``heavy_hits`` are cut into
+    time chunks instead (:func:`_admitted_by_chunks`), so a key with a third of all hits runs in as many
+    tasks as it has chunks. ``limit`` is 1 at least; hits without a time or key are refused."""
     if limit < 1 or chunk_windows < 1 or together < 2:
         raise ValueError("limit and chunk_windows are 1 at least, together 2")
     window_us = window_seconds * 1_000_000
@@ -101,8 +102,45 @@ def admission_batch(events: DataFrame, key: str = "user_id", ts: str = "ts", ord
                       micros.alias("us"))
     known = F.col("us").isNotNull() & F.col("key").isNotNull()
     refused = e.where(~known).select("event_id", "key", "ts", F.lit(False).alias("admitted"))
-    hits = e.where(known).withColumn("pos", F.floor(F.col("us") / F.lit(span)))
-
+    hits = e.where(known)
+    heavy = _kept(hits.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > heavy_hits).select("key"))
+    if heavy.isEmpty():
+        return _admitted_in_order(hits, limit, window_us).unionByName(refused)
+    light = _admitted_in_order(hits.join(heavy, "key", "left_anti"), limit, window_us)
+    cut = hits.join(heavy, "key", "left_semi").withColumn("pos", F.floor(F.col("us") / F.lit(span)))
+    return light.unionByName(_admitted_by_chunks(cut, limit, window_us, span, together)).unionByName(refused)
+
+
+def _admitted_in_order(hits: DataFrame, limit: int, window_us: int) -> DataFrame:
+    """Whole keys, many to a task, as one sorted stream."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, deque()
+        for batch in batches:
+            keys = batch.column("key").to_numpy(zero_copy_only=False)
+            times = batch.column("us").to_numpy(zero_copy_only=False)
+            begins = np.flatnonzero(np.diff(keys)) + 1
+            ok = []
+            for part, key in zip(np.split(times, begins), keys[np.concatenate([[0], begins])].tolist() if len(keys) else []):
+                if key != current:
+                    current, held = key, deque()
+                admitted, held = admit_sequence(part.tolist(), limit, window_us, held)
+                ok.append(admitted)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in ("event_id", "key", "ts")] + [pa.array(np.concatenate(ok) if ok else [], pa.bool_())],
+                ["event_id", "key", "ts", "admitted"])
+
+    rows = hits.select(F.col("event_id").cast("long").alias("event_id"), F.col("key").cast("long").alias("key"),
+                       F.col("ts").cast("timestamp_ntz").alias("ts"), "us")
+    return rows.repartition("key").sortWithinPartitions(
+        "key", "us", F.col("event_id").asc_nulls_last()).mapInArrow(run, ADMIT_SCHEMA)
+
+
+def _admitted_by_chunks(hits: DataFrame, limit: int, window_us: int, span: int, together: int) -> DataFrame:
+    """Keys of any number of hits, in chunks ``pos`` of ``span`` microseconds. Each chunk's map from the
+    state before it to the state behind it is computed in a task of its own
+    (:mod:`ledgerframe.streaming.admission_chunks`); maps are composed ``together`` at a time, level
+    by level; the states then go back down the levels, and every chunk is replayed from its own. A task
+    holds the hits of one chunk, or ``together`` maps."""
     def chunk_map(pdf: pd.DataFrame) -> pd.DataFrame:
         k, pos = pdf["key"].iloc[0], int(pdf["pos"].iloc[0])
         times = np.sort(pdf["us"].to_numpy())
@@ -146,8 +184,7 @@ def admission_batch(events: DataFrame, key: str = "user_id", ts: str = "ts", ord
     for maps in reversed(levels):
         states = maps.withColumn("group", group).groupBy("key", "group").cogroup(
             states.withColumnRenamed("pos", "group").groupBy("key", "group")).applyInPandas(split_states, STATES)
-    return hits.groupBy("key", "pos").cogroup(states.groupBy("key", "pos")).applyInPandas(
-        replay, ADMIT_SCHEMA).unionByName(refused)
+    return hits.groupBy("key", "pos").cogroup(states.groupBy("key", "pos")).applyInPandas(replay, ADMIT_SCHEMA)
 
 
 def _kept(df: DataFrame) -> DataFrame:
