@@ -30,3 +30,34 @@ def test_admission_streams_light_keys_and_cuts_heavy_ones(spark):
     own = sorted(((s, e is None, e or 0) for e, k, s in rows if k == 7 and s is not None))
     ok, _ = admission.admit_sequence(np.array([s for s, *_ in own]) * 1_000_000, 3, 60_000_000)
     assert sum(r[3] for r in said(whole) if r[1] == 7) == ok.sum()
+
+
+def test_row_sets_are_paired_without_a_python_call_for_each_item(spark):
+    from ledgerframe.operators import evaluate
+
+    def frame(rows, cols):
+        return spark.createDataFrame(rows, "item_id string, " + ", ".join(f"{c} string" for c in cols))
+
+    sides = {  # item: expected rows, actual rows, matched
+        "near": ([("a", "100"), ("a", "2e2")], [("200.5", "a"), ("a", " 100.9 ")], True),
+        "far": ([("a", "100")], [("a", "101.5")], False),
+        "names": ([("a", "100")], [("b", "100")], False),
+        "more": ([("a", "1")], [("a", "1"), ("a", "1")], False),
+        "nan": ([("a", "nan")], [("a", "NaN")], False),
+        "infinite": ([("a", "inf")], [("a", "Infinity")], True),
+        "opposite": ([("a", "inf")], [("a", "-inf")], False),
+        "null": ([("a", None)], [("a", None)], True),
+        "crossed": ([("100", "5"), ("100.5", "1")], [("100", "1"), ("100.5", "5")], True),
+        "crossed too far": ([("100", "5"), ("100.5", "1")], [("100", "1"), ("100.5", "9")], False),
+        "only expected": ([("a", "1")], [], False), "only actual": ([], [("a", "1")], False),
+        None: ([("a", "1")], [("a", "1")], None)}
+    exp = frame([(i, *r) for i, (e, _, _) in sides.items() for r in e], "xy")
+    act = frame([(i, *r) for i, (_, a, _) in sides.items() for r in a], "xy")
+    got = evaluate.rowset_match(exp, act)
+    found = {r.item_id: (r.expected_rows, r.actual_rows, r.matched) for r in got.collect() if r.item_id}
+    assert found == {i: (len(e), len(a), ok) for i, (e, a, ok) in sides.items() if i}
+    assert sorted(tuple(r)[1:] for r in got.collect() if r.item_id is None) == [(0, 1, False), (1, 0, False)]
+    exact = {r.item_id: r.matched for r in evaluate.rowset_match(exp, act, check="exact").collect()}
+    assert {i for i, ok in exact.items() if ok} == {"null", "infinite"}
+    single = frame([("near", "a", "100")], "xy")
+    assert "Pandas" not in _plan(evaluate.rowset_match(single, frame([("near", "a", "100.4")], "xy")))
