@@ -61,3 +61,14 @@ def test_row_sets_are_paired_without_a_python_call_for_each_item(spark):
     assert {i for i, ok in exact.items() if ok} == {"null", "infinite"}
     single = frame([("near", "a", "100")], "xy")
     assert "Pandas" not in _plan(evaluate.rowset_match(single, frame([("near", "a", "100.4")], "xy")))
+
+
+def test_the_gate_computes_its_board_once(spark):
+    from ledgerframe.operators import evaluate
+
+    board = spark.createDataFrame([("dev", 4, 3, 0.75), ("holdout", 10, 9, 0.9), (None, 2, 2, 1.0)],
+                                  "split string, items long, passed long, accuracy double")
+    out = evaluate.gate(board)
+    assert "ubquery" not in _plan(out)
+    assert tuple(out.first()) == (0.9, 10, 1, 0.75, 0.85, True)
+    assert tuple(evaluate.gate(board.where("split = 'dev'")).first()) == (None, 0, 0, 0.75, 0.85, False)
