@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgerframe import domain
 from ledgerframe.functions.columns import growth_pct, safe_ratio
 from ledgerframe.operators.question_grammar import link_entities  # noqa: F401
+from ledgerframe.session import checkpoint_dir
 
 
 def validate_questions(df: DataFrame, text: str = "text", min_chars: int = domain.QUESTION_MIN_CHARS,
@@ -149,6 +150,19 @@ ANSWER_SCHEMA = "item_id string, label string, value double"
 PER_COMPANY = ["lookup", "comparison", "ratio", "growth", "difference", "latest", "combined"]
 
 
+RANK_PARTS = "array<struct<part:string,metric:string,fiscal_year:int>>"
+
+
+def read_by(fm: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of ``fm`` with a metric and period that a row of ``asked`` names (any year; the full year's
+    also where a quarter is named). The pairs are as many as the vocabulary has, whatever the batch."""
+    named = asked.select(F.explode(F.array(*[
+        F.struct(F.col(m).alias("metric"), period.alias("fiscal_period"))
+        for m in ("metric", "num_metric", "den_metric") for period in (F.col("fiscal_period"), F.lit("FY"))])).alias("p"))
+    pairs = named.select("p.*").where("metric is not null and fiscal_period is not null").distinct()
+    return fm.join(F.broadcast(pairs), ["metric", "fiscal_period"], "left_semi")
+
+
 def answer_batch(linked: DataFrame, fm: DataFrame, companies: DataFrame) -> DataFrame:
     """Route each linked question by intent to the metric operators and return long-form
     answer rows (item_id, label, value): one per company named (lookup, comparison, ratio, growth,
@@ -160,67 +174,98 @@ def answer_batch(linked: DataFrame, fm: DataFrame, companies: DataFrame) -> Data
     named = (F.col("company_ids") if "company_ids" in linked.columns
              else F.array_compact(F.array("company_id", "company2_id")))
     co = companies.select("company_id", "ticker", F.lower("sic_description").alias("sector_key"))
-    facts = fm.select("company_id", "metric", "fiscal_year", "fiscal_period", F.col("value").cast("double").alias("v"))
     at = ["company_id", "metric", "fiscal_year", "fiscal_period"]
-    asked = linked.where(F.col("intent").isin(*PER_COMPANY)).withColumn("company_id", F.explode(named))
+    facts = read_by(fm, linked).select(*at, F.col("value").cast("double").alias("v"))
+    ratio, growth = safe_ratio(F.col("num"), F.col("den")), growth_pct(F.col("now"), F.col("was"))
+    # Growth that names one year compares with the year before it; a gap year gives no row.
+    before = F.when((F.col("intent") == "difference") | (F.col("year_from") < F.col("fiscal_year")),
+                    F.col("year_from")).otherwise(F.col("fiscal_year") - 1)
 
-    def of(*intents: str) -> DataFrame:
-        return asked.where(F.col("intent").isin(*intents))
+    def part(name: str, metric: str, year: Column) -> Column:
+        return F.struct(F.lit(name).alias("part"), F.col(metric).alias("metric"), year.alias("fiscal_year"))
+
+    year, moved = F.col("fiscal_year"), F.array(part("now", "metric", F.col("fiscal_year")), part("was", "metric", before))
+    sides = F.array(part("num", "num_metric", year), part("den", "den_metric", year))
+    one = F.array(part("value", "metric", year))
+
+    def total(name: str) -> Column:
+        return F.sum(F.when(F.col("part") == name, F.col("v"))).alias(name)
+
+    def both(rows: DataFrame, *keys: str) -> DataFrame:
+        """Each value of the year asked for with each of the year before, by the row that asks."""
+        held = [F.collect_list(F.when(F.col("part") == name, F.struct("v"))).alias(name) for name in ("now", "was")]
+        lists = rows.groupBy(*keys).agg(*held)
+        return lists.withColumn("now", F.explode("now")).withColumn("was", F.explode("was")).withColumn(
+            "now", F.col("now.v")).withColumn("was", F.col("was.v"))
 
     def labelled(rows: DataFrame, value: Column) -> DataFrame:
         return rows.join(co, "company_id").select("item_id", F.col("ticker").alias("label"), value.alias("value"))
 
-    def sides(rows: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
-        """Both sides of a ratio, by item and company."""
-        j = rows.join(facts, keys).where(F.col("metric").isin(F.col("num_metric"), F.col("den_metric")))
-        return j.groupBy("item_id", "company_id", *by).agg(
-            F.sum(F.when(F.col("metric") == F.col("num_metric"), F.col("v"))).alias("num"),
-            F.sum(F.when(F.col("metric") == F.col("den_metric"), F.col("v"))).alias("den"))
-
-    ratio = safe_ratio(F.col("num"), F.col("den"))
-    values = of("lookup", "comparison", "combined").where("metric is not null").join(facts, at)
-    out = [labelled(values.where("intent <> 'combined'"), F.col("v"))]
-    out.append(values.where("intent = 'combined'").groupBy("item_id").agg(F.sum("v").alias("value")).select(
-        "item_id", F.lit("combined").alias("label"), "value"))
-    out.append(labelled(sides(of("ratio").drop("metric"), ["company_id", "fiscal_year", "fiscal_period"], []), ratio))
+    # The facts that questions name by company, metric, year and period meet them in one join.
+    asked = linked.where(F.col("intent").isin(*PER_COMPANY)).withColumn("company_id", F.explode(named))
+    wants = F.when(F.col("intent") == "ratio", sides).when(F.col("intent").isin("growth", "difference"), moved).when(
+        F.col("intent") != "latest", one)
+    known = asked.groupBy("item_id", "intent", "company_id", "metric", "num_metric", "den_metric", "year_from", "fiscal_year",
+                          "fiscal_period").agg(F.count("*").alias("times"))
+    st = linked.where("intent = 'sector_total' and sector is not null").select(
+        "item_id", "intent", F.col("sector").alias("sector_key"), "metric", "fiscal_year", "fiscal_period")
+    members = st.join(co, "sector_key").withColumn("times", F.lit(1).cast("long"))
+    requests = known.withColumn("asked_year", year).select(
+        "item_id", "intent", "company_id", "times", F.lit(None).cast("string").alias("sector_key"), "asked_year", "year_from",
+        F.col("metric").alias("of"), "fiscal_period", F.explode(wants).alias("p")).select("*", "p.*").drop("p").unionByName(
+        members.select("item_id", "intent", "company_id", "times", "sector_key", F.lit("value").alias("part"), "metric",
+                       "fiscal_year", "fiscal_period"), allowMissingColumns=True)
+    # Read by each class below: written once.
+    checkpoint_dir(linked.sparkSession)
+    values = requests.join(facts, at).checkpoint()
 
-    # Growth that names one year compares with the year before it; a gap year gives no row.
-    def with_prior(rows: DataFrame, keys: list[str]) -> DataFrame:
-        before = F.when((F.col("intent") == "difference") | (F.col("year_from") < F.col("fiscal_year")),
-                        F.col("year_from")).otherwise(F.col("fiscal_year") - 1)
-        cur = rows.withColumn("prev_year", before).join(facts, keys).withColumnRenamed("v", "cur")
-        prior = facts.select("company_id", "metric", F.col("fiscal_year").alias("prev_year"), "fiscal_period",
-                             F.col("v").alias("prev"))
-        return cur.join(prior, ["company_id", "metric", "prev_year", "fiscal_period"])
-
-    growth = growth_pct(F.col("cur"), F.col("prev"))
-    out.append(labelled(with_prior(of("growth", "difference"), at),
-                        F.when(F.col("intent") == "growth", growth).otherwise(F.col("cur") - F.col("prev"))))
-    latest = of("latest").select("item_id", "company_id", "metric").join(facts.where("fiscal_period = 'FY'"), ["company_id", "metric"])
+    def of(*intents: str) -> DataFrame:
+        return values.where(F.col("intent").isin(*intents))
+
+    def each_time(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+
+    out = [labelled(each_time(of("lookup", "comparison")), F.col("v"))]
+    out.append(of("combined").groupBy("item_id").agg(F.sum(F.col("v") * F.col("times")).alias("value")).select(
+        "item_id", F.lit("combined").alias("label"), "value"))
+    out.append(labelled(of("ratio").groupBy("item_id", "company_id").agg(
+        F.sum(F.when(F.col("part") == "num", F.col("v") * F.col("times"))).alias("num"),
+        F.sum(F.when(F.col("part") == "den", F.col("v") * F.col("times"))).alias("den")), ratio))
+    changes = both(of("growth", "difference"), "item_id", "intent", "company_id", "times", "of", "year_from", "asked_year", "fiscal_period")
+    out.append(labelled(each_time(changes),
+                        F.when(F.col("intent") == "growth", growth).otherwise(F.col("now") - F.col("was"))))
+    latest = asked.where("intent = 'latest'").select("item_id", "company_id", "metric").join(
+        facts.where("fiscal_period = 'FY'"), ["company_id", "metric"])
     out.append(labelled(latest.groupBy("item_id", "company_id").agg(F.max_by("v", "fiscal_year").alias("v")), F.col("v")))
 
     # Rankings: of a value, of a ratio or growth with the ranking guard; in a sector if one is named.
     ranks = linked.where(F.col("intent").isin("superlative", "growth_rank")).withColumn(
-        "top_n", F.coalesce("top_n", F.lit(1)) if "top_n" in linked.columns else F.lit(1)).select(
-        "item_id", "intent", "metric", "num_metric", "den_metric", "fiscal_year", "year_from", "fiscal_period", "direction",
-        "top_n", "sector")
-    each = ["direction", "top_n", "sector"]
-    by_value = ranks.where("intent = 'superlative' and metric is not null").join(
-        facts, at[1:]).select("item_id", "company_id", *each, F.col("v").alias("key"))
-    by_ratio = sides(ranks.where("intent = 'superlative' and num_metric is not null").drop("metric"), at[2:], each).where(
-        "num is not null and den > 0").select("item_id", "company_id", *each, ratio.alias("key"))
-    by_growth = with_prior(ranks.where("intent = 'growth_rank'"), at[1:]).where("prev > 0").select(
-        "item_id", "company_id", *each, growth.alias("key"))
+        "top_n", F.coalesce("top_n", F.lit(1)) if "top_n" in linked.columns else F.lit(1))
+    each = ["item_id", "direction", "top_n", "sector"]
+    # A question by value and by ratio ranks both.
+    places = ranks.groupBy(*each, "intent", "metric", "num_metric", "den_metric", "year_from", "fiscal_year", "fiscal_period").agg(
+        F.count("*").alias("times"))
+    kinds = F.when(F.col("intent") == "growth_rank", moved).otherwise(F.concat(
+        F.when(F.col("metric").isNotNull(), one).otherwise(F.array().cast(RANK_PARTS)),
+        F.when(F.col("num_metric").isNotNull(), sides).otherwise(F.array().cast(RANK_PARTS))))
+    keys = places.withColumn("asked_year", year).select(
+        *each, "intent", "times", "asked_year", "year_from", F.col("metric").alias("of"), "fiscal_period",
+        F.explode(kinds).alias("p")).select("*", "p.*").drop("p")
+    # The metrics, years and periods that are ranked: a handful, whatever the number of companies.
+    ranked = F.broadcast(keys.select(*at[1:]).distinct())
+    rows = keys.join(facts.join(ranked, at[1:], "left_semi"), at[1:])
+    by_value = each_time(rows.where("part = 'value'")).select(*each, "company_id", F.col("v").alias("key"))
+    by_ratio = rows.where("part in ('num', 'den')").groupBy(*each, "company_id").agg(total("num"), total("den")).where(
+        "num is not null and den > 0").select(*each, "company_id", ratio.alias("key"))
+    by_growth = each_time(both(rows.where("part in ('now', 'was')"), *each, "company_id", "times", "of", "year_from",
+                               "asked_year", "fiscal_period")).where("was > 0").select(*each, "company_id", growth.alias("key"))
     cand = by_value.unionByName(by_ratio).unionByName(by_growth).join(co, "company_id").where(
         "key is not null and (sector is null or sector = sector_key)")
     key = F.when(F.col("direction") == "asc", F.col("key")).otherwise(-F.col("key"))
     w = Window.partitionBy("item_id").orderBy(key.asc_nulls_last(), F.col("ticker").asc())
     out.append(cand.withColumn("rk", F.row_number().over(w)).where("rk <= top_n").select(
         "item_id", F.col("ticker").alias("label"), F.col("key").alias("value")))
-    st = linked.where("intent = 'sector_total' and sector is not null").select(
-        "item_id", F.col("sector").alias("sector_key"), "metric", "fiscal_year", "fiscal_period")
-    sj = st.join(co, "sector_key").join(facts, at)
-    out.append(sj.groupBy("item_id", "sector_key").agg(F.sum("v").alias("value"))
+    out.append(of("sector_total").groupBy("item_id", "sector_key").agg(F.sum("v").alias("value"))
                .select("item_id", F.col("sector_key").alias("label"), "value"))
     res = out[0]
     for o in out[1:]:

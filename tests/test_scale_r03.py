@@ -72,3 +72,42 @@ def test_the_gate_computes_its_board_once(spark):
     assert "ubquery" not in _plan(out)
     assert tuple(out.first()) == (0.9, 10, 1, 0.75, 0.85, True)
     assert tuple(evaluate.gate(board.where("split = 'dev'")).first()) == (None, 0, 0, 0.75, 0.85, False)
+
+
+def test_facts_meet_the_questions_in_few_joins(spark):
+    from ledgerframe.operators import questions
+
+    co = spark.createDataFrame([(1, "AAA", "Alpha", "Steel"), (2, "BBB", "Beta", "steel"), (3, "CCC", "Gamma", None)],
+                               "company_id long, ticker string, name string, sic_description string")
+    asked = {"lookup": "What was Alpha's revenue in fiscal 1999?", "null": "What was Gamma's revenue in fiscal 1999?",
+             "quarter": "What was Beta's revenue in the second quarter of fiscal 2000?",
+             "ratio": "What were the net margin of Alpha and Beta for fiscal year 2000?",
+             "growth": "How much did Beta's revenue grow in fiscal 2000?",
+             "change": "How much did Alpha's net income change between fiscal 1998 and fiscal 2000?",
+             "latest": "What was Gamma's latest annual revenue?", "sum": "What was the combined revenue of Alpha and Beta in fiscal 1998?",
+             "sector": "What was the total revenue of steel companies in fiscal 2000?",
+             "top": "What were the top two companies by total assets in fiscal 2000?",
+             "fast": "Which company had the fastest growing revenue in fiscal 2000?",
+             "margin": "Which company had the highest net margin in fiscal 2000?"}
+    linked = questions.link_entities(spark.createDataFrame(list(asked.items()), "item_id string, question string"), co).checkpoint()
+    # Value: 1000 * company + 10 * (year - 1990), net income a tenth, quarters a hundredth; Gamma's 1999 is null.
+    fm = spark.range(225).selectExpr(
+        "1 + id % 3 AS company_id", "element_at(array('revenue', 'net_income', 'total_assets', 'total_liabilities', 'eps_diluted'), "
+        "cast(1 + id div 3 % 5 AS int)) AS metric", "cast(1998 + id div 15 % 3 AS int) AS fiscal_year",
+        "element_at(array('FY', 'Q1', 'Q2', 'Q3', 'Q4'), cast(1 + id div 45 AS int)) AS fiscal_period").selectExpr(
+        "*", "CASE WHEN company_id = 3 AND fiscal_year = 1999 THEN NULL ELSE (1000.0D * company_id + 10 * (fiscal_year - 1990)) "
+        "/ IF(metric = 'net_income', 10, 1) / IF(fiscal_period = 'FY', 1, 100) END AS value")
+    answers = questions.answer_batch(linked, fm, co)
+    got = {}
+    for r in answers.collect():
+        got.setdefault(r["item_id"], []).append((r["label"], r["value"] if r["value"] is None else round(r["value"], 6)))
+    assert {k: sorted(v) for k, v in got.items()} == {
+        "lookup": [("AAA", 1090.0)], "null": [("CCC", None)], "quarter": [("BBB", 21.0)], "ratio": [("AAA", 0.1), ("BBB", 0.1)],
+        "growth": [("BBB", round(10 / 2090 * 100, 6))], "change": [("AAA", 2.0)], "latest": [("CCC", 3100.0)],
+        "sum": [("combined", 3160.0)], "sector": [("steel", 3200.0)], "top": [("BBB", 2100.0), ("CCC", 3100.0)],
+        "fast": [("AAA", round(10 / 1090 * 100, 6))], "margin": [("AAA", 0.1)]}
+    # One read for the latest values and three for the kinds of rankings; the rest has met the facts in one join.
+    assert answers._jdf.queryExecution().optimizedPlan().toString().count("Range (") <= 4
+    # Only metrics and periods that are asked for travel.
+    some = questions.read_by(fm, linked.where("item_id = 'quarter'"))
+    assert sorted(tuple(r) for r in some.select("metric", "fiscal_period").distinct().collect()) == [("revenue", "FY"), ("revenue", "Q2")]
