@@ -141,7 +141,7 @@ class QA:
     def expected(self) -> DataFrame:
         """The reference answers: SQL over the metrics table, apart from the routing that is tested."""
         truth = self._batch_cut.where(~F.col("expect_failure")).select("item_id", *questions.TRUTH_COLS)
-        facts = self.fm.select("company_id", "metric", "fiscal_year", "fiscal_period", F.col("value").cast("double").alias("v"))
+        facts = questions.read_by(self.fm, truth).select("company_id", "metric", "fiscal_year", "fiscal_period", F.col("value").cast("double").alias("v"))
         labels = self.co.select("company_id", "ticker", F.lower("sic_description").alias("sector_key"))
         return self.spark.sql(REFERENCE_SQL, truth=truth, facts=facts, labels=labels).checkpoint()
 
