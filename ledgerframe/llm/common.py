@@ -49,5 +49,13 @@ def dropped(table: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def given_back() -> None:
+    """Returns the memory that Arrow keeps in reserve after a task's large batches: the Python worker
+    goes on to tasks of other stages, which need their own."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))

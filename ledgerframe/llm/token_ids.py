@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from ledgerframe.llm.common import given_back
+
 #: Characters of the texts that are cut and looked up together (a longer text alone).
 GROUP_CHARS = 8_000_000
 #: A character that stands alone between two chunks for the library; chunks that hold
@@ -160,6 +162,8 @@ class TokenIds:
                 group, size = [], 0
         if group:
             yield self._group(group)
+        group = None
+        given_back()
 
     def _group(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if not self.splits:

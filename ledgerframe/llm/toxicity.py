@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerframe.llm.common import stored, text_or_empty
+from ledgerframe.llm.common import given_back, stored, text_or_empty
 
 #: Documented bound of the training sample.
 SAMPLE_PER_CLASS = 6000
@@ -55,6 +55,12 @@ def terms(text: str) -> np.ndarray:
     return np.array(sorted(found), np.int64)
 
 
+def forget() -> None:
+    """Ends a task: the worker's next one may be of another stage, which the memo would only burden."""
+    _terms_of_word.cache_clear()
+    given_back()
+
+
 class FactorizationMachine:
     """Binary features given as index lists; logistic loss, AdaGrad, proximal L1."""
 
@@ -143,6 +149,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, allowed: Column | None = None,
         for batch in batches:
             yield pd.DataFrame({"toxic": batch["toxic"], "doc_id": batch["doc_id"],
                                 "terms": [terms(t).astype("<u4").tobytes() for t in batch["text"]]})
+        forget()
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                         text_or_empty(text_col).alias("text"))
@@ -204,6 +211,8 @@ def score(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD,
                     out[k] = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out) if n == "score" else batch.column(n) for n in names], names)
+        batch = None
+        forget()
 
     schema = ", ".join(f"`{c}` {t}" for c, t in given.drop("text").dtypes)
     return given.mapInArrow(rate, f"{schema}, score double").withColumn(

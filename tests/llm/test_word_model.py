@@ -1,9 +1,12 @@
 import math
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from ledgerframe.llm import quality_lm, word_lm
+from ledgerframe.llm import quality_lm, toxicity, word_lm
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -75,3 +78,60 @@ def test_threshold_is_the_quantile(spark, docs):
     out = quality_lm.quality(docs(rows), labels).collect()
     worst = max(r["perplexity"] for r in out)
     assert worst <= out[0]["threshold"] <= worst * math.exp(quality_lm.BIN)
+
+
+def _packed_counts(seed, packets, each):
+    """Rows of one shard as tasks send them, and the counts of their trigrams."""
+    pick, rows, counts = np.random.default_rng(seed), [], Counter()
+    names = [c.split()[0] for c in word_lm.MODEL.split(", ")]
+    for _ in range(packets):
+        found, n = np.unique(pick.integers(10, [400, 90, 60], (each, 3)), axis=0, return_counts=True)
+        counts.update(dict(zip(map(tuple, found.tolist()), n.tolist())))
+        b, c, a = found.T
+        rows.append((3, None, *word_lm._shape(b, c, a), word_lm._small(n)))
+    return pa.Table.from_batches([word_lm._rows([r], names, word_lm.MODEL) for r in rows]), counts
+
+
+def test_runs_of_a_shard_give_the_counts_and_values_of_the_whole(monkeypatch):
+    given, counts = _packed_counts(1, packets=5, each=3000)
+    got = {}
+    for size in (10**9, 500, 1):
+        monkeypatch.setattr(word_lm, "RUN_TRIGRAMS", size)
+        merged, = word_lm._packed_rows(word_lm._merged(given))
+        t, n = word_lm._Packed(merged).whole(), word_lm._numbers(merged["n"])
+        b, c = t.b[t.b_of_pair][t.pair], t.c[t.pair]
+        assert dict(zip(zip(b.tolist(), c.tolist(), t.a.tolist()), n.tolist())) == counts
+        assert [merged[f"t{k}"] for k in range(1, 5)] == [sum(x == k for x in counts.values()) for k in range(1, 5)]
+        pairs = Counter(key[:2] for key in counts)
+        assert [merged[f"p{k}"] for k in range(1, 5)] == [sum(x == k for x in pairs.values()) for k in range(1, 5)]
+        k = word_lm.Constants.__new__(word_lm.Constants)
+        k.off3 = k.off2 = k.off1 = [0.5, 0.9, 1.2]
+        k.total, k.unknown = 5000, 1e-4
+        shard = word_lm.Shard(merged, np.arange(1, 1 + len(word_lm._asked_words(t.b, t.c))), k)
+        got[size] = [shard.values(word_lm._Packed(row).whole(), k.unknown).tolist() for row in word_lm._packed_rows(given)]
+        got[size].append([x.tolist() for x in (shard.pairs, shard.triples, shard.contexts, shard.gain3, shard.log_g3)])
+    assert got[10**9] == got[500] == got[1]
+
+
+def test_merging_a_shard_takes_little_more_than_its_packed_rows(monkeypatch):
+    monkeypatch.setattr(word_lm, "RUN_TRIGRAMS", 20_000)
+    given, counts = _packed_counts(2, packets=8, each=60_000)
+    tracemalloc.start()
+    word_lm._merged(given)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * 8 * 60_000
+
+
+def test_a_worker_keeps_no_words_after_its_toxicity_task(spark, docs):
+    rows = docs([(k, f"word{k} other{k % 7}") for k in range(200)])
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(200)], LABELS)
+    toxicity.toxicity(rows, labels).collect()
+
+    def kept(batches):
+        for batch in batches:
+            from ledgerframe.llm.toxicity import _terms_of_word
+
+            yield batch[["id"]].assign(id=_terms_of_word.cache_info().currsize)
+
+    assert spark.range(64).repartition(16).mapInPandas(kept, "id long").agg({"id": "max"}).first()[0] == 0
