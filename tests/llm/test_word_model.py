@@ -135,3 +135,68 @@ def test_a_worker_keeps_no_words_after_its_toxicity_task(spark, docs):
             yield batch[["id"]].assign(id=_terms_of_word.cache_info().currsize)
 
     assert spark.range(64).repartition(16).mapInPandas(kept, "id long").agg({"id": "max"}).first()[0] == 0
+
+
+ODD = ["", " ", "\n", "a", "a\n", "\na", "a b\n\nb a", " a  b ", "tab\tand\r\nend", "x" * 70 + " " + "y" * 32 + "z", "it's 3.5%!?",
+       "a_b\u00a0c\u2028d", "\x00 \x1c\x85e\u0301", "\u4f60\u597d\uff0c\u4e16\u754c \u0645\u0631\u062d\u0628\u0627", "\U0001f600a\U0001f600 \n a"]
+
+
+@pytest.mark.parametrize("line_ends", [True, False])
+def test_tokens_are_those_of_each_whole_text(line_ends):
+    texts = [t for t in ODD if line_ends or "\n" not in t] * 2
+    want = [word_lm.TOKEN.findall(t) for t in texts]
+    words = sorted({w for run in want for w in run})
+    code = dict(zip(words, word_lm.word_codes(pa.array(words)).tolist()))
+    assert len(set(code.values())) == len(words) and max(code.values()) < 1 << 48
+    codes, flat, n = word_lm._tokens(pa.array(texts))
+    assert n.tolist() == [len(run) for run in want]
+    assert codes[flat].tolist() == [code[w] for run in want for w in run]
+
+
+@pytest.mark.parametrize("keys", [1 << 63, 1])
+def test_a_batch_has_the_trigrams_of_its_texts(monkeypatch, keys):
+    monkeypatch.setattr(word_lm, "KEYS", keys)
+    monkeypatch.setattr(word_lm, "GROUP_CHARS", 20)
+    batch, sizes = word_lm._Batch(), []
+    for group in word_lm._groups(pa.array(["skipped", *ODD, *ODD]).slice(1)):
+        sizes += batch.add(group).tolist()
+    want = Counter()
+    for k, text in enumerate(ODD * 2):
+        run = word_lm.TOKEN.findall(text)
+        codes = [1, 1, *word_lm.word_codes(pa.array(run, pa.string())).tolist(), 2]
+        assert sizes[k] == len(run) + bool(run)
+        want.update((b, c, a & ((1 << 40) - 1), k) for a, b, c in zip(codes, codes[1:], codes[2:]) if run)
+    *found, times = (x.tolist() for x in batch.trigrams(by_text=True))
+    rows = list(zip(*found))
+    assert dict(zip(rows, times)) == want and len(rows) == len(want)
+    assert [r[:2] for r in rows] == sorted(r[:2] for r in rows)
+    every = Counter()
+    for key, n in want.items():
+        every[key[:3]] += n
+    b, c, a, _, times = (x.tolist() for x in batch.trigrams(by_text=False))
+    assert dict(zip(zip(b, c, a), times)) == every and len(b) == len(every)
+
+
+class _Task:
+    """Takes a task's function in place of Spark."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, task, schema):
+        return task
+
+
+def test_a_repeated_word_is_cut_and_hashed_once(monkeypatch):
+    given = []
+
+    class Counting:
+        def findall(self, text, found=word_lm.TOKEN.findall):
+            given.append(len(text))
+            return found(text)
+
+    monkeypatch.setattr(word_lm, "TOKEN", Counting())
+    texts = pa.RecordBatch.from_arrays([pa.array(["the cat sat, the dog ran.\n" * 200] * 50)], ["text"])
+    rows = [r for batch in word_lm._counted(_Task(), 1)(iter([texts])) for r in word_lm._packed_rows(pa.Table.from_batches([batch]))]
+    assert sum(word_lm._numbers(r["n"]).sum() for r in rows) == 50 * (200 * 9 + 1)
+    assert sum(given) < 100
