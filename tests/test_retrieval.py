@@ -43,3 +43,14 @@ def test_every_25th_vector_is_asked_against_all_others(spark, folder):
 def test_repeated_and_missing_ids_push_no_candidate_out(spark, folder):
     ok, msg = compare(QUERIES["R2_topk_exact"](spark, folder), ORACLE["R2_topk_exact"], duck(folder))
     assert ok and msg == f"{5 * K} rows match", msg
+
+
+def test_every_25th_vector_gets_the_texts_of_its_top_k(spark, folder):
+    top = {}
+    for r in QUERIES["R2_topk_exact"](spark, folder).orderBy("rank").collect():
+        top.setdefault(r["query_id"], []).append(r["doc_id"])
+    packed = {r["query_id"]: r["context"] for r in QUERIES["R4_context_pack"](spark, folder).collect()}
+    assert sorted(packed) == [0, 25, 50, 75, 100]
+    assert packed == {q: "\n\n".join(f"[web] document {d}\ntext of {d}" for d in docs) for q, docs in top.items()}
+    ok, msg = compare(QUERIES["R4_context_pack"](spark, folder), ORACLE["R4_context_pack"], duck(folder))
+    assert ok and msg == "5 rows match", msg
